@@ -15,6 +15,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from textscore.sources.work import materialise
+
 FULL = -1
 MAX_SIDE = 4096
 
@@ -29,7 +31,8 @@ def augmented_gram(df, features, label="y", fold="fold", width=None, values=None
     """(fold, i, values): rows of M'M for M = [1, x, y], per fold.
 
     `features` is a dense array of `width` numbers, or with `values` the indices of a sparse
-    one. A task holds one small matrix per fold, whatever the number of rows.
+    one. A task holds one small matrix per fold, whatever the number of rows. The sums are
+    written down: they are read several times, the table behind them once.
     """
     size = width + 2
     columns = [F.col(fold).alias("fold"), F.col(label).cast("double").alias("y"),
@@ -56,7 +59,7 @@ def augmented_gram(df, features, label="y", fold="fold", width=None, values=None
             yield pd.DataFrame({"fold": f, "i": np.arange(size), "values": list(gram)})
 
     parts = df.select(*columns).mapInPandas(partial, "fold int, i int, values array<double>")
-    return sum_arrays(parts, ["fold", "i"])
+    return materialise(sum_arrays(parts, ["fold", "i"]), "grams")
 
 
 def _square(pdf):
@@ -71,7 +74,8 @@ def solve_folds(gram, folds, alphas):
     others = F.array([F.lit(f) for f in range(folds)] + [F.lit(FULL)])
     fits = F.filter(others, lambda k: k != F.col("fold"))
     train = sum_arrays(gram.select(F.explode(fits).alias("fit"), "i", "values"), ["fit", "i"])
-    test = gram.withColumnRenamed("fold", "fit").unionByName(train.where(F.col("fit") == FULL))
+    test = gram.select(F.col("fold").alias("fit"), F.col("i").alias("i"), "values")
+    test = test.unionByName(train.where(F.col("fit") == FULL))
     alphas = [float(a) for a in alphas]
 
     def solve(train_rows, test_rows):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textscore.functions.text import ngrams
 from textscore.operators.joins import lookup_join
 from textscore.operators.ordering import Ordered
+from textscore.sources.work import materialise
 
 
 def _exploded(df, ids, tokens, max_ngram, distinct=False):
@@ -127,8 +128,11 @@ def normalise(weights, key):
 
 
 def tfidf(counts, vocabulary, key):
-    """(key, ngram, term, tf, weight, tfidf), rows of unit length per key."""
-    return normalise(weigh(counts, vocabulary, key), key)
+    """(key, ngram, term, tf, weight, tfidf), rows of unit length per key.
+
+    The weights are written once: lengths, their size check and the result all read them.
+    """
+    return normalise(materialise(weigh(counts, vocabulary, key), "weights"), key)
 
 
 def sparse_vectors(weights, vocabulary, key, size=None):
@@ -150,3 +154,9 @@ def sparse_vectors(weights, vocabulary, key, size=None):
 
     pairs = F.array_sort(F.collect_list(F.struct("idx", "tfidf")))
     return rows.groupBy(key).agg(vector(pairs).alias("features"))
+
+
+def wide(weights, key, names, column="tfidf"):
+    """One row per key and one column per listed term, 0 where it is absent."""
+    pivoted = weights.groupBy(key).pivot("term", list(names)).agg(F.sum(column))
+    return pivoted.na.fill(0.0, list(names))

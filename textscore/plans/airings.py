@@ -61,7 +61,7 @@ def scored_airings(airings, scores, corrections=settings.AD_CORRECTIONS):
         "year": F.lit(settings.ELECTION_YEAR),
     })
     df = time_buckets(df.withColumn(
-        "race_id", keys.race_key("state", F.col("district"), F.col("year"))))
+        "race_id", keys.race_key("state", "district", F.col("year"))))
     df = df.where(F.col("codingstatus") == settings.CODED)
     df = flag_issues(df, issue_columns(df.columns)).where(not_blank("cand_id"))
     df = keys.correct(df.withColumn("unique_id", keys.ad_key()), corrections)

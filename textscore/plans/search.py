@@ -212,6 +212,13 @@ def best_config(results):
     return best
 
 
+def term_coefficients(weights, dual, key):
+    """(ngram, term, coefficient): the rows' weights summed with their dual coefficients."""
+    joined = lookup_join(weights, dual, key, "inner", spread=["ngram", "term"])
+    return joined.groupBy("ngram", "term").agg(
+        F.sum(F.col("weight") * F.col("coefficient")).alias("coefficient"))
+
+
 def refit(prepared, best):
     """Weights by term on all speakers, for the best config."""
     parameters = prepared.grid
@@ -225,8 +232,7 @@ def refit(prepared, best):
         y = [r["y"] for r in prepared.speakers.orderBy("i").collect()]  # bounded as above
         dual = materialise(gram.dual_coefficients(
             config_grams(prepared, configs), y, best["ridge_alpha"]), "dual")
-        summed = (lookup_join(used, dual, "i", "inner", spread=["ngram", "term"])
-                  .groupBy("ngram", "term").agg(F.sum(F.col("weight") * F.col("coefficient")).alias("coefficient")))
+        summed = term_coefficients(used, dual, "i")
         intercept = dual.select("intercept").first()[0]
     else:
         features, width = config_features(prepared, configs.first()["config"])
