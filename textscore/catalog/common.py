@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from textscore.sources.work import spread
+
 # A short stopword list for the checked queries; any list can be passed.
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "by", "de", "el", "en", "for", "in", "is",
              "la", "le", "of", "on", "or", "que", "the", "to", "un", "und", "with"]
@@ -11,6 +13,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark, sf_dir, name, *keys):
+    """A table whose texts are to be tokenised, on all cores."""
+    return spread(table(spark, sf_dir, name), *keys)
+
+
 def rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textscore.catalog.common import STOPWORDS, sql_documents, sql_tokens, table
+from textscore.catalog.common import STOPWORDS, sql_documents, sql_tokens, table, texts
 from textscore.functions.text import ngrams as ngram_array
 from textscore.operators.joins import lookup_join
 from textscore.plans import report, speakers, tokens
@@ -11,7 +11,7 @@ CHUNK = 1000
 
 
 def documents(spark, sf, stopwords=STOPWORDS):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents", "doc_id")
     return tokens.tokenise(docs, "text", stopwords=stopwords)
 
 
@@ -21,7 +21,7 @@ def tokenize(spark, sf):
 
 
 def token_switches(spark, sf):
-    docs = tokens.tokenise(table(spark, sf, "documents"), "text", remove_stopwords=False,
+    docs = tokens.tokenise(texts(spark, sf, "documents", "doc_id"), "text", remove_stopwords=False,
                            lowercase=False)
     return docs.select("doc_id", "token_count",
                        F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
@@ -29,7 +29,7 @@ def token_switches(spark, sf):
 
 def lemma_lookup(spark, sf):
     """Lemma table from the other corpus: a form ending in -s goes to the form without it."""
-    other = tokens.tokenise(table(spark, sf, "conversations"), "text", stopwords=STOPWORDS)
+    other = tokens.tokenise(texts(spark, sf, "conversations", "conv_id", "turn"), "text", stopwords=STOPWORDS)
     forms = other.select(F.explode("tokens").alias("form")).where("form like '%s'").distinct()
     lemmas = forms.select("form", F.regexp_replace("form", "s$", "").alias("lemma"))
     rows = tokens.token_rows(documents(spark, sf), ["doc_id"])

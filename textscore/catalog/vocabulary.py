@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from textscore import settings
 from textscore.catalog.common import (STOPWORDS, rounded, sql_frequencies, sql_tfidf,
-                                      sql_vocabulary, table)
+                                      sql_vocabulary, texts)
 from textscore.catalog.text import documents
 from textscore.operators import grid, terms
 from textscore.plans import search, tokens
@@ -14,7 +14,7 @@ TOPICS = ("thetion", "erand", "ention", "leou", "inon")
 
 
 def ads(spark, sf):
-    return tokens.tokenise(table(spark, sf, "conversations"), "text", stopwords=STOPWORDS)
+    return tokens.tokenise(texts(spark, sf, "conversations", "conv_id", "turn"), "text", stopwords=STOPWORDS)
 
 
 def speeches(spark, sf):
@@ -29,8 +29,9 @@ def vocabulary(spark, sf):
 
 def document_weights(spark, sf):
     """TF-IDF of all of a source's documents, written once for the queries that reread it."""
-    counts = terms.term_counts(speeches(spark, sf), "unique_id", ["doc_id"], 2)
-    return terms.tfidf(counts, materialise(vocabulary(spark, sf), "vocabulary"), "unique_id")
+    known = materialise(vocabulary(spark, sf), "vocabulary")
+    counts = terms.term_counts(speeches(spark, sf), "unique_id", ["doc_id"], 2, vocabulary=known)
+    return terms.tfidf(counts, known, "unique_id")
 
 
 def vocab_fit(spark, sf):

@@ -36,8 +36,12 @@ def tokens(text, stopwords=(), lowercase=True):
 
 
 def ngrams(words, n):
-    """All n-grams of a token array joined by one space; empty if it is too short."""
+    """All n-grams of a token array joined by one space; empty if it is too short.
+
+    Tokens are taken by position: slicing out each n-gram would copy the array every time.
+    """
     if n == 1:
         return words
     starts = F.slice(words, n, F.greatest(F.size(words), F.lit(1)))
-    return F.transform(starts, lambda _, i: F.array_join(F.slice(words, i + 1, n), " "))
+    return F.transform(starts, lambda _, i: F.concat_ws(
+        " ", *[F.get(words, i + k) for k in range(n)]))

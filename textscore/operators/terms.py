@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from textscore.functions.text import ngrams
-from textscore.operators.joins import lookup_join
+from textscore.operators.joins import BROADCAST_ROWS, has_at_most, lookup_join
 from textscore.operators.ordering import Ordered
 from textscore.sources.work import materialise
 
@@ -58,18 +58,23 @@ def fit_vocabulary(docs, min_df=1, max_df=1.0, max_ngram=1, max_features=None, t
     return kept.select("term", "ngram", "df", smoothed_idf(n).alias("idf"))
 
 
-def term_counts(units, key, order=None, max_ngram=1, tokens="tokens"):
+def term_counts(units, key, order=None, max_ngram=1, tokens="tokens", vocabulary=None):
     """(key, ngram, term, tf) of each key's concatenated tokens.
 
     N-grams inside a row come from its array. With several rows per key (`order` given) those
-    across row borders come from the few tokens at the borders, see `_seams`.
+    across row borders come from the few tokens at the borders, see `_seams`. Terms outside a
+    `vocabulary` small enough to broadcast are dropped before anything is shuffled; with a
+    larger one they are counted too, and vanish when the counts are joined with it.
     """
     units = units.where(F.col(key).isNotNull())
-    rows = [_exploded(units, [key], tokens, max_ngram)]
+    parts = [_exploded(units, [key], tokens, max_ngram)]
     if order and max_ngram > 1:
-        rows.append(_seams(units, key, list(order), max_ngram, tokens))
-    return reduce(lambda a, b: a.unionByName(b), rows).groupBy(key, "ngram", "term").agg(
-        F.count("*").alias("tf"))
+        parts.append(_seams(units, key, list(order), max_ngram, tokens))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    if vocabulary is not None and has_at_most(vocabulary, BROADCAST_ROWS):
+        known = F.broadcast(vocabulary.select("ngram", "term"))
+        rows = rows.join(known, ["ngram", "term"], "left_semi")
+    return rows.groupBy(key, "ngram", "term").agg(F.count("*").alias("tf"))
 
 
 def _seams(units, key, order, max_ngram, tokens):

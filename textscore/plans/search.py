@@ -62,7 +62,7 @@ def prepare(ads, speeches, order, parameters, folds, key="unique_id", target="di
     frequencies = materialise(
         parameters.cells(terms.document_frequency(ads, max_ngram), F.lit(n_ads)), "frequencies")
     speakers = materialise(target_rows(speeches, order, folds, key, target), "speakers")
-    counts = terms.term_counts(speeches, key, order, max_ngram)
+    counts = terms.term_counts(speeches, key, order, max_ngram, vocabulary=frequencies)
     vocabulary = frequencies.withColumn("idf", terms.smoothed_idf(F.lit(n_ads)))
     weights = lookup_join(counts, vocabulary, ["ngram", "term"], "inner", spread=[key])
     weights = lookup_join(weights, speakers.select("i", key), key, "inner", spread=["ngram", "term"])
@@ -254,7 +254,8 @@ def refit(prepared, best):
 def predict(model, units, key, order=None):
     """Score tokenised rows: one sum per key over its terms, the intercept where it has none."""
     settings_row = model.params.first()
-    counts = terms.term_counts(units, key, order, settings_row["max_ngram"])
+    counts = terms.term_counts(units, key, order, settings_row["max_ngram"],
+                               vocabulary=model.terms)
     joined = lookup_join(counts, model.terms, ["ngram", "term"], "inner", spread=[key])
     weight = F.col("tf") * F.col("idf")
     sums = joined.groupBy(key).agg(

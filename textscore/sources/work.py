@@ -17,6 +17,15 @@ def work_dir(spark):
     return folder.rstrip("/")
 
 
+def spread(df, *keys):
+    """Deal rows over all cores by `keys`, if the input has too few splits to use them.
+
+    Small inputs and files Spark cannot split come as one task; large ones pass unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def materialise(df, name):
     """Write `df` to a fresh shared folder and read it back, its schema unchanged."""
     spark = df.sparkSession
