@@ -52,18 +52,27 @@ class Grid:
                 .where((F.col("above") > 0) & (F.col("below") > 0)
                        & (F.col("ngram") <= max(self.max_ngram))))
 
-    def _members(self):
-        """One struct per config: the least cell numbers its terms have."""
-        configs = [(m, s, g) for m in self.min_df for s in self.max_df for g in self.max_ngram]
-        return F.array([F.struct(
-            F.lit(c).alias("config"),
-            F.lit(sum(x <= m for x in self.min_df)).alias("above"),
-            F.lit(sum(x >= s for x in self.max_df)).alias("below"),
-            F.lit(g).alias("ngram")) for c, (m, s, g) in enumerate(configs)])
+    def _least(self):
+        """(config, above, below, ngram): the least cell numbers a config's terms have."""
+        points = [(m, s, g) for m in self.min_df for s in self.max_df for g in self.max_ngram]
+        return [(c, sum(x <= m for x in self.min_df), sum(x >= s for x in self.max_df), g)
+                for c, (m, s, g) in enumerate(points)]
+
+    def number(self, min_df, max_df, max_ngram):
+        """The config with these parameters."""
+        return ((self.min_df.index(min_df) * len(self.max_df) + self.max_df.index(max_df))
+                * len(self.max_ngram) + self.max_ngram.index(max_ngram))
+
+    def has_cell(self, config):
+        """Whether a row's cell belongs to the config's vocabulary."""
+        _, above, below, ngram = self._least()[config]
+        return (F.col("above") >= above) & (F.col("below") >= below) & (F.col("ngram") <= ngram)
 
     def to_configs(self, df):
         """Repeat rows that carry a cell for each config whose vocabulary has the cell."""
-        has = F.filter(self._members(), lambda c: (c["above"] <= F.col("above"))
+        least = ", ".join(f"named_struct('config', {c}, 'above', {a}, 'below', {b}, 'ngram', {g})"
+                          for c, a, b, g in self._least())
+        has = F.filter(F.expr(f"array({least})"), lambda c: (c["above"] <= F.col("above"))
                        & (c["below"] <= F.col("below")) & (c["ngram"] >= F.col("ngram")))
         return df.withColumn("config", F.explode(F.transform(has, lambda c: c["config"])))
 

@@ -67,8 +67,11 @@ def row_index(df, order, name="row_index"):
     return ordered.result().withColumn(name, F.col(name) - 1)
 
 
-def contiguous_folds(df, order, k, name="fold"):
-    """Unshuffled k-fold: k runs of the order, the first `n mod k` one row longer."""
+def contiguous_folds(df, order, k, name="fold", index=None):
+    """Unshuffled k-fold: k runs of the order, the first `n mod k` one row longer.
+
+    `index` names a column for the position in the order, to be kept as well.
+    """
     indexed = row_index(df, order, "_index")
     n = F.lit(indexed.count())
     short = F.floor(n / F.lit(k))
@@ -77,4 +80,5 @@ def contiguous_folds(df, order, k, name="fold"):
     i = F.col("_index")
     fold = F.when(i < head, F.floor(i / (short + 1))).otherwise(
         extra + F.floor((i - head) / F.greatest(short, F.lit(1))))
-    return indexed.withColumn(name, fold.cast("int")).drop("_index")
+    folded = indexed.withColumn(name, fold.cast("int"))
+    return folded.withColumnRenamed("_index", index) if index else folded.drop("_index")

@@ -78,7 +78,12 @@ def solve_folds(gram, folds, alphas):
     test = test.unionByName(train.where(F.col("fit") == FULL))
     alphas = [float(a) for a in alphas]
 
+    schema = ("fit int, alpha double, n long, sse double, sst double, intercept double, "
+              "weights array<double>")
+
     def solve(train_rows, test_rows):
+        if train_rows.empty or test_rows.empty:  # all rows in one fold, or a fold without rows
+            return pd.DataFrame(columns=["fit", "alpha", "n", "sse", "sst", "intercept", "weights"])
         a, t = _square(train_rows), _square(test_rows)
         n, sx, sy = a[0, 0], a[0, 1:-1], a[0, -1]
         spread = a[1:-1, 1:-1] - np.outer(sx, sx) / n
@@ -96,9 +101,7 @@ def solve_folds(gram, folds, alphas):
                 "intercept": float(b), "weights": w})
         return pd.DataFrame(out)
 
-    return train.groupBy("fit").cogroup(test.groupBy("fit")).applyInPandas(
-        solve, "fit int, alpha double, n long, sse double, sst double, intercept double, "
-               "weights array<double>")
+    return train.groupBy("fit").cogroup(test.groupBy("fit")).applyInPandas(solve, schema)
 
 
 def r2(sse, sst):

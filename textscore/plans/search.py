@@ -51,8 +51,7 @@ def target_rows(speeches, order, folds, key="unique_id", target="dime"):
     """(i, key, y, fold) of the speakers with a score, in key order."""
     scored = speaker_scores(speeches, order, key, (target,)).na.drop(subset=[target])
     scored = scored.select(key, F.col(target).cast("double").alias("y"))
-    indexed = row_index(contiguous_folds(scored, [key], folds), [key], "i")
-    return indexed.select(F.col("i").cast("int").alias("i"), key, "y", "fold")
+    return contiguous_folds(scored, [key], folds, index="i").select(F.col("i").cast("int").alias("i"), key, "y", "fold")
 
 
 def prepare(ads, speeches, order, parameters, folds, key="unique_id", target="dime"):
@@ -71,19 +70,26 @@ def prepare(ads, speeches, order, parameters, folds, key="unique_id", target="di
     return Prepared(parameters, n_ads, frequencies, speakers, weights, speakers.count())
 
 
-def config_grams(prepared, configs):
-    """(config, i, values): one Gram matrix per config, summed from the cells' matrices.
+def blocks(weights):
+    """Number of term blocks for a table of weights; the table is a written one."""
+    return max(-(-weights.count() // gram.BLOCK_ROWS), 1)
 
-    A config whose terms no speaker uses still gets one, of zeros.
-    """
-    blocks = -(-prepared.weights.count() // gram.BLOCK_ROWS) or 1
-    cells = gram.gram_rows(
-        gram.partial_grams(prepared.weights, prepared.rows, grid.CELL, blocks), grid.CELL)
+
+def with_nothing(grams, spark, configs):
+    """Add an empty row per config: one whose terms no speaker uses has a matrix of zeros."""
+    empty = spark.range(1).select(
+        F.explode(F.array([F.lit(c) for c in configs])).alias("config"), F.lit(0).alias("i"),
+        F.array().cast("array<double>").alias("values"))
+    return grams.unionByName(empty)
+
+
+def config_grams(prepared, configs):
+    """(config, i, values): one Gram matrix per config, summed from the cells' matrices."""
+    cells = gram.gram_rows(gram.partial_grams(
+        prepared.weights, prepared.rows, grid.CELL, blocks(prepared.weights)), grid.CELL)
     per_config = gram.gram_rows(
-        prepared.grid.to_configs(cells).join(F.broadcast(configs.select("config")), "config"),
-        ["config"])
-    nothing = configs.select("config", F.lit(0).alias("i"), F.array().cast("array<double>").alias("values"))
-    return per_config.unionByName(nothing)
+        prepared.grid.to_configs(cells).where(F.col("config").isin(configs)), ["config"])
+    return with_nothing(per_config, prepared.weights.sparkSession, configs)
 
 
 def kernel_scores(prepared, configs, folds, alphas):
@@ -106,14 +112,10 @@ def config_features(prepared, config):
     """(i, y, fold, features) of one config as sparse vectors, and their width."""
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    one = prepared.frequencies.sparkSession.range(1).select(F.lit(config).alias("config"))
-
-    def pick(df):
-        return prepared.grid.to_configs(df).join(F.broadcast(one), "config").drop("config")
-
-    vocabulary = pick(prepared.frequencies)
+    mine = prepared.grid.has_cell(config)
+    vocabulary = prepared.frequencies.where(mine)
     width = vocabulary.count()
-    scaled = terms.normalise(pick(prepared.weights), "i")
+    scaled = terms.normalise(prepared.weights.where(mine), "i")
     vectors = terms.sparse_vectors(scaled, vocabulary, "i", width)
     nothing = F.udf(lambda: SparseVector(width, {}), VectorUDT())()
     known = prepared.speakers.select("i", "y", "fold").join(vectors, "i", "left")
@@ -152,7 +154,7 @@ def iterative_scores(features, folds, alphas, threads=4):
 def wide_scores(prepared, configs, folds, alphas):
     """Config by config, for more speakers than one Gram matrix may have rows."""
     parts = []
-    for config in [r["config"] for r in configs.select("config").collect()]:  # the grid's length
+    for config in configs:
         started = time.time()
         features, width = config_features(prepared, config)
         if width <= ridge.MAX_SIDE:
@@ -187,16 +189,17 @@ def cross_validate(prepared, alphas=settings.ALPHAS, folds=settings.FOLDS,
     bad = parameters.with_alphas(configs.where("error is not null"), alphas).withColumn(
         "error", F.concat(F.lit("TF-IDF failure: "), "error"))
     good = configs.where("error is null")
+    valid = [r["config"] for r in good.select("config").collect()]  # as long as the grid
     out = failed(bad, F.lit(0).cast("bigint"))
     points = parameters.with_alphas(good.drop("error"), alphas)
     if prepared.rows < folds:
         why = grid.SPLIT_ERROR % (folds, prepared.rows)
         scored = failed(points.withColumn("error", F.lit(why)), F.col("vocab_size"))
-    elif good.isEmpty():
+    elif not valid:
         scored = None
     else:
         route = kernel_scores if prepared.rows <= ridge.MAX_SIDE else wide_scores
-        scores = route(prepared, good, folds, alphas).withColumnRenamed("alpha", "ridge_alpha")
+        scores = route(prepared, valid, folds, alphas).withColumnRenamed("alpha", "ridge_alpha")
         scored = points.join(F.broadcast(scores), ["config", "ridge_alpha"]).drop("config")
         scored = scored.withColumn("success", F.lit(True))
     if scored is not None:
@@ -221,21 +224,22 @@ def term_coefficients(weights, dual, key):
 
 def refit(prepared, best):
     """Weights by term on all speakers, for the best config."""
-    parameters = prepared.grid
-    configs = parameters.frame(prepared.weights.sparkSession).where(
-        (F.col("min_df") == best["min_df"]) & (F.col("max_df") == best["max_df"])
-        & (F.col("max_ngram") == best["max_ngram"])).select("config")
-    mine = parameters.to_configs(prepared.frequencies).join(F.broadcast(configs), "config")
-    vocabulary = mine.select("ngram", "term", "df", terms.smoothed_idf(F.lit(prepared.ads)).alias("idf"))
-    used = parameters.to_configs(prepared.weights).join(F.broadcast(configs), "config")
+    config = prepared.grid.number(best["min_df"], best["max_df"], best["max_ngram"])
+    mine = prepared.grid.has_cell(config)
+    vocabulary = prepared.frequencies.where(mine).select(
+        "ngram", "term", "df", terms.smoothed_idf(F.lit(prepared.ads)).alias("idf"))
+    used = prepared.weights.where(mine)
     if prepared.rows <= ridge.MAX_SIDE:
         y = [r["y"] for r in prepared.speakers.orderBy("i").collect()]  # bounded as above
+        parts = gram.partial_grams(
+            used.withColumn("config", F.lit(config)), prepared.rows, ["config"], blocks(used))
         dual = materialise(gram.dual_coefficients(
-            config_grams(prepared, configs), y, best["ridge_alpha"]), "dual")
+            with_nothing(gram.gram_rows(parts, ["config"]), used.sparkSession, [config]),
+            y, best["ridge_alpha"]), "dual")
         summed = term_coefficients(used, dual, "i")
         intercept = dual.select("intercept").first()[0]
     else:
-        features, width = config_features(prepared, configs.first()["config"])
+        features, width = config_features(prepared, config)
         solver = "normal" if width <= ridge.MAX_SIDE else "l-bfgs"
         model = ridge.fit_linear(features, best["ridge_alpha"], solver=solver)
         names = row_index(vocabulary.select("ngram", "term"), ["term", "ngram"], "idx")
