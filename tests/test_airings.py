@@ -1,7 +1,8 @@
 from datetime import date
 
-from pyspark.sql import functions as F
+import pytest
 
+from textscore.operators import quantile
 from textscore.operators.pick import first_per_key
 from textscore.operators.quantile import above_quantile, exact_quantiles
 from textscore.plans import airings
@@ -34,9 +35,12 @@ def test_quantile_cut(spark):
     assert above_quantile(df.where("c < 0"), "c", 0.05).count() == 0
 
 
-def test_quantiles_match_numpy(spark):
+@pytest.mark.parametrize("small", [10 ** 6, 0])
+def test_quantiles_match_numpy(spark, monkeypatch, small):
     import numpy as np
 
+    monkeypatch.setattr(quantile, "SMALL", small)
+
     values = np.random.default_rng(1).lognormal(size=3000).round(2)
     df = spark.createDataFrame([(float(v),) for v in values], "c double")
     shares = [0.0, 0.05, 0.333, 0.9, 1.0]

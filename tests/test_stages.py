@@ -1,0 +1,76 @@
+"""From raw files to predictions."""
+
+import random
+from datetime import date
+
+import pytest
+from pyspark.errors import AnalysisException
+
+from textscore.plans import stages
+from textscore.sources import readers
+from tests.test_airings import COLUMNS, airing
+
+WORDS = ["taxes", "jobs", "border", "health", "school", "energy", "water", "roads"]
+
+
+def raw(spark, tmp_path, rng):
+    names = [f"Name{chr(65 + i)}" for i in range(12)]
+    scores = ["cycle,seat,lname,distcyc,dwdime,gen.vote.pct,gwinner"]
+    speakers = ["speakerid|speech_id|lastname|firstname|state|district"]
+    speeches = ["speech_id|speech"]
+    for i, name in enumerate(names):
+        for cycle in (2014, 2016):
+            scores.append(f"{cycle},federal:house,{name},{cycle}_TX_{i + 1},{i / 10 - 0.5 + (cycle - 2014)},50,W")
+        for k in range(3):
+            number = i * 10 + k
+            speakers.append(f"{i}|{number}|{name.upper()}|F|TX|{i + 1}.0")
+            speeches.append(f"{number}|The {' '.join(rng.choice(WORDS) for _ in range(20))} and more")
+    speeches.append("999|too|long")
+    for file, lines in (("scores.csv", scores), ("map.txt", speakers), ("speeches.txt", speeches)):
+        (tmp_path / file).write_text("\n".join(lines) + "\n", encoding="latin1")
+    (tmp_path / "ads").mkdir()
+    aired = []
+    for k in range(30):
+        (tmp_path / "ads" / f"ad{k}.txt").write_text(" ".join(rng.choice(WORDS) for _ in range(6)))
+        aired += [airing(f"ad{k}", 100.0 + k + d, cand_id=f"{names[k % 12]}_x", district=f"{k % 12 + 1:03}",
+                         airdate=date(2016, 10, 1 + d)) for d in range(2)]
+    spark.createDataFrame(aired, COLUMNS).write.parquet(str(tmp_path / "airings"))
+
+
+def test_all_stages(spark, tmp_path):
+    raw(spark, tmp_path, random.Random(1))
+    out = str(tmp_path / "out")
+    files = [str(tmp_path / f) for f in ("scores.csv", "map.txt", "speeches.txt", "ads", "airings")]
+    done = stages.clean_stage(spark, out, *files)
+    assert {n: s.first()["rows"] for n, s in done.items()} == {
+        "cleaned_speeches": 72, "cleaned_ads_airings": 57, "cleaned_ads_unique": 29}
+    assert done["cleaned_speeches"].first()["entities"] == 12
+
+    lemmas = spark.createDataFrame([("taxes", "tax"), ("jobs", "job")], "form string, lemma string")
+    stats = stages.tokenise_stage(spark, out, ["the", "and", "more"], lemmas)
+    assert stats["tokenized_speeches"].first()["median_tokens"] == 20
+    words = {w for r in readers.read_table(spark, f"{out}/tokenized_ads_unique").collect() for w in r["tokenized_ad"]}
+    assert words == {"tax", "job", *WORDS[2:]}
+
+    stages.speaker_stage(spark, out)
+    people = readers.read_table(spark, f"{out}/speakers").orderBy("unique_id").collect()
+    assert len(people) == 12 and people[0]["dime"] == pytest.approx(-0.5)
+    whole = readers.read_table(spark, f"{out}/agg_tokenized_speeches").collect()
+    assert sum(len(r["tokens"]) for r in whole) == 72 * 20
+
+    found = stages.search_stage(spark, out, min_df=(2,), max_df=(0.9,), min_vocab=5, alphas=(0.1, 1.0))
+    assert found.results.count() == 4
+    stages.predict_stage(spark, out)
+    assert readers.read_table(spark, f"{out}/tfidf_predictions").count() == 12
+
+
+def test_speeches_are_required_ads_are_not(spark, tmp_path):
+    with pytest.raises(AnalysisException):
+        stages.tokenise_stage(spark, str(tmp_path))
+
+
+def test_airings_need_no_transcripts(spark, tmp_path):
+    raw(spark, tmp_path, random.Random(2))
+    files = [str(tmp_path / f) for f in ("scores.csv", "map.txt", "speeches.txt")]
+    done = stages.clean_stage(spark, str(tmp_path / "out"), *files, airings_table=str(tmp_path / "airings"))
+    assert set(done) == {"cleaned_speeches", "cleaned_ads_airings"}

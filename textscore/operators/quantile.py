@@ -3,20 +3,35 @@
 from pyspark.sql import functions as F
 
 from textscore.operators.ordering import Ordered
+from textscore.sources.work import materialise
 
+SMALL = 200_000
 
-def exact_quantiles(df, column, shares):
-    """One row, columns `q0`, `q1`, ...: linear interpolation, NULL and NaN skipped.
 
-    Equal values are counted map-side, the distinct values are sliced by range and their
-    counts summed along the slices, so neither one task nor one buffer holds them all.
+def histogram(df, column):
+    """(v, n): distinct values and how often they occur, NULL and NaN left out.
+
+    Equal values are counted map-side. The table is written: it is read several times, the
+    rows behind it once. Missing values are left out only then, as a filter on the value
+    would be pushed down and compute a derived column twice.
     """
-    value = F.nullif(F.col(column).cast("double"), F.lit(float("nan")))
-    histogram = (df.select(value.alias("v")).where("v is not null")
-                 .groupBy("v").agg(F.count("*").alias("n")))
-    cumulated = Ordered(histogram, ["v"], "histogram").running("upto", F.col("n")).result()
-    total = cumulated.agg(F.max("upto")).scalar()
+    counted = df.select(F.col(column).cast("double").alias("v")).groupBy("v").agg(
+        F.count("*").alias("n"))
+    return materialise(counted, "histogram").where("v is not null and not isnan(v)")
+
+
+def histogram_quantiles(values, shares):
+    """One row, columns `q0`, `q1`, ...: quantiles by linear interpolation.
 
+    Spark's own aggregate takes the counts while the distinct values are few. More of them
+    are sliced by range and their counts summed along the slices, so that neither one task
+    nor one buffer has to hold them all.
+    """
+    if values.count() <= SMALL:
+        return values.agg(*[F.percentile("v", float(p), F.col("n")).alias(f"q{k}")
+                            for k, p in enumerate(shares)])
+    cumulated = Ordered(values, ["v"], "values").running("upto", F.col("n")).result()
+    total = values.agg(F.sum("n")).scalar()
     picks = []
     for k, share in enumerate(shares):
         rank = (total - 1) * F.lit(float(share))
@@ -31,6 +46,10 @@ def exact_quantiles(df, column, shares):
         for k in range(len(shares))])
 
 
+def exact_quantiles(df, column, shares):
+    return histogram_quantiles(histogram(df, column), shares)
+
+
 def above_quantile(df, column, share):
     """Rows strictly above the quantile of the rows given."""
     cut = exact_quantiles(df, column, [share]).scalar()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textscore.operators.quantile import exact_quantiles
+from textscore.operators.quantile import histogram, histogram_quantiles
 
 
 def summary(df, entity, score="dime"):
@@ -12,11 +12,12 @@ def summary(df, entity, score="dime"):
 
 
 def token_stats(df, column="token_count"):
-    """Rows, mean, median, min and max of a token count."""
-    median = exact_quantiles(df, column, [0.5]).scalar()
-    return df.agg(F.count("*").alias("rows"), F.avg(column).alias("mean_tokens"),
-                  F.min(column).alias("min_tokens"), F.max(column).alias("max_tokens"),
-                  ).withColumn("median_tokens", median)
+    """Rows, mean, median, min and max of a token count, all from one pass."""
+    counts = histogram(df, column)
+    return counts.agg(
+        F.sum("n").alias("rows"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean_tokens"),
+        F.min("v").cast("int").alias("min_tokens"), F.max("v").cast("int").alias("max_tokens"),
+    ).withColumn("median_tokens", histogram_quantiles(counts, [0.5]).scalar())
 
 
 def totals(results):

@@ -54,13 +54,14 @@ def target_rows(speeches, order, folds, key="unique_id", target="dime"):
     return contiguous_folds(scored, [key], folds, index="i").select(F.col("i").cast("int").alias("i"), key, "y", "fold")
 
 
-def prepare(ads, speeches, order, parameters, folds, key="unique_id", target="dime"):
+def prepare(ads, speeches, order, parameters, folds, key="unique_id", target="dime",
+            score_order=None):
     """Count everything once: n-grams per speaker, document frequencies, cells."""
     max_ngram = max(parameters.max_ngram)
     n_ads = ads.count()
     frequencies = materialise(
         parameters.cells(terms.document_frequency(ads, max_ngram), F.lit(n_ads)), "frequencies")
-    speakers = materialise(target_rows(speeches, order, folds, key, target), "speakers")
+    speakers = materialise(target_rows(speeches, score_order or order, folds, key, target), "speakers")
     counts = terms.term_counts(speeches, key, order, max_ngram, vocabulary=frequencies)
     vocabulary = frequencies.withColumn("idf", terms.smoothed_idf(F.lit(n_ads)))
     weights = lookup_join(counts, vocabulary, ["ngram", "term"], "inner", spread=[key])
@@ -271,14 +272,15 @@ def predict(model, units, key, order=None):
 
 def grid_search(ads, speeches, order=("speech_id",), min_df=settings.MIN_DF, max_df=settings.MAX_DF,
                 max_ngram=settings.MAX_NGRAM, alphas=settings.ALPHAS, folds=settings.FOLDS,
-                min_vocab=settings.MIN_VOCAB, key="unique_id", target="dime"):
+                min_vocab=settings.MIN_VOCAB, key="unique_id", target="dime", score_order=None):
     """Evaluate the grid, pick the best point, refit it on all speakers.
 
     `ads` needs an array column `tokens`; `speeches` needs `tokens`, `key`, `target` and the
-    `order` columns, which together with the key are unique.
+    `order` columns, which together with the key are unique. A speaker's target is the first
+    one in `score_order`, by default the same order.
     """
     prepared = prepare(ads, speeches, list(order), grid.Grid(min_df, max_df, max_ngram), folds,
-                       key, target)
+                       key, target, score_order)
     results = materialise(cross_validate(prepared, alphas, folds, min_vocab), "cv_results")
     best = best_config(results)
     return Search(results, best, refit(prepared, best))

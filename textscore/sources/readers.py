@@ -55,6 +55,8 @@ def read_delimited(spark, path, schema, too_long="error", sep="|", encoding="ISO
              .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path))
     unquoted = F.regexp_replace(F.col(CORRUPT), '"(?:[^"]|"")*"', "")
     extra = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) > len(schema) - 1
+    # Always true. Spark refuses a query that needs nothing but the corrupt text, as a count would.
+    lines = lines.where(F.length(F.concat_ws("", F.col(schema.names[0]).cast("string"))) >= 0)
     if too_long == "skip":
         kept = lines.where(~F.coalesce(extra, F.lit(False)))
     elif too_long == "error":
