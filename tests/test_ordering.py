@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from textscore.operators.ordering import SLICE, Ordered, contiguous_folds, row_index
+from textscore.operators.ordering import SLICE, Ordered, contiguous_folds, folds_of_index, row_index
 
 
 @pytest.mark.parametrize("n,k,sizes", [(12, 5, [3, 3, 2, 2, 2]), (13, 5, [3, 3, 3, 2, 2]),
@@ -12,8 +12,11 @@ def test_fold_sizes_and_order(spark, n, k, sizes):
     names = [f"k{i:03}" for i in range(n)]
     random.Random(1).shuffle(names)
     df = spark.createDataFrame([(x,) for x in names], "key string")
-    got = contiguous_folds(df, ["key"], k, index="i").orderBy("key").collect()
-    assert [r["i"] for r in got] == list(range(n))
+    got = contiguous_folds(df, ["key"], k).orderBy("key").collect()
+    indexed = row_index(df, ["key"], "i").orderBy("key").collect()
+    assert [r["i"] for r in indexed] == list(range(n))
+    by_index = row_index(df, ["key"], "i").select("key", folds_of_index("i", n, k).alias("fold"))
+    assert by_index.orderBy("key").collect() == got
     assert [r["fold"] for r in got] == [f for f, size in enumerate(sizes) for _ in range(size)]
 
 

@@ -136,8 +136,8 @@ def test_embedding_search(spark):
 def test_embedding_lengths_must_agree(spark):
     df = spark.createDataFrame([(1, [1.0], 1.0), (2, [1.0, 2.0], 1.0)],
                                "id int, embedding array<float>, label double")
-    with pytest.raises(ValueError):
-        embed.embedding_search(df, "id", "label")
+    with pytest.raises(Exception, match="not all of"):
+        embed.embedding_search(df, "id", "label", folds=2)
 
 
 def test_holdout_is_stable(spark):

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from textscore.functions import text
@@ -27,6 +28,17 @@ def test_stopwords_are_tested_before_the_lemma(spark, rows):
     assert rows(tokens.token_arrays(lemmatised, ["id"])) == [(1, ["do", "job", "taxes"])]
 
 
+@pytest.mark.parametrize("bound", [10 ** 6, 0])
+def test_lemmas_of_arrays(spark, rows, monkeypatch, bound):
+    """Looked up in Arrow batches, and joined."""
+    monkeypatch.setattr(tokens, "BROADCAST_ROWS", bound)
+    df = spark.createDataFrame([(1, ["Doing", "x", "jobs", "jobs"]), (2, [])], "id int, tokens array<string>")
+    lemmas = spark.createDataFrame([("doing", "do"), ("jobs", "Job"), ("jobs", "Zob"), ("x", None)],
+                                   "form string, lemma string")
+    assert rows(tokens.lemmatise_arrays(df, lemmas, "tokens", ["id"]), "id") == [
+        (1, ["do", "x", "job", "job"]), (2, [])]
+
+
 def test_switches(spark):
     df = spark.createDataFrame([("The Tax",)], "t string")
     kept = tokens.tokenise(df, "t", remove_stopwords=False, lowercase=False).first()

@@ -6,6 +6,7 @@ from textscore.catalog.common import STOPWORDS, sql_documents, sql_tokens, table
 from textscore.functions.text import ngrams as ngram_array
 from textscore.operators.joins import lookup_join
 from textscore.plans import report, speakers, tokens
+from textscore.sources.work import materialise
 
 CHUNK = 1000
 
@@ -27,11 +28,23 @@ def token_switches(spark, sf):
                        F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
-def lemma_lookup(spark, sf):
+def _lemmas(spark, sf):
     """Lemma table from the other corpus: a form ending in -s goes to the form without it."""
     other = tokens.tokenise(texts(spark, sf, "conversations", "conv_id", "turn"), "text", stopwords=STOPWORDS)
     forms = other.select(F.explode("tokens").alias("form")).where("form like '%s'").distinct()
-    lemmas = forms.select("form", F.regexp_replace("form", "s$", "").alias("lemma"))
+    return forms.select("form", F.regexp_replace("form", "s$", "").alias("lemma"))
+
+
+def lemma_lookup(spark, sf):
+    lemmas = _lemmas(spark, sf)
+    arrays = tokens.lemmatise_arrays(documents(spark, sf), lemmas, "tokens", ["doc_id"])
+    return arrays.select("doc_id", "token_count",
+                         F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
+
+
+def lemma_join(spark, sf):
+    """The same by a join of the long form, the way of large lemma tables."""
+    lemmas = _lemmas(spark, sf)
     rows = tokens.token_rows(documents(spark, sf), ["doc_id"])
     arrays = tokens.token_arrays(tokens.lemmatise(rows, lemmas, ["doc_id"]), ["doc_id"])
     return arrays.select("doc_id", F.size("tokens").alias("token_count"),
@@ -48,7 +61,7 @@ def _speeches(spark, sf):
     speeches = documents(spark, sf).select(
         "doc_id", F.nullif("source", F.lit("src3")).alias("unique_id"), "tokens",
         F.when(F.col("lang") == "en", F.col("n_chars")).alias("dime"))
-    return lookup_join(speeches, quality, "doc_id")
+    return materialise(lookup_join(speeches, quality, "doc_id"), "speeches")
 
 
 def speaker_first_values(spark, sf):
@@ -69,7 +82,7 @@ def ngrams(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    tokenize, token_switches, lemma_lookup, token_stats, speaker_first_values,
+    tokenize, token_switches, lemma_lookup, lemma_join, token_stats, speaker_first_values,
     speaker_aggregate, ngrams)}
 
 ORACLE = {
@@ -81,7 +94,7 @@ ORACLE = {
         WITH docs AS (SELECT doc_id, {sql_tokens('text', [], False)} AS tokens FROM documents)
         SELECT doc_id, CAST(len(tokens) AS INTEGER) AS token_count,
                md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM docs""",
-    "lemma_lookup": f"""
+    "lemma_join": f"""
         WITH {sql_documents()},
         forms AS (SELECT DISTINCT form FROM (
                       SELECT unnest({sql_tokens('text')}) AS form FROM conversations)
@@ -92,6 +105,17 @@ ORACLE = {
         SELECT id AS doc_id, CAST(count(*) AS INTEGER) AS token_count,
                md5(string_agg(term, ' ' ORDER BY pos)) AS tokens_md5
         FROM rows GROUP BY id""",
+    "lemma_lookup": f"""
+        WITH {sql_documents()},
+        forms AS (SELECT DISTINCT form FROM (
+                      SELECT unnest({sql_tokens('text')}) AS form FROM conversations)
+                  WHERE form LIKE '%s')
+        SELECT id AS doc_id, CAST(len(any_value(tokens)) AS INTEGER) AS token_count,
+               md5(coalesce(string_agg(CASE WHEN form IS NULL THEN token
+                                       ELSE left(token, length(token) - 1) END, ' ' ORDER BY pos),
+                            '')) AS tokens_md5
+        FROM docs LEFT JOIN docs_rows USING (id) LEFT JOIN forms ON token = form
+        GROUP BY id""",
     "token_stats": f"""
         WITH {sql_documents()}
         SELECT count(*) AS rows, round(avg(len(tokens)), 6) AS mean_tokens,

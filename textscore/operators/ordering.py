@@ -6,6 +6,9 @@ spread. Windows run inside a slice; what earlier slices contribute comes from a
 one row per slice.
 """
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -67,18 +70,30 @@ def row_index(df, order, name="row_index"):
     return ordered.result().withColumn(name, F.col(name) - 1)
 
 
-def contiguous_folds(df, order, k, name="fold", index=None):
-    """Unshuffled k-fold: k runs of the order, the first `n mod k` one row longer.
+def fold_starts(n, k):
+    """Positions at which the k folds of n rows start; the first `n mod k` are one row longer."""
+    return [f * (n // k) + min(f, n % k) for f in range(k)]
+
+
+def _reached(reached):
+    return reduce(add, [r.cast("int") for r in reached], F.lit(0))
+
+
+def folds_of_index(index, n, k):
+    """Fold of a row by its position among n."""
+    return _reached([F.col(index) >= start for start in fold_starts(n, k)[1:]])
+
+
+def contiguous_folds(df, order, k, name="fold"):
+    """Unshuffled k-fold: k runs of the order, whose columns must be unique and not NULL.
 
-    `index` names a column for the position in the order, to be kept as well.
+    Only the order columns are sorted, to find the k - 1 rows at which a fold starts; the
+    table itself is then compared with these and not moved.
     """
-    indexed = row_index(df, order, "_index")
-    n = F.lit(indexed.count())
-    short = F.floor(n / F.lit(k))
-    extra = F.pmod(n, F.lit(k))
-    head = extra * (short + 1)
-    i = F.col("_index")
-    fold = F.when(i < head, F.floor(i / (short + 1))).otherwise(
-        extra + F.floor((i - head) / F.greatest(short, F.lit(1))))
-    folded = indexed.withColumn(name, fold.cast("int"))
-    return folded.withColumnRenamed("_index", index) if index else folded.drop("_index")
+    indexed = row_index(df.select(*order), order, "_index")
+    starts = fold_starts(indexed.count(), k)[1:]
+    borders = indexed.where(F.col("_index").isin(starts)).orderBy("_index").collect()  # k - 1 rows
+    key = F.struct(*order)
+    reached = [key >= F.struct(*[F.lit(row[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+               for row in borders]
+    return df.withColumn(name, _reached(reached))

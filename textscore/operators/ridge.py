@@ -48,6 +48,8 @@ def augmented_gram(df, features, label="y", fold="fold", width=None, values=None
             for f, part in pdf.groupby("fold"):
                 m = np.zeros((len(part), size))
                 m[:, 0], m[:, -1] = 1.0, part["y"]
+                if not values and any(len(x) != width for x in part["x"]):
+                    raise ValueError(f"vectors are not all of {width} numbers")
                 if values:
                     at = np.repeat(np.arange(len(part)), [len(x) for x in part["x"]])
                     m[at, 1 + np.concatenate(part["x"].to_list()).astype(int)] = np.concatenate(

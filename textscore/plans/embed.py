@@ -8,11 +8,8 @@ from textscore.operators.ordering import contiguous_folds
 
 
 def dimension(df, column="embedding"):
-    """Length of the vectors; vectors of different lengths are an error."""
-    low, high = df.agg(F.min(F.size(column)), F.max(F.size(column))).first()
-    if low != high:
-        raise ValueError(f"vectors of {low} to {high} numbers in {column}")
-    return low
+    """Length of the first vector; that all have it is checked while they are summed."""
+    return df.select(F.size(column)).first()[0]
 
 
 def embedding_search(df, key, target, column="embedding", alphas=settings.EMBEDDING_ALPHAS,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textscore import settings
 from textscore.operators import gram, grid, ridge, terms
 from textscore.operators.joins import lookup_join
-from textscore.operators.ordering import contiguous_folds, row_index
+from textscore.operators.ordering import folds_of_index, row_index
 from textscore.plans.speakers import speaker_scores
 from textscore.schemas import CV_RESULTS
 from textscore.sources.work import materialise
@@ -51,7 +51,9 @@ def target_rows(speeches, order, folds, key="unique_id", target="dime"):
     """(i, key, y, fold) of the speakers with a score, in key order."""
     scored = speaker_scores(speeches, order, key, (target,)).na.drop(subset=[target])
     scored = scored.select(key, F.col(target).cast("double").alias("y"))
-    return contiguous_folds(scored, [key], folds, index="i").select(F.col("i").cast("int").alias("i"), key, "y", "fold")
+    indexed = row_index(scored, [key], "i")
+    fold = folds_of_index("i", indexed.count(), folds)
+    return indexed.select(F.col("i").cast("int").alias("i"), key, "y", fold.alias("fold"))
 
 
 def prepare(ads, speeches, order, parameters, folds, key="unique_id", target="dime",

@@ -24,17 +24,22 @@ def speaker_tokens(df, order=("speech_id",), key="unique_id", tokens="tokens"):
     """Each speaker's concatenated token list as rows (key, pos, term).
 
     Positions are offsets along the order (key, *order): a running token count over all
-    speeches less the count at the speaker's first speech.
+    speeches less the count at the speaker's first speech. Only the counts are sorted. The
+    speeches are joined with their offsets by key and order, which together are unique, so a
+    hot speaker's speeches spread like all others.
     """
-    speeches = df.where(F.col(key).isNotNull()).select(key, *order, F.col(tokens).alias("tokens"))
-    size = F.size("tokens").cast("bigint")
-    ordered = Ordered(speeches, [key, *order], "speeches")
+    speeches = df.where(F.col(key).isNotNull())
+    size = F.col("_size")
+    ordered = Ordered(speeches.select(key, *order, F.size(tokens).cast("bigint").alias("_size")),
+                      [key, *order], "sizes")
     ordered.running("_upto", size).previous("_before", F.col(key))
     start = F.when(F.col("_before").isNull() | (F.col("_before") != F.col(key)),
                    F.col("_upto") - size)
     ordered.running("_start", start, "max")
-    offset = F.col("_upto") - size - F.col("_start")
-    return (ordered.result().select(key, offset.alias("_offset"), F.posexplode("tokens").alias("_i", "term"))
+    offsets = ordered.result().select(
+        key, *order, (F.col("_upto") - size - F.col("_start")).alias("_offset"))
+    placed = speeches.select(key, *order, tokens).join(offsets, [key, *order])
+    return (placed.select(key, "_offset", F.posexplode(tokens).alias("_i", "term"))
             .select(key, (F.col("_offset") + F.col("_i")).alias("pos"), "term"))
 
 

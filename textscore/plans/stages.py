@@ -6,8 +6,6 @@
     python -m textscore predict  --out OUT
 """
 
-from pyspark.sql import functions as F
-
 from textscore.plans import airings, clean, report, search, speakers, tokens
 from textscore.sources import readers, writers
 
@@ -44,10 +42,7 @@ def _tokens(df, column, ids, out, stopwords, lemmas):
     cut = tokens.tokenise(df, column, out, stopwords)
     if lemmas is None:
         return cut
-    listed = tokens.token_rows(cut.select(*ids, out), ids, out)
-    arrays = tokens.token_arrays(tokens.lemmatise(listed, lemmas, ids), ids, out=out)
-    whole = cut.drop(out).join(arrays, ids, "left")
-    return whole.withColumn(out, F.coalesce(out, F.array().cast("array<string>")))
+    return tokens.lemmatise_arrays(cut, lemmas, out, ids)
 
 
 def tokenise_stage(spark, out, stopwords=None, lemmas=None):
