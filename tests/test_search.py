@@ -124,6 +124,12 @@ def test_too_few_speakers_fail_each_point(spark):
     assert all(r["vocab_size"] > 0 and "n_splits=5" in r["error"] for r in rows)
 
 
+def test_missing_columns(spark):
+    _, _, ads, speeches = corpus(spark)
+    with pytest.raises(ValueError, match="dime"):
+        search.grid_search(ads, speeches.drop("dime"))
+
+
 def test_nothing_succeeds(spark):
     _, _, ads, speeches = corpus(spark)
     with pytest.raises(ValueError):

@@ -64,6 +64,19 @@ def test_all_stages(spark, tmp_path):
     assert readers.read_table(spark, f"{out}/tfidf_predictions").count() == 12
 
 
+def test_embeddings(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(f"k{i}", [rng.random() for _ in range(3)]) for i in range(40)]
+    df = spark.createDataFrame([(k, x, 2 * x[0] - x[2] + rng.random() / 10) for k, x in rows],
+                               "unique_id string, embedding array<float>, dime double")
+    df.write.parquet(str(tmp_path / "e"))
+    best = stages.embedding_stage(spark, str(tmp_path / "out"), str(tmp_path / "e"))
+    assert best["alpha"] == 0.1 and best["train_r2"] > 0.9
+    predicted = readers.read_table(spark, str(tmp_path / "out/embeddings_predictions"))
+    joined = predicted.join(df, "unique_id").selectExpr("corr(prediction, dime)").first()[0]
+    assert predicted.count() == 40 and joined > 0.95
+
+
 def test_speeches_are_required_ads_are_not(spark, tmp_path):
     with pytest.raises(AnalysisException):
         stages.tokenise_stage(spark, str(tmp_path))

@@ -48,7 +48,7 @@ def test_transform(spark, rows):
 @pytest.mark.parametrize("limit", [10 ** 6, 0])
 def test_counts_equal_those_of_the_joined_text(spark, monkeypatch, max_ngram, limit):
     """N-grams across rows, with empty and one-token rows and a hot key."""
-    monkeypatch.setattr(terms, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(terms, "FILTER_ROWS", limit)
     rng = random.Random(max_ngram)
     data = [("hot" if rng.random() < 0.6 else rng.choice("ab"), i,
              [rng.choice("xyzw") for _ in range(rng.choice([0, 0, 1, 1, 2, 6]))]) for i in range(300)]

@@ -8,13 +8,14 @@ from textscore.sources import readers
 def main():
     parser = argparse.ArgumentParser(prog="textscore", description=stages.__doc__,
                                      formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("stage", choices=["clean", "tokenise", "search", "predict"])
+    parser.add_argument("stage", choices=["clean", "tokenise", "search", "predict", "embed"])
     parser.add_argument("--out", required=True, help="folder of the tables handed on")
     for name in ("scores", "speaker-map", "speeches", "ad-texts", "airings"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--single-line", action="store_true",
                         help="no quoted field spans lines: large files may be split")
     parser.add_argument("--stopwords", help="text file, one word per line")
+    parser.add_argument("--embeddings", help="Parquet table (unique_id, embedding, dime)")
     parser.add_argument("--lemmas", help="Parquet table (form, lemma)")
     args = parser.parse_args()
     spark = session()
@@ -34,6 +35,8 @@ def main():
     elif args.stage == "search":
         for part in report.report(stages.search_stage(spark, args.out).results).values():
             part.show(truncate=False)
+    elif args.stage == "embed":
+        print(stages.embedding_stage(spark, args.out, args.embeddings))
     else:
         stages.predict_stage(spark, args.out)
 

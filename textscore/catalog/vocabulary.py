@@ -29,7 +29,7 @@ def vocabulary(spark, sf):
 
 def document_weights(spark, sf):
     """TF-IDF of all of a source's documents, written once for the queries that reread it."""
-    known = materialise(vocabulary(spark, sf), "vocabulary")
+    known = vocabulary(spark, sf)
     counts = terms.term_counts(speeches(spark, sf), "unique_id", ["doc_id"], 2, vocabulary=known)
     return terms.tfidf(counts, known, "unique_id")
 
@@ -72,8 +72,7 @@ def feature_vectors(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     weights = document_weights(spark, sf)
-    known = materialise(vocabulary(spark, sf), "vocabulary")
-    vectors = terms.sparse_vectors(weights, known, "unique_id")
+    vectors = terms.sparse_vectors(weights, vocabulary(spark, sf), "unique_id")
     values = vector_to_array("features")
     return vectors.select(
         "unique_id", F.size(values).alias("width"),

@@ -51,9 +51,10 @@ def correct(df, mapping, column="unique_id"):
 
 def days_before(day, date):
     """Whole days from `date` to the fixed `day`; a time of day floors the difference."""
-    seconds = F.unix_timestamp(F.lit(day).cast("timestamp")) - F.unix_timestamp(
-        F.col(date).cast("timestamp"))
-    return F.floor(seconds / F.lit(86400.0))
+    midnight = F.to_date(F.col(date))
+    started = F.col(date).cast("timestamp") > midnight.cast("timestamp")
+    days = F.datediff(F.lit(day).cast("date"), midnight) - F.when(started, 1).otherwise(0)
+    return days.cast("bigint")
 
 
 def bucket(c, width):

@@ -13,20 +13,28 @@ from pyspark.sql import functions as F
 
 from textscore.operators.ridge import FULL, sum_arrays
 
-BLOCK_ROWS = 2_000_000
+# Rows per block of terms: as many as its matrix has numbers, within these limits.
+BLOCK_ROWS = (50_000, 2_000_000)
 CHUNK = 1024
 
 
+def block_count(nonzeros, n):
+    least, most = BLOCK_ROWS
+    return max(-(-nonzeros // min(max(n * n, least), most)), 1)
+
+
 def partial_grams(weights, n, cell, blocks=1):
     """(cell columns, i, values): Gram rows of each cell's terms, to be summed.
 
     `weights` holds one row (cell, ngram, term, i, weight) per row i < n and term.
     """
-    keyed = weights.withColumn("block", F.pmod(F.xxhash64("ngram", "term"), F.lit(blocks)))
     cell = list(cell)
+    keyed = weights.select(
+        *cell, "i", "weight", F.concat_ws(":", "ngram", "term").alias("column"),
+        F.pmod(F.xxhash64("ngram", "term"), F.lit(blocks)).alias("block"))
 
     def share(keys, pdf):
-        columns, _ = pd.factorize(pdf["term"] + "\x00" + pdf["ngram"].astype(str))
+        columns, _ = pd.factorize(pdf["column"])
         i, w = pdf["i"].to_numpy(), pdf["weight"].to_numpy()
         present, at = np.unique(i, return_inverse=True)
         by_column = np.argsort(columns, kind="stable")

@@ -1,20 +1,29 @@
 """Joins of a large table with a dimension, safe against hot keys."""
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 128 * 2 ** 20
 SALTS = 32
 
 
-def has_at_most(df, rows):
-    """Whether `df` is that small; reads no more than one row past the bound."""
-    return df.limit(rows + 1).count() <= rows
+def has_at_most(df, rows, size=BROADCAST_BYTES):
+    """Whether `df` has at most so many rows and bytes; reads one row past the bound at most."""
+    texts = [F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string")), F.lit(0))
+             for f in df.schema if f.dataType.typeName() in ("string", "struct", "array", "map")]
+    fixed = F.lit(16 * len(df.columns))
+    found = df.limit(rows + 1).agg(
+        F.count("*"), F.coalesce(F.sum(reduce(add, texts, fixed)), F.lit(0))).first()
+    return found[0] <= rows and found[1] <= size
 
 
 def lookup_join(big, dim, on, how="left", spread=None, max_rows=BROADCAST_ROWS, salts=SALTS):
     """Join `big` with `dim` on equal `on` columns.
 
-    A dimension within `max_rows` rows is broadcast. A larger one is joined by shuffle, each
+    A dimension within `max_rows` rows and `BROADCAST_BYTES` is broadcast. A larger one is joined by shuffle, each
     key of `big` dealt over `salts` partitions by the hash of its `spread` columns and `dim`
     repeated as often, so one key with a third of all rows does not end in one task.
     """

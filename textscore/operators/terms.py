@@ -5,10 +5,13 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from textscore.functions.text import ngrams
-from textscore.operators.joins import BROADCAST_ROWS, has_at_most, lookup_join
+from textscore.operators.joins import has_at_most, lookup_join
 from textscore.operators.ordering import Ordered
 from textscore.sources.work import materialise
 
+# A vocabulary that small, in rows and bytes, is sent to every task to drop unknown terms.
+FILTER_ROWS = 2_000_000
+
 
 def _exploded(df, ids, tokens, max_ngram, distinct=False):
     """Rows (ids, ngram, term) of all 1..max_ngram-grams."""
@@ -47,6 +50,7 @@ def within_bounds(min_df, max_df, n):
 def fit_vocabulary(docs, min_df=1, max_df=1.0, max_ngram=1, max_features=None, tokens="tokens"):
     """(term, ngram, df, idf) of the terms within the bounds; empty documents count in n.
 
+    A written table, as whatever applies it reads it several times.
     `max_features` keeps the terms most frequent in the corpus, equal ones by spelling.
     """
     n = docs.agg(F.count("*")).scalar()
@@ -55,7 +59,8 @@ def fit_vocabulary(docs, min_df=1, max_df=1.0, max_ngram=1, max_features=None, t
     else:
         kept = (corpus_frequency(docs, max_ngram, tokens).where(within_bounds(min_df, max_df, n))
                 .orderBy(F.desc("cf"), "term").limit(max_features))
-    return kept.select("term", "ngram", "df", smoothed_idf(n).alias("idf"))
+    fitted = kept.select("term", "ngram", "df", smoothed_idf(n).alias("idf"))
+    return materialise(fitted, "vocabulary")
 
 
 def term_counts(units, key, order=None, max_ngram=1, tokens="tokens", vocabulary=None):
@@ -71,9 +76,10 @@ def term_counts(units, key, order=None, max_ngram=1, tokens="tokens", vocabulary
     if order and max_ngram > 1:
         parts.append(_seams(units, key, list(order), max_ngram, tokens))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    if vocabulary is not None and has_at_most(vocabulary, BROADCAST_ROWS):
-        known = F.broadcast(vocabulary.select("ngram", "term"))
-        rows = rows.join(known, ["ngram", "term"], "left_semi")
+    if vocabulary is not None:
+        known = vocabulary.select("ngram", "term")
+        if has_at_most(known, FILTER_ROWS):
+            rows = rows.join(F.broadcast(known), ["ngram", "term"], "left_semi")
     return rows.groupBy(key, "ngram", "term").agg(F.count("*").alias("tf"))
 
 

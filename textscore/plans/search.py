@@ -47,6 +47,12 @@ class Prepared:
     rows: int
 
 
+def require(df, columns):
+    missing = [c for c in columns if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+
+
 def target_rows(speeches, order, folds, key="unique_id", target="dime"):
     """(i, key, y, fold) of the speakers with a score, in key order."""
     scored = speaker_scores(speeches, order, key, (target,)).na.drop(subset=[target])
@@ -73,11 +79,6 @@ def prepare(ads, speeches, order, parameters, folds, key="unique_id", target="di
     return Prepared(parameters, n_ads, frequencies, speakers, weights, speakers.count())
 
 
-def blocks(weights):
-    """Number of term blocks for a table of weights; the table is a written one."""
-    return max(-(-weights.count() // gram.BLOCK_ROWS), 1)
-
-
 def with_nothing(grams, spark, configs):
     """Add an empty row per config: one whose terms no speaker uses has a matrix of zeros."""
     empty = spark.range(1).select(
@@ -89,7 +90,7 @@ def with_nothing(grams, spark, configs):
 def config_grams(prepared, configs):
     """(config, i, values): one Gram matrix per config, summed from the cells' matrices."""
     cells = gram.gram_rows(gram.partial_grams(
-        prepared.weights, prepared.rows, grid.CELL, blocks(prepared.weights)), grid.CELL)
+        prepared.weights, prepared.rows, grid.CELL, gram.block_count(prepared.weights.count(), prepared.rows)), grid.CELL)
     per_config = gram.gram_rows(
         prepared.grid.to_configs(cells).where(F.col("config").isin(configs)), ["config"])
     return with_nothing(per_config, prepared.weights.sparkSession, configs)
@@ -235,7 +236,8 @@ def refit(prepared, best):
     if prepared.rows <= ridge.MAX_SIDE:
         y = [r["y"] for r in prepared.speakers.orderBy("i").collect()]  # bounded as above
         parts = gram.partial_grams(
-            used.withColumn("config", F.lit(config)), prepared.rows, ["config"], blocks(used))
+            used.withColumn("config", F.lit(config)), prepared.rows, ["config"],
+            gram.block_count(used.count(), prepared.rows))
         dual = materialise(gram.dual_coefficients(
             with_nothing(gram.gram_rows(parts, ["config"]), used.sparkSession, [config]),
             y, best["ridge_alpha"]), "dual")
@@ -281,6 +283,8 @@ def grid_search(ads, speeches, order=("speech_id",), min_df=settings.MIN_DF, max
     `order` columns, which together with the key are unique. A speaker's target is the first
     one in `score_order`, by default the same order.
     """
+    require(ads, ["tokens"])
+    require(speeches, ["tokens", key, target, *order, *(score_order or [])])
     prepared = prepare(ads, speeches, list(order), grid.Grid(min_df, max_df, max_ngram), folds,
                        key, target, score_order)
     results = materialise(cross_validate(prepared, alphas, folds, min_vocab), "cv_results")

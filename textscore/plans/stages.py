@@ -4,10 +4,16 @@
     python -m textscore tokenise --out OUT [--stopwords FILE] [--lemmas TABLE]
     python -m textscore search   --out OUT
     python -m textscore predict  --out OUT
+    python -m textscore embed    --out OUT --embeddings TABLE
 """
 
-from textscore.plans import airings, clean, report, search, speakers, tokens
+from pyspark.sql import functions as F
+
+from textscore import settings
+from textscore.operators import ridge
+from textscore.plans import airings, clean, embed, report, search, speakers, tokens
 from textscore.sources import readers, writers
+from textscore.sources.work import materialise
 
 ORDER = ["speech_id", "cycle"]
 
@@ -79,6 +85,22 @@ def search_stage(spark, out, **grid):
     return found
 
 
+def embedding_stage(spark, out, table, key="unique_id", target="dime", column="embedding",
+                    alphas=settings.EMBEDDING_ALPHAS, folds=settings.FOLDS):
+    """Ridge on given embeddings: results by alpha, the best model, its predictions."""
+    df = readers.read_table(spark, table)
+    fits = materialise(embed.embedding_search(df, key, target, column, alphas, folds), "fits")
+    writers.write_table(embed.embedding_scores(fits), f"{out}/embeddings_cv_results")
+    results = readers.read_table(spark, f"{out}/embeddings_cv_results")
+    best = results.orderBy(F.desc("cv_r2_mean"), "alpha").first()
+    model = fits.where((F.col("fit") == ridge.FULL) & (F.col("alpha") == best["alpha"])).select(
+        "alpha", "intercept", "weights")
+    writers.write_table(model, f"{out}/embeddings_model")
+    scored = embed.score_embeddings(df.where(F.col(column).isNotNull()), model.first(), column)
+    writers.write_table(scored.select(key, "prediction"), f"{out}/embeddings_predictions")
+    return best
+
+
 def predict_stage(spark, out):
     """Predictions for all speakers of the tokenised speeches."""
     speeches = readers.read_table(spark, f"{out}/tokenized_speeches").withColumnRenamed(
