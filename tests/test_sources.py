@@ -24,8 +24,10 @@ def test_malformed_lines(spark, rows, tmp_path):
 
 def test_long_lines_are_an_error_in_the_map(spark, tmp_path):
     head = b"speakerid|speech_id|lastname|firstname|state|district\n"
-    good = readers.read_speaker_map(spark, write(tmp_path / "a.txt", head + b"1|2|Reed|J|RI|\n3|4|Lee\n"))
-    assert [r["lastname"] for r in good.collect()] == ["Reed", "Lee"]
+    good = readers.read_speaker_map(
+        spark, write(tmp_path / "a.txt", head + b"1|2|Reed|J|RI|\n3|4|Lee\n5|6|NA|nan|\"\"|NA\n"))
+    assert [tuple(r) for r in good.collect()] == [
+        (1, 2, "Reed", "J", "RI", None), (3, 4, "Lee", None, None, None), (5, 6, None, None, None, None)]
     bad = readers.read_speaker_map(spark, write(tmp_path / "b.txt", head + b"1|2|Reed|J|RI|1.0|x\n"))
     with pytest.raises(Exception, match="too many fields"):
         bad.collect()

@@ -44,11 +44,12 @@ def read_scores(spark, path, multi_line=True):
 
 
 def read_delimited(spark, path, schema, too_long="error", sep="|", encoding="ISO-8859-1",
-                   multi_line=True):
+                   multi_line=True, null_words=NULL_WORDS):
     """A delimited dump in which a line may have the wrong number of fields.
 
     A line with too few is kept, the rest NULL. One with too many is an error, or is left out
-    with `too_long="skip"`.
+    with `too_long="skip"`. Texts that spell a missing value are NULL, as are numbers that
+    cannot be read.
     """
     with_corrupt = schema.__class__(list(schema)).add(CORRUPT, "string")
     lines = (_csv(spark, with_corrupt, sep, encoding, multi_line).option("mode", "PERMISSIVE")
@@ -65,7 +66,8 @@ def read_delimited(spark, path, schema, too_long="error", sep="|", encoding="ISO
         kept = lines.where(checked)
     else:
         raise ValueError("too_long: error or skip")
-    return kept.drop(CORRUPT)
+    texts = [f.name for f in schema if f.dataType.typeName() == "string"]
+    return blank_null_words(kept.drop(CORRUPT), texts, null_words)
 
 
 def read_speaker_map(spark, path, **options):
