@@ -62,6 +62,16 @@ def test_fan_out_and_latest(spark, rows, monkeypatch, bound):
     assert rows(latest.select("speech_id", "dime"), "speech_id") == [(1, 0.3), (2, 0.3), (3, -0.2)]
 
 
+def test_score_join_becomes_inner(spark):
+    plan = clean.join_scores(speeches(spark), scores(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan
+
+
+def test_present_drops_nan(spark):
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c"), (2.0, None)], "x double, t string")
+    assert clean.present(df, "x", "t").collect() == [(1.0, "a")]
+
+
 def test_missing_keys_match_only_on_request(spark, rows):
     left = speeches(spark).withColumn("unique_id", F.nullif("unique_id", F.lit("SMITH_TX_1")))
     assert clean.join_scores(left, scores(spark), min_length=0).count() == 1

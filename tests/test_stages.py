@@ -61,7 +61,15 @@ def test_all_stages(spark, tmp_path):
     found = stages.search_stage(spark, out, min_df=(2,), max_df=(0.9,), min_vocab=5, alphas=(0.1, 1.0))
     assert found.results.count() == 4
     stages.predict_stage(spark, out)
-    assert readers.read_table(spark, f"{out}/tfidf_predictions").count() == 12
+    predictions = readers.read_table(spark, f"{out}/tfidf_predictions")
+    tested = predictions.where("test").count()
+    assert predictions.count() == 12 and 0 < tested < 6
+    kept = stages.search_stage(spark, out, True, min_df=(2,), max_df=(0.9,), max_ngram=(1,), min_vocab=5,
+                               alphas=(1.0,), folds=12 - tested)
+    assert kept.results.first()["success"]
+    with pytest.raises(ValueError):
+        stages.search_stage(spark, out, True, min_df=(2,), max_df=(0.9,), max_ngram=(1,), min_vocab=5,
+                            alphas=(1.0,), folds=13 - tested)
 
 
 def test_embeddings(spark, tmp_path):

@@ -14,6 +14,7 @@ def main():
         parser.add_argument(f"--{name}")
     parser.add_argument("--single-line", action="store_true",
                         help="no quoted field spans lines: large files may be split")
+    parser.add_argument("--holdout", action="store_true", help="search without the test share")
     parser.add_argument("--stopwords", help="text file, one word per line")
     parser.add_argument("--embeddings", help="Parquet table (unique_id, embedding, dime)")
     parser.add_argument("--lemmas", help="Parquet table (form, lemma)")
@@ -33,7 +34,7 @@ def main():
             stats.show()
         stages.speaker_stage(spark, args.out)
     elif args.stage == "search":
-        for part in report.report(stages.search_stage(spark, args.out).results).values():
+        for part in report.report(stages.search_stage(spark, args.out, args.holdout).results).values():
             part.show(truncate=False)
     elif args.stage == "embed":
         print(stages.embedding_stage(spark, args.out, args.embeddings))

@@ -10,7 +10,7 @@ from textscore.functions import keys
 from textscore.operators.joins import lookup_join
 from textscore.operators.pick import first_per_key
 from textscore.operators.quantile import above_quantile
-from textscore.plans.clean import latest_scores, long_enough, missing_to_null, project
+from textscore.plans.clean import latest_scores, long_enough, missing_to_null, present, project
 
 AIRING_COLUMNS = ["vidfile", "unique_id", "dime", "party", "race_id", "biweek"]
 AD_COLUMNS = ["vidfile", "ad_text", "unique_id", "dime", "party"]
@@ -71,7 +71,7 @@ def scored_airings(airings, scores, corrections=settings.AD_CORRECTIONS):
 
 def clean_airings(scored):
     """All airings with a score."""
-    return project(scored, AIRING_COLUMNS).na.drop(subset=["dime"])
+    return present(project(scored, AIRING_COLUMNS), "dime")
 
 
 def unique_ads(ad_text, scored, order=("airdate", "unique_id", "party"),
@@ -82,4 +82,4 @@ def unique_ads(ad_text, scored, order=("airdate", "unique_id", "party"),
     wanted = wanted.select(*dict.fromkeys(wanted.columns))
     first = project(first_per_key(wanted, "vidfile", list(order)), columns)
     ads = project(ad_text.join(first, "vidfile", "left"), AD_COLUMNS)
-    return long_enough(ads.na.drop(subset=["ad_text", "dime"]), "ad_text", min_length)
+    return long_enough(present(ads, "ad_text", "dime"), "ad_text", min_length)

@@ -21,6 +21,20 @@ def long_enough(df, column, minimum):
     return df.where(F.length(column) >= minimum) if minimum > 0 else df
 
 
+def present(df, *columns):
+    """Rows that have all these columns.
+
+    Spelled out as `is not null`, so that Catalyst turns the outer join before it into an
+    inner one and drops missing keys ahead of the shuffle.
+    """
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
+    for c in columns:
+        df = df.where(F.col(c).isNotNull())
+        if c in floats:
+            df = df.where(~F.isnan(c))
+    return df
+
+
 def missing_to_null(df):
     """Turn NaN into NULL in every floating column: there is one kind of missing value."""
     floats = {f.name for f in df.schema if f.dataType.typeName() in ("double", "float")}
@@ -73,5 +87,5 @@ def join_scores(speeches, scores, min_length=settings.MIN_SPEECH_LENGTH, dedup=N
         joined = lookup_join(speeches, side, "unique_id", spread=["speech_id"])
     joined = joined.withColumnsRenamed({"dwdime": "dime"})
     columns = SPEECH_COLUMNS + (["cycle"] if keep_cycle else [])
-    kept = project(joined, columns).na.drop(subset=["speech", "dime"])
+    kept = present(project(joined, columns), "speech", "dime")
     return long_enough(kept, "speech", min_length)

@@ -11,6 +11,7 @@ from textscore import settings
 from textscore.operators import gram, grid, ridge, terms
 from textscore.operators.joins import lookup_join
 from textscore.operators.ordering import folds_of_index, row_index
+from textscore.plans.clean import present
 from textscore.plans.speakers import speaker_scores
 from textscore.schemas import CV_RESULTS
 from textscore.sources.work import materialise
@@ -55,7 +56,7 @@ def require(df, columns):
 
 def target_rows(speeches, order, folds, key="unique_id", target="dime"):
     """(i, key, y, fold) of the speakers with a score, in key order."""
-    scored = speaker_scores(speeches, order, key, (target,)).na.drop(subset=[target])
+    scored = present(speaker_scores(speeches, order, key, (target,)), target)
     scored = scored.select(key, F.col(target).cast("double").alias("y"))
     indexed = row_index(scored, [key], "i")
     fold = folds_of_index("i", indexed.count(), folds)

@@ -2,7 +2,7 @@
 
     python -m textscore clean    --raw RAW --out OUT
     python -m textscore tokenise --out OUT [--stopwords FILE] [--lemmas TABLE]
-    python -m textscore search   --out OUT
+    python -m textscore search   --out OUT [--holdout]
     python -m textscore predict  --out OUT
     python -m textscore embed    --out OUT --embeddings TABLE
 """
@@ -74,11 +74,16 @@ def speaker_stage(spark, out):
                         f"{out}/agg_tokenized_speeches")
 
 
-def search_stage(spark, out, **grid):
-    """Grid search over the tokenised tables; results and model are written."""
+def search_stage(spark, out, holdout=False, **grid):
+    """Grid search over the tokenised tables; results and model are written.
+
+    With `holdout` the speakers of the fixed test share take no part in it.
+    """
     ads = readers.read_table(spark, f"{out}/tokenized_ads_unique").withColumnRenamed("tokenized_ad", "tokens")
     speeches = readers.read_table(spark, f"{out}/tokenized_speeches").withColumnRenamed(
         "tokenized_speech", "tokens")
+    if holdout:
+        speeches = embed.holdout(speeches, "unique_id").where(~F.col("test")).drop("test")
     found = search.grid_search(ads, speeches, ORDER, score_order=["cycle", "speech_id"], **grid)
     writers.write_table(found.results, f"{out}/tfidf_cv_results")
     writers.save_model(found.model, f"{out}/tfidf_model")
@@ -102,8 +107,9 @@ def embedding_stage(spark, out, table, key="unique_id", target="dime", column="e
 
 
 def predict_stage(spark, out):
-    """Predictions for all speakers of the tokenised speeches."""
+    """Predictions for all speakers of the tokenised speeches, marked if of the test share."""
     speeches = readers.read_table(spark, f"{out}/tokenized_speeches").withColumnRenamed(
         "tokenized_speech", "tokens")
     model = writers.load_model(spark, f"{out}/tfidf_model")
-    writers.write_table(model.predict(speeches, "unique_id", ORDER), f"{out}/tfidf_predictions")
+    predictions = embed.holdout(model.predict(speeches, "unique_id", ORDER), "unique_id")
+    writers.write_table(predictions, f"{out}/tfidf_predictions")
