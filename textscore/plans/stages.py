@@ -1,6 +1,7 @@
 """The stages from raw files to a fitted model, handing on Parquet tables.
 
-    python -m textscore clean    --raw RAW --out OUT
+    python -m textscore clean    --out OUT --scores S.csv --speaker-map M.txt --speeches T.txt
+                                 [--ad-texts FOLDER] [--airings TABLE] [--single-line]
     python -m textscore tokenise --out OUT [--stopwords FILE] [--lemmas TABLE]
     python -m textscore search   --out OUT [--holdout]
     python -m textscore predict  --out OUT
