@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from textscore.llm import (decontaminate, licenses, line_dedup, mixing, quality_rules, toxicity)
-from textscore.llm.text import documents, read
+from textscore.llm import (brown_lm, decontaminate, licenses, line_dedup, mixing, pii, quality_classifier,
+                           quality_rules, toxicity)
+from textscore.llm.text import documents, read, remainder
 
 
 def line_dedup_query(spark, sf_dir):
@@ -17,6 +18,16 @@ def quality_rules_query(spark, sf_dir):
                         "n_repeat_words", "base_failed", "kept")
 
 
+def lm_query(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = remainder("doc_id", 7) == 2
+    model = brown_lm.learn(docs.filter(~held_out).select(F.col("text").alias("_text")))
+    return brown_lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model["tokens"]).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+
+
 def decontamination_query(spark, sf_dir):
     found = decontaminate.matches(documents(spark, sf_dir), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_windows", "item_windows")
@@ -29,6 +40,18 @@ def toxicity_query(spark, sf_dir):
                         F.round("p_any", 9).alias("p_any"), "rejected")
 
 
+def pii_query(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.find_pii(docs)
+
+
+def quality_query(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = quality_classifier.classify(docs, read(spark, sf_dir, "labels"),
+                                        learn=lambda key: remainder(key, 4) != 2)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def licenses_query(spark, sf_dir):
     return licenses.scan(documents(spark, sf_dir))
 
@@ -40,8 +63,11 @@ def mixing_query(spark, sf_dir):
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
     "op3_quality_rules": quality_rules_query,
+    "op4_brown_lm": lm_query,
     "op5_decontamination": decontamination_query,
     "op6_toxicity": toxicity_query,
+    "op7_pii": pii_query,
+    "op8_quality_classifier": quality_query,
     "op9_licenses": licenses_query,
     "op10_mixing": mixing_query,
 }

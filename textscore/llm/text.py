@@ -134,4 +134,5 @@ def read(spark, sf_dir, name):
 
 def remainder(column, modulus):
     """crc32 of the value as text, modulo; null counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+    column = F.col(column) if isinstance(column, str) else column
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % modulus
