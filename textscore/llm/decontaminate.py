@@ -24,7 +24,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from textscore.llm.text import Words, combine, mix, slices
+from textscore.llm.text import Words, combine, hash_spans, mix, slices
 from textscore.operators.joins import lookup_join
 
 BLOOM_BITS = 1 << 24
@@ -69,7 +69,7 @@ class Canonical:
             opens[1:] = ends[:-1] | (owner[1:] != owner[:-1])
         start, end, owner, opens = start[keep], end[keep], owner[keep], opens[keep]
         self.text, self.count = owner, np.bincount(owner, minlength=len(texts))
-        self.value = words._hash(start, end)
+        self.value = hash_spans(data, start, end, lower=True)
         running = lambda flag: np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
         digits, inner = running(kind & 1), running((kind & 9) > 0)
         number = (digits[end] > digits[start]) & (inner[end] - inner[start] == end - start)

@@ -7,9 +7,9 @@ first, by (id, text hash, position), stays; every line covered by a later one is
 windows merged. Windows with fewer than `min_chars` characters never count, nor do texts of fewer
 than `width` lines.
 
-Every step is a DataFrame expression. A hash's first place is a minimum, combined before the
-shuffle; the windows of repeated hashes come back by a plain join, which Spark splits where a hash
-is hot. Only the covered positions of one text are ever gathered.
+Windows are hashed in Arrow batches; all else is DataFrame expressions. A hash's first place is a
+minimum, combined before the shuffle; the windows of repeated hashes come back by a plain join,
+which Spark splits where a hash is hot. Only the covered positions of one text are ever gathered.
 
 Defined results: a null text stays null, an empty one empty, both with 0 lines. Rows of one id
 with different texts are told apart by the text's hash; rows equal in id and text are one document
@@ -17,9 +17,12 @@ and get the same result. Null ids sort last. A repeat within a text is a later o
 Extra columns stay; one named like a result column is replaced.
 """
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
-from textscore.llm.text import without
+from textscore.llm.text import combine, hash_spans, mix, slices, without
 
 BREAK = r"(?<=\n)|(?<=[.!?] )"
 
@@ -30,21 +33,56 @@ def lines_of(text):
     return F.filter(F.split(text, BREAK), lambda x: x != "")
 
 
+def line_windows(texts, width=3, min_chars=40):
+    """(text, at, h1, h2) of the windows of some texts (bytes), as arrays."""
+    lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    offset = np.concatenate([[0], np.cumsum(lengths + 1)])
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    stop = np.isin(data, np.frombuffer(b".!?", np.uint8))
+    ends = data == 10
+    ends[1:] |= (data[1:] == 32) & stop[:-1]
+    end = np.flatnonzero(ends) + 1
+    start = np.concatenate([[0], end[:-1]])
+    owner = np.searchsorted(offset, start, side="right") - 1
+    real = start < offset[owner + 1] - 1              # else the line break put between two texts
+    start, end, owner = start[real], end[real], owner[real]
+    body = np.flatnonzero(~np.isin(data, np.frombuffer(b" \t\r\n", np.uint8)))
+    first, last = np.searchsorted(body, start), np.searchsorted(body, end) - 1
+    blank = last < first
+    first, last = np.minimum(first, max(len(body) - 1, 0)), np.maximum(last, 0)
+    begin = np.where(blank, start, body[first] if len(body) else 0)
+    finish = np.where(blank, start, body[last] + 1 if len(body) else 0)
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    chars = points[finish] - points[begin]
+    hashes = hash_spans(data, begin, finish)
+    n = len(hashes) - width + 1
+    if n <= 0:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    total = sum(chars[k:k + n] for k in range(width))
+    at = np.flatnonzero((owner[:n] == owner[width - 1:]) & (total >= min_chars))
+    line = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    h = combine(hashes, width)[at]
+    other = combine(mix(hashes + np.uint64(0x632BE59BD9B4E019)), width)[at] >> np.uint64(33)
+    return owner[at], line[at], h.view(np.int64), other.astype(np.int64)
+
+
 def windows(docs, text="text", key="doc_id", width=3, min_chars=40):
     """(_id, _copy, h1, h2, at): every window that is long enough."""
-    def window(at):
-        own = [F.get(F.col("_lines"), at + k) for k in range(width)]
-        return F.struct(F.xxhash64(*own).alias("h1"), F.hash(*own).alias("h2"), at.alias("at"),
-                        sum((F.length(x) for x in own), F.lit(0)).alias("chars"))
-
-    trimmed = F.transform(lines_of(F.col("_text")), lambda x: F.btrim(x, F.lit(" \t\r\n")))
-    starts = F.sequence(F.lit(0), F.size("_lines") - width)
-    return (docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"))
-            .select("_id", F.xxhash64("_text").alias("_copy"), trimmed.alias("_lines"))
-            .filter(F.size("_lines") >= width)
-            .select("_id", "_copy", F.explode(F.transform(starts, window)).alias("w"))
-            .filter(F.col("w.chars") >= min_chars)
-            .select("_id", "_copy", "w.h1", "w.h2", "w.at"))
+    def run(batches):
+        for batch in batches:
+            for rows, texts in slices(batch, "_text"):
+                owner, at, h1, h2 = line_windows(texts, width, min_chars)
+                take = pa.array(owner)
+                yield pa.RecordBatch.from_pydict({
+                    "_id": rows.column("_id").take(take), "_copy": rows.column("_copy").take(take),
+                    "h1": pa.array(h1), "h2": pa.array(h2.astype(np.int32)),
+                    "at": pa.array(at.astype(np.int32))})
+
+    kind = docs.schema[key].dataType.simpleString()
+    body = F.col(f"`{text}`")
+    return (docs.select(F.col(f"`{key}`").alias("_id"), F.xxhash64(body).alias("_copy"), body.alias("_text"))
+            .mapInArrow(run, f"_id {kind}, _copy long, h1 long, h2 int, at int"))
 
 
 def covered_lines(docs, text="text", key="doc_id", width=3, min_chars=40):

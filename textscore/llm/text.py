@@ -48,21 +48,22 @@ class Words:
         self.first = np.searchsorted(self.start, self.offset)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(texts)), self.count)
-        self.hash = self._hash(self.start, self.end, lower) if hashed else None
-
-    def _hash(self, start, end, lower=True):
-        """Multilinear hash of the bytes [start, end) of each word; an empty word gives 0 bytes."""
-        length = end - start
-        if not len(start):
-            return np.zeros(0, np.uint64)
-        begin = np.cumsum(length) - length
-        place = np.arange(int(length.sum())) - np.repeat(begin, length)
-        at = np.repeat(start, length) + place
-        table = _LOWER if lower else _BYTES
-        terms = table[self.data[at]] * (_PLACES[place & 4095] + (place >> 12).astype(np.uint64))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
-        sums = total[begin + length] - total[begin]
-        return mix(sums + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.hash = hash_spans(self.data, self.start, self.end, lower) if hashed else None
+
+
+def hash_spans(data, start, end, lower=False):
+    """Multilinear hash of the bytes [start, end) of each span; an empty span has 0 bytes."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    length = end - start
+    begin = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(begin, length)
+    at = np.repeat(start, length) + place
+    table = _LOWER if lower else _BYTES
+    terms = table[data[at]] * (_PLACES[place & 4095] + (place >> 12).astype(np.uint64))
+    total = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
+    sums = total[begin + length] - total[begin]
+    return mix(sums + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def combine(hashes, width):
