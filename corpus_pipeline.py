@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
 
 from pyspark.sql import functions as F
 
-from textscore.llm import decontaminate, line_dedup, mixing, toxicity
+from textscore.llm import decontaminate, jaccard_tree, line_dedup, mixing, toxicity
 from textscore.llm.text import read
 from textscore.sources.work import materialise
 
@@ -25,6 +25,12 @@ def drop_repeated_lines(spark, docs, sf_dir):
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def drop_near_copies(spark, docs, sf_dir):
+    """The document with the smallest id of each group of near copies."""
+    found = jaccard_tree.near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
 def drop_contaminated(spark, docs, sf_dir):
     """Documents without benchmark passages."""
     return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark")).select(*COLUMNS)
@@ -36,7 +42,8 @@ def mix_sources(spark, docs, sf_dir):
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines),
-          ("decontamination", drop_contaminated), ("mixing", mix_sources)]
+          ("jaccard_join", drop_near_copies), ("decontamination", drop_contaminated),
+          ("mixing", mix_sources)]
 
 # A fitted model decides in the first stage, which SQL cannot express; tests compare with brute force.
 ORACLE_SQL = None

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from textscore.llm import (brown_lm, decontaminate, licenses, line_dedup, mixing, pii, quality_classifier,
-                           quality_rules, toxicity)
+from textscore.llm import (brown_lm, decontaminate, jaccard_tree, licenses, line_dedup, mixing, pii,
+                           quality_classifier, quality_rules, toxicity)
 from textscore.llm.text import documents, read, remainder
 
 
@@ -12,6 +12,11 @@ def line_dedup_query(spark, sf_dir):
     return line_dedup.remove_repeated_lines(docs)
 
 
+def jaccard_query(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return jaccard_tree.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def quality_rules_query(spark, sf_dir):
     found = quality_rules.judge(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -62,6 +67,7 @@ def mixing_query(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
+    "op2_jaccard_join": jaccard_query,
     "op3_quality_rules": quality_rules_query,
     "op4_brown_lm": lm_query,
     "op5_decontamination": decontamination_query,
@@ -73,5 +79,6 @@ QUERIES = {
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
+    "op2_jaccard_join": jaccard_tree.ORACLE,
     "op9_licenses": licenses.oracle(),
 }
