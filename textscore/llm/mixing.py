@@ -155,3 +155,67 @@ def mix(docs, text="text", key="doc_id", source="source", budget=None, target_en
             .filter("start < budget")
             .select("doc_id", F.when(F.col("source") != "", F.substring("source", 2, 1 << 30)).alias("source"),
                     "epoch", "block", F.col("n").alias("n_tokens"), "start"))
+
+
+def oracle(target_entropy=0.95, max_repeats=4.0, block_tokens=100_000, max_blocks=10_000, narrowings=5):
+    """The same in SQL: every narrowing of the exponent is a table of one row."""
+    steps = ["""
+    sizes AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS source,
+                     len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+    totals AS (SELECT source, sum(n)::BIGINT AS tokens FROM sizes GROUP BY 1 HAVING sum(n) > 0),
+    whole AS (SELECT sum(tokens)::DOUBLE AS total, count(*) AS sources FROM totals)"""]
+
+    def measure(name, grid):
+        steps.append(f"""
+    {name} AS (SELECT t, ln(z) - s / z AS entropy, total * r / z AS repeats, sources FROM (
+      SELECT t, any_value(total) AS total, any_value(sources) AS sources,
+             sum(exp(t * lp)) AS z, sum(exp(t * lp) * t * lp) AS s, max(exp(t * lp) / tokens) AS r
+      FROM ({grid}), (SELECT tokens, ln(tokens / total) AS lp, total, sources FROM totals, whole)
+      GROUP BY t))""")
+
+    def narrow(name, start, good, at_top):
+        steps.append(f"{name}0 AS ({start})")
+        for k in range(narrowings):
+            old = f"{name}{k}"
+            measure(f"{old}_m", f"SELECT low + (high - low) * i / 16 AS t FROM {old}, range(17) AS g(i)")
+            ranked = f"(SELECT t, {good} AS good, row_number() OVER (ORDER BY t) - 1 AS i FROM {old}_m)"
+            if at_top:
+                pick = "least(coalesce(max(i) FILTER (good), 0), 15)"
+            else:
+                pick = "greatest(coalesce(min(i) FILTER (good), 16), 1) - 1"
+            steps.append(f"""
+    {name}{k + 1} AS (SELECT max(t) FILTER (i = spot) AS low, max(t) FILTER (i = spot + 1) AS high
+      FROM {ranked}, (SELECT {pick} AS spot FROM {ranked}))""")
+
+    measure("ends_r", "SELECT 0.0::DOUBLE AS t UNION ALL SELECT 1.0::DOUBLE")
+    narrow("r", "SELECT 0.0::DOUBLE AS low, 1.0::DOUBLE AS high", f"repeats <= {max_repeats}", False)
+    steps.append(f"""
+    least_t AS (SELECT CASE WHEN NOT bool_or(t = 1 AND repeats <= {max_repeats}) THEN 1.0
+                            WHEN bool_or(t = 0 AND repeats <= {max_repeats}) THEN 0.0
+                            ELSE (SELECT high FROM r{narrowings}) END::DOUBLE AS t FROM ends_r)""")
+    enough = f"entropy >= {target_entropy} * ln(sources)"
+    measure("ends_e", "SELECT t FROM least_t UNION SELECT 1.0::DOUBLE")
+    narrow("e", "SELECT t AS low, 1.0::DOUBLE AS high FROM least_t", enough, True)
+    steps.append(f"""
+    chosen AS (SELECT CASE WHEN any_value(sources) < 2 OR bool_or(t = 1 AND {enough}) THEN 1.0
+                           WHEN NOT bool_or(t = (SELECT t FROM least_t) AND {enough}) THEN (SELECT t FROM least_t)
+                           ELSE (SELECT low FROM e{narrowings}) END::DOUBLE AS t FROM ends_e),
+    raised AS (SELECT source, tokens, total, exp(t * ln(tokens / total)) AS x FROM totals, whole, chosen),
+    plan AS (SELECT source, tokens, round(round(x / (SELECT sum(x) FROM raised), 12) * total)::BIGINT AS budget,
+                    least(greatest(ceil(tokens / {float(block_tokens)}), 1), {max_blocks})::BIGINT AS blocks FROM raised),
+    placed AS (SELECT doc_id, source, n, tokens, budget, ceil(budget / tokens)::BIGINT AS epochs,
+                      ('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT % blocks AS block
+               FROM sizes JOIN plan USING (source) WHERE n > 0),
+    held AS (SELECT source, block, tokens, budget, unnest(range(epochs)) AS epoch, sum(n) AS held
+             FROM placed GROUP BY source, block, tokens, budget, epochs),
+    starts AS (SELECT source, block, epoch, budget, epoch * tokens + coalesce(sum(held) OVER (
+                 PARTITION BY source, epoch ORDER BY md5(source || ':' || block || ':' || epoch), block
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM held),
+    taken AS (SELECT doc_id, p.source, epoch, block, n, s.budget, before + coalesce(sum(n) OVER (
+                 PARTITION BY p.source, block, epoch ORDER BY md5(doc_id || ':' || epoch), doc_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+              FROM placed p JOIN starts s USING (source, block) WHERE before < s.budget)""")
+    return f"""WITH {",".join(steps)}
+    SELECT doc_id, CASE WHEN source <> '' THEN substr(source, 2) END AS source, epoch::BIGINT AS epoch,
+           block::BIGINT AS block, n::BIGINT AS n_tokens, start::BIGINT AS start
+    FROM taken WHERE start < budget"""

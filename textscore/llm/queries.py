@@ -81,4 +81,5 @@ ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_jaccard_join": jaccard_tree.ORACLE,
     "op9_licenses": licenses.oracle(),
+    "op10_mixing": mixing.oracle(),
 }
