@@ -8,13 +8,14 @@ sequence; without words nothing), as 64-bit hashes. Documents link at a similari
    `size - least overlap + 1 + extra` ones. A Bloom filter drops tokens held once; tokens of more than `hot`
    classes are hot. If two similar sets share only hot ones, both hold more hot tokens than `extra` allows
    (they are `full`), so hot blocks need their full members only.
-3. Hubs. In each block every class is compared with one fixed member, so a group of near copies
-   becomes a star. Verified links give components.
-4. Signature trees, over blocks that still hold several components. Nodes hold the OR of their members'
+3. Hubs. In each block every class is compared with one fixed member, its hub, so a group of near copies
+   becomes a star. Verified links give components. Blocks with one hub form a group; in large groups
+   that still hold several components, some more fixed members are compared with all.
+4. Signature trees, over groups that still hold several components. Nodes hold the OR of their members'
    token bitmaps, the range of their sizes and of their components; two trees are walked in pairs from
    the root, and a pair of nodes is dropped if the sizes are too far apart, the component is one, or the
    largest possible overlap, popcount(A & B) plus the tokens hidden by equal bits, is too small.
-   Pairs of leaves that remain are verified on the whole sets. A very large block is dealt into pieces,
+   Pairs of leaves that remain are verified on the whole sets. A very large group is dealt into pieces,
    every pair of pieces one task's work.
 5. Components of all links, joined back to all documents.
 
@@ -53,8 +54,11 @@ def shingle_sets(texts):
         whole = np.array([combine(words.hash[words.first[i]:words.first[i + 1]], int(words.count[i]))[0]
                           + words.count[i].astype(np.uint64) for i in short], np.uint64)
         owner, token = np.concatenate([owner, short]), np.concatenate([token, whole])
-    order = np.lexsort((token, owner))
-    owner, token = owner[order], token[order]
+        order = np.argsort(owner, kind="stable")
+        owner, token = owner[order], token[order]
+    border = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for a, b in zip(border, border[1:]):
+        token[a:b].sort()                               # one text at a time: short runs sort fast
     if len(token):
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
@@ -310,28 +314,35 @@ def verify(pairs, docs, percent):
 
 
 def _walk_blocks(rows, percent):
-    """(a, b) from rows (token, left, right, side, id, n, comp, map) of blocks: one tree walk each."""
-    def finish(group, cross):
+    """(a, b) from the rows of dealt groups: one tree walk each."""
+    def finish(group, key):
+        hub, left, right = key
         ids, sizes, comps = (np.array(x, np.int64) for x in group[:3])
-        return block_pairs(ids, sizes, comps, group[3], percent, np.array(group[4]) if cross else None)
+        sides = np.array(group[4]) if left != right else None
+        at, at2 = block_pairs(np.arange(len(ids)), sizes, comps, group[3], percent, sides)
+        hubs = [None if h is None else frozenset(h) for h in group[5]]
+        first = [i for i, (x, y) in enumerate(zip(at, at2))
+                 if hubs[x] is None or hubs[y] is None or min(hubs[x] & hubs[y]) == hub]
+        first = np.array(first, np.int64)
+        return ids[at[first]], ids[at2[first]]
 
     def run(batches):
         key, group = None, None
         for batch in batches:
             out = []
-            for token, left, right, side, i, n, comp, bits in zip(*(batch.column(c).to_pylist() for c in (
-                    "token", "left", "right", "side", "id", "n", "comp", "map"))):
-                if (token, left, right) != key:
+            for hub, left, right, side, i, n, comp, hubs, bits in zip(*(batch.column(c).to_pylist() for c in (
+                    "hub", "left", "right", "side", "id", "n", "comp", "hubs", "map"))):
+                if (hub, left, right) != key:
                     if group:
-                        out.append(finish(group, key[1] != key[2]))
-                    key, group = (token, left, right), ([], [], [], [], [])
-                for to, value in zip(group, (i, n, comp, bits, side)):
+                        out.append(finish(group, key))
+                    key, group = (hub, left, right), ([], [], [], [], [], [])
+                for to, value in zip(group, (i, n, comp, bits, side, hubs)):
                     to.append(value)
             if out:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([o[0] for o in out])),
                                                   "b": pa.array(np.concatenate([o[1] for o in out]))})
         if group:
-            a, b = finish(group, key[1] != key[2])
+            a, b = finish(group, key)
             yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
     return rows.mapInArrow(run, "a long, b long")
@@ -363,29 +374,64 @@ def _hub_pairs(found, percent):
             .select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
 
 
-def _open_blocks(found, comps, percent, hot, piece):
-    """(token, left, right, side, id, n, comp) of blocks that still hold several components."""
+def _groups(found, percent, hot):
+    """(hub, id, n): the members of the blocks that have one hub; of hot blocks the full members only."""
     room = F.least(F.lit(8) + F.floor(F.col("n") / 20), F.ceil(F.col("n") * percent / 100) - 1)
     full = (found.filter(F.col("classes") > hot).groupBy("id", "n").agg(F.count("*").alias("n_hot"))
             .filter(10 * F.col("n_hot") > 7 * room).select("id"))
     is_hot = F.col("classes") > hot
-    columns = ["token", "id", "n"]
-    kept = (found.filter(~is_hot).select(*columns)
-            .unionByName(found.filter(is_hot).select(*columns).join(full, "id", "left_semi")))
-    kept = (kept.join(comps, "id", "left")
-            .withColumn("comp", F.coalesce("component", "id")).drop("component"))
-    several = (kept.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                         F.count("*").alias("members"))
-               .filter("c0 <> c1")
-               .select("token", F.ceil(F.col("members") / piece).cast("int").alias("pieces")))
+    columns = [F.col("hub.id").alias("hub"), "id", "n"]
+    return (found.filter(~is_hot).select(*columns)
+            .unionByName(found.filter(is_hot).select(*columns).join(full, "id", "left_semi")).distinct())
+
+
+def _open_groups(groups, comps):
+    """(hub, id, n, comp, members) of the groups that hold several components."""
+    rows = (groups.join(comps, "id", "left")
+            .select("hub", "id", "n", F.coalesce("component", "id").alias("comp")))
+    several = (rows.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
+                                       F.count("*").alias("members"))
+               .filter("c0 <> c1").select("hub", "members"))
+    return rows.join(several, "hub")
+
+
+def _pivot_pairs(rows, percent, pivots, large):
+    """Members of large groups with fixed pseudo-random members of other components."""
+    rows = rows.filter(F.col("members") > large)
+    chosen = rows.groupBy("hub").agg(*[
+        F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("rank"), F.col("id"), F.col("n"), F.col("comp")))
+        .alias(f"p{k}") for k in range(pivots)])
+    chosen = (chosen.select("hub", F.explode(F.array(*[f"p{k}" for k in range(pivots)])).alias("p"))
+              .select("hub", F.col("p.id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.comp").alias("p_comp"))
+              .distinct())
+    return (rows.join(chosen, "hub").filter(F.col("comp") != F.col("p_comp"))
+            .filter(_similar_sizes("n", "p_n", percent))
+            .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
+
+
+def _with_hubs(rows, most=32):
+    """`rows` with the sorted hubs of a member's groups; null for a member of more than `most`.
+
+    Two members are paired in the first group they share. Where a list is missing they are paired in
+    each shared group; later steps drop the repeats.
+    """
+    lists = rows.groupBy("id").agg(F.collect_set("hub").alias("hubs"))
+    lists = lists.withColumn("hubs", F.when(F.size("hubs") <= most, F.array_sort("hubs")))
+    return rows.join(lists, "id")
+
+
+def _dealt(rows, piece):
+    """Groups dealt into pieces (hub, left, right), a member once for each pair of pieces, on its `side`."""
+    pieces = F.ceil(F.col("members") / piece).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    return (kept.join(several, "token").withColumn("own", own).withColumn("other", other)
-            .select("token", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
-                    (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "comp"))
+    return (rows.withColumn("pieces", pieces).withColumn("own", own).withColumn("other", other)
+            .select("hub", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
+                    (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "comp", "hubs"))
 
 
-def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2048):
+def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2048,
+                    pivots=24, large=64):
     """(key, copy, n_shingles, class_id, component_id) per row of `docs`."""
     body = F.col(f"`{text}`")
     base = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.xxhash64(body).alias("_copy"),
@@ -398,11 +444,15 @@ def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2
 
     hubs = materialise(_not_ruled_out(_hub_pairs(found, percent), maps, percent), "hub-pairs")
     stars = materialise(verify(hubs, base, percent), "stars")
-    comps = components(stars)
+    groups = materialise(_groups(found, percent, hot), "groups")
+    rows = materialise(_open_groups(groups, components(stars)), "open-groups")
+    tries = materialise(_not_ruled_out(_pivot_pairs(rows, percent, pivots, large), maps, percent), "pivot-pairs")
+    stars = materialise(stars.unionByName(verify(tries, base, percent)), "stars")
 
-    rows = _open_blocks(found, comps, percent, hot, piece)
+    rows = materialise(_open_groups(groups, components(stars)), "open-groups")
+    rows = _dealt(_with_hubs(rows), piece)
     walk = (rows.join(maps.select(F.col("_id").alias("id"), "map"), "id")
-            .repartition("token", "left", "right").sortWithinPartitions("token", "left", "right", "id"))
+            .repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right", "id"))
     pairs = materialise(_walk_blocks(walk, percent).select(F.least("a", "b").alias("a"),
                                                            F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = materialise(verify(pairs, base, percent), "links")
@@ -419,7 +469,8 @@ def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2
 ORACLE = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+         'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 sets AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
          ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
