@@ -1,0 +1,41 @@
+"""Small inputs for the operator tests."""
+
+import random
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, texts, **columns):
+    """A documents table of (id, text) pairs or of texts, ids from 0."""
+    rows = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
+    made = [(i, t, columns.get("lang", "en"), columns.get("source", f"s{(i or 0) % 2}"), len(t or ""))
+            for i, t in rows]
+    return spark.createDataFrame(made, SCHEMA)
+
+
+def words(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+def prose(n, seed):
+    """Sentences of distinct-looking words."""
+    r, out = random.Random(seed), []
+    while sum(map(len, out)) < n:
+        out.append([f"{r.choice('abcdefgh')}{r.randrange(10 ** 5)}x" for _ in range(r.randrange(6, 14))])
+    return ". ".join(" ".join(s) for s in out) + "."
+
+
+def odd_docs(spark):
+    """Nulls, empty and blank texts, one word, a very long text, repeated rows and clashing names."""
+    long = " ".join(words(30_000, 1)) + ".\n" + prose(300, 2)
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (3, " \n\t ", None, None), (4, "word", "en", "b"),
+            (5, long, "de", "a"), (6, prose(80, 3), "en", "a"), (6, prose(80, 3), "en", "a"),
+            (None, prose(80, 4), "en", "a"), (7, None, None, None), (8, "é ü 12   x", "fr", "")]
+    extra = "score double, kept boolean, n_words long, spans string, rejected boolean, copy long, n long"
+    made = [(*r, 0, 0.5, True, 7, "x", False, 1, 2) for r in rows]
+    return spark.createDataFrame(made, SCHEMA + ", " + extra)
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)

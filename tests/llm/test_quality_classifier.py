@@ -1,0 +1,68 @@
+import numpy as np
+
+from pyspark.sql import functions as F
+
+from textscore.llm import quality_classifier as qc
+from textscore.llm.text import remainder
+from tests.llm.helpers import docs, empty, odd_docs, words
+
+
+def corpus(spark, n=400):
+    good = lambda i: " ".join(words(60, i, 2000)) + "."
+    bad = [lambda i: " | ".join(words(50, i)), lambda i: " ".join(words(50, i)).upper() + "!!!",
+           lambda i: " ".join(words(3, i) * 15)]
+    texts = [good(i) if i % 3 else bad[i // 3 % 3](i) for i in range(n)]
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(n)] + [(0, None)], "doc_id long, quality int")
+    return docs(spark, texts), labels
+
+
+def test_held_out_rows_are_told_apart(spark):
+    df, labels = corpus(spark)
+    learn = lambda key: remainder(key, 4) != 2
+    rows = (qc.classify(df, labels, learn=learn).withColumn("held", remainder("doc_id", 4) == 2)
+            .join(labels.filter("quality is not null"), "doc_id").filter("held").collect())
+    assert len(rows) > 50
+    assert sum(r["predicted"] == r["quality"] for r in rows) >= 0.97 * len(rows)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+
+
+def test_labels_of_held_out_rows_are_never_read(spark):
+    df, labels = corpus(spark, 120)
+    learn = lambda key: remainder(key, 4) != 2
+    flipped = labels.withColumn("quality", F.when(remainder("doc_id", 4) == 2, 1 - F.col("quality"))
+                                .otherwise(F.col("quality")))
+    scores = lambda y: sorted((r["doc_id"], r["score"]) for r in qc.classify(df, y, learn=learn).collect())
+    assert scores(labels) == scores(flipped)
+
+
+def test_compiled_rules_equal_numpy(spark):
+    r = np.random.default_rng(1)
+    x = r.random((200, len(qc.STATISTICS)))
+    y = ((x[:, 0] > 0.5) & (x[:, 1] < 0.7)).astype(float)
+    rules = qc.grow_rules(x, y, trees=6)
+    member = np.stack([qc.holds(q, x) for q in rules], 1).astype(float)
+    bias, weights = qc.fit_lasso(member, y, 1e-3)
+    assert 0 < (np.abs(weights) > 1e-9).sum() < len(rules)
+    expected = 1 / (1 + np.exp(-(bias + member @ weights)))
+    assert ((expected > 0.5) == y).mean() > 0.97
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"stat_{s} double" for s in qc.STATISTICS))
+    found = df.select("stat_words", qc.compile_rules((bias, list(zip(weights, rules)))).alias("p")).collect()
+    by = dict(zip(x[:, 0], expected))
+    assert all(abs(by[f["stat_words"]] - f["p"]) < 1e-9 for f in found)
+
+
+def test_lasso_shrinks_with_the_penalty():
+    r = np.random.default_rng(5)
+    x = (r.random((500, 20)) > 0.5).astype(float)
+    y = (x[:, 0] + 0.1 * r.random(500) > 0.5).astype(float)
+    kept = [(np.abs(qc.fit_lasso(x, y, p)[1]) > 1e-9).sum() for p in (1e-4, 1e-2, 1.0)]
+    assert kept[0] >= kept[1] >= kept[2] == 0
+
+
+def test_odd_rows(spark):
+    df, labels = corpus(spark, 90)
+    rows = qc.classify(odd_docs(spark), labels.withColumn("doc_id", F.col("doc_id") % 9)).collect()
+    assert len(rows) == 10 and "kept" in rows[0].asDict()
+    assert len({r["score"] for r in rows if r["doc_id"] in (1, 2, 7)}) == 1
+    assert qc.classify(empty(spark), labels).collect() == []
+    assert {r["score"] for r in qc.classify(df, labels.limit(0)).collect()} == {0.5}
