@@ -33,6 +33,23 @@ def test_long_lines_are_an_error_in_the_map(spark, tmp_path):
         bad.collect()
 
 
+def test_dumps_are_read_by_header_name(spark, rows, tmp_path):
+    head = b"speakerid|speech_id|lastname|firstname|chamber|state|gender|party|district|nonvoting\n"
+    wide = readers.read_speaker_map(spark, write(tmp_path / "wide.txt", head + b"1|2|Reed|J|S|RI|M|D||voting\n"))
+    assert rows(wide) == [(1, 2, "Reed", "J", "RI", None)]
+    turned = readers.read_speaker_map(spark, write(
+        tmp_path / "turned.txt", b"district|state|firstname|lastname|speech_id|speakerid\n4|RI|J|Reed|2|1\n"))
+    assert rows(turned) == [(1, 2, "Reed", "J", "RI", 4.0)]
+    with pytest.raises(ValueError, match="missing columns: speech"):
+        readers.read_speeches(spark, write(tmp_path / "none.txt", b"speech_id|text\n1|x\n"))
+
+
+def test_faults_of_a_dump_are_counted(spark, rows, tmp_path):
+    path = write(tmp_path / "speeches.txt", b"speech|extra|speech_id\nx|1|1\ny|2|2|3\nz|3|four\nw|4|NA\n")
+    assert rows(readers.read_speeches(spark, path), "speech") == [(None, "w"), (1, "x"), (None, "z")]
+    assert rows(readers.dump_faults(spark, path, schemas.SPEECHES)) == [(4, 1, 1)]
+
+
 def test_scores_by_header(spark, rows, tmp_path):
     data = b'extra,gen.vote.pct,cycle,seat,lname,distcyc,dwdime,gwinner\n1,51.5,2016,federal:house,"O""Neil, T",2016_TX_1,NA,W\n'
     scores = readers.read_scores(spark, write(tmp_path / "s.csv", data))
@@ -86,6 +103,37 @@ def test_words(spark, tmp_path):
         readers.read_words(spark, path, at_most=1)
 
 
+def test_an_empty_result_leaves_no_older_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert writers.write_if_rows(spark.range(3), path) and readers.read_table(spark, path).count() == 3
+    assert not writers.write_if_rows(spark.range(0), path)
+    assert readers.read_optional(spark, path) is None
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work.work_dir(Session())
+
+
+def test_a_run_removes_its_working_tables(spark):
+    with work.working(spark) as folder:
+        df = work.materialise(spark.range(5), "x")
+        assert work.work_dir(spark) == folder and df.count() == 5
+    assert work.work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(folder)
+
+
 def test_work_dir_is_the_session_s(spark):
     assert work.work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = work.materialise(spark.range(5).withColumn("a", F.array("id")), "x")

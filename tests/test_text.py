@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textscore.functions import text
+from textscore.operators import joins
 from textscore.plans import report, speakers, tokens
 
 
@@ -28,15 +29,16 @@ def test_stopwords_are_tested_before_the_lemma(spark, rows):
     assert rows(tokens.token_arrays(lemmatised, ["id"])) == [(1, ["do", "job", "taxes"])]
 
 
-@pytest.mark.parametrize("bound", [10 ** 6, 0])
-def test_lemmas_of_arrays(spark, rows, monkeypatch, bound):
-    """Looked up in Arrow batches, and joined."""
-    monkeypatch.setattr(tokens, "BROADCAST_ROWS", bound)
-    df = spark.createDataFrame([(1, ["Doing", "x", "jobs", "jobs"]), (2, [])], "id int, tokens array<string>")
+@pytest.mark.parametrize("small", [True, False])
+def test_lemmas_of_arrays(spark, rows, monkeypatch, small):
+    """One answer for small and large lemma tables; NULL, empty and equal rows stay as they are."""
+    monkeypatch.setattr(joins, "has_at_most", lambda *a, **k: small)
+    df = spark.createDataFrame([(1, ["Doing", "x", "jobs", "jobs"]), (2, []), (3, None), (4, ["x"]), (4, ["x"])],
+                               "id int, tokens array<string>")
     lemmas = spark.createDataFrame([("doing", "do"), ("jobs", "Job"), ("jobs", "Zob"), ("x", None)],
                                    "form string, lemma string")
-    assert rows(tokens.lemmatise_arrays(df, lemmas, "tokens", ["id"]), "id") == [
-        (1, ["do", "x", "job", "job"]), (2, [])]
+    assert rows(tokens.lemmatise_arrays(df, lemmas, "tokens"), "id") == [
+        (1, ["do", "x", "job", "job"]), (2, []), (3, None), (4, ["x"]), (4, ["x"])]
 
 
 def test_switches(spark):
@@ -76,10 +78,23 @@ def test_speaker_scores(spark, rows):
 def test_speaker_tokens_and_chunks(spark, rows):
     listed = speakers.speaker_tokens(speeches(spark))
     assert rows(listed, "unique_id", "pos") == [("s", 0, "a"), ("s", 1, "b"), ("s", 2, "c")]
-    assert rows(speakers.token_chunks(listed, size=2), "chunk") == [
+    assert rows(speakers.speaker_chunks(speeches(spark), size=2), "chunk") == [
         ("s", 0, ["a", "b"]), ("s", 1, ["c"])]
 
 
+@pytest.mark.parametrize("size", [1, 3, 4, 50])
+def test_repeated_order_values_double_nothing(spark, rows, size):
+    """Two score rows of one cycle leave a speech twice under one order; each copy has its own place."""
+    data = [("s", 1, 2016, list("abcdef")), ("s", 1, 2016, list("abcdef")), ("s", 2, 2016, None),
+            ("s", 3, 2014, ["x"]), ("t", 1, 2016, ["q"])]
+    df = spark.createDataFrame(data, "unique_id string, speech_id int, cycle int, tokens array<string>")
+    listed = rows(speakers.speaker_tokens(df, ["speech_id", "cycle"]), "unique_id", "pos")
+    whole = list("abcdefabcdefx")
+    assert listed == [*[("s", k, w) for k, w in enumerate(whole)], ("t", 0, "q")]
+    chunks = rows(speakers.speaker_chunks(df, ["speech_id", "cycle"], size=size), "unique_id", "chunk")
+    assert chunks == [*[("s", k // size, whole[k:k + size]) for k in range(0, 13, size)], ("t", 0, ["q"])]
+
+
 def test_speaker_tokens_over_many_slices(spark, rows):
     """One speaker with most speeches is cut into slices and still comes out in order."""
     df = spark.range(600).select(

@@ -3,6 +3,7 @@ import argparse
 from textscore.plans import report, stages
 from textscore.session import session
 from textscore.sources import readers
+from textscore.sources.work import SETTING, working
 
 
 def main():
@@ -18,8 +19,15 @@ def main():
     parser.add_argument("--stopwords", help="text file, one word per line")
     parser.add_argument("--embeddings", help="Parquet table (unique_id, embedding, dime)")
     parser.add_argument("--lemmas", help="Parquet table (form, lemma)")
+    parser.add_argument("--table", help="predict: another tokenised table than the training speeches")
+    parser.add_argument("--work", help="folder all executors share, for working tables")
     args = parser.parse_args()
-    spark = session()
+    spark = session(**({SETTING: args.work} if args.work else {}))
+    with working(spark):
+        run(spark, args)
+
+
+def run(spark, args):
     if args.stage == "clean":
         done = stages.clean_stage(spark, args.out, args.scores, args.speaker_map, args.speeches,
                                   args.ad_texts, args.airings, not args.single_line)
@@ -39,7 +47,7 @@ def main():
     elif args.stage == "embed":
         print(stages.embedding_stage(spark, args.out, args.embeddings))
     else:
-        stages.predict_stage(spark, args.out)
+        stages.predict_stage(spark, args.out, args.table)
 
 
 if __name__ == "__main__":

@@ -37,13 +37,13 @@ def _lemmas(spark, sf):
 
 def lemma_lookup(spark, sf):
     lemmas = _lemmas(spark, sf)
-    arrays = tokens.lemmatise_arrays(documents(spark, sf), lemmas, "tokens", ["doc_id"])
+    arrays = tokens.lemmatise_arrays(documents(spark, sf), lemmas, "tokens")
     return arrays.select("doc_id", "token_count",
                          F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
 def lemma_join(spark, sf):
-    """The same by a join of the long form, the way of large lemma tables."""
+    """The same on the long form; documents without a token are not in it."""
     lemmas = _lemmas(spark, sf)
     rows = tokens.token_rows(documents(spark, sf), ["doc_id"])
     arrays = tokens.token_arrays(tokens.lemmatise(rows, lemmas, ["doc_id"]), ["doc_id"])
@@ -69,21 +69,31 @@ def speaker_first_values(spark, sf):
 
 
 def speaker_aggregate(spark, sf):
-    rows = speakers.speaker_tokens(_speeches(spark, sf), ["doc_id"])
-    chunks = speakers.token_chunks(rows, size=CHUNK)
+    return _chunks(_speeches(spark, sf), ["doc_id"])
+
+
+def _chunks(speeches, order):
+    chunks = speakers.speaker_chunks(speeches, order, size=CHUNK)
     return chunks.select("unique_id", "chunk", F.size("tokens").alias("chunk_tokens"),
                          F.md5(F.array_join("tokens", " ")).alias("tokens_md5"))
 
 
+def speaker_aggregate_repeats(spark, sf):
+    """Every English speech twice, as two score rows of one cycle leave it; the order is not unique."""
+    twice = F.explode(F.when(F.col("lang") == "en", F.array(F.lit(1), F.lit(1))).otherwise(F.array(F.lit(1))))
+    speeches = documents(spark, sf).select(
+        "doc_id", F.col("source").alias("unique_id"), "tokens", twice.alias("cycle"))
+    return _chunks(speeches, ["doc_id", "cycle"])
+
+
 def ngrams(spark, sf):
     grams = documents(spark, sf).select(F.explode(ngram_array(F.col("tokens"), 2)).alias("term"))
-    return grams.groupBy("term").count().orderBy(F.desc("count"), "term").limit(100).select(
-        "term", F.col("count").alias("occurrences"))
+    return grams.groupBy("term").agg(F.count("*").alias("occurrences"))
 
 
 QUERIES = {f.__name__: f for f in (
     tokenize, token_switches, lemma_lookup, lemma_join, token_stats, speaker_first_values,
-    speaker_aggregate, ngrams)}
+    speaker_aggregate, speaker_aggregate_repeats, ngrams)}
 
 ORACLE = {
     "tokenize": f"""
@@ -144,11 +154,22 @@ ORACLE = {
                CAST(count(*) AS INTEGER) AS chunk_tokens,
                md5(string_agg(token, ' ' ORDER BY place)) AS tokens_md5
         FROM placed GROUP BY 1, 2""",
+    "speaker_aggregate_repeats": f"""
+        WITH {sql_documents()},
+        copies AS (SELECT doc_id AS id, unnest(range(CASE WHEN lang = 'en' THEN 2 ELSE 1 END)) AS copy
+                   FROM documents),
+        placed AS (SELECT key, token,
+                          row_number() OVER (PARTITION BY key ORDER BY id, copy, pos) - 1 AS place
+                   FROM docs_rows JOIN copies USING (id))
+        SELECT key AS unique_id, CAST(place // {CHUNK} AS BIGINT) AS chunk,
+               CAST(count(*) AS INTEGER) AS chunk_tokens,
+               md5(string_agg(token, ' ' ORDER BY place)) AS tokens_md5
+        FROM placed GROUP BY 1, 2""",
     "ngrams": f"""
         WITH {sql_documents()},
         pairs AS (SELECT token, lead(token) OVER (PARTITION BY id ORDER BY pos) AS next_token
                   FROM docs_rows)
         SELECT token || ' ' || next_token AS term, count(*) AS occurrences
         FROM pairs WHERE next_token IS NOT NULL
-        GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100""",
+        GROUP BY 1""",
 }

@@ -5,8 +5,6 @@ from pyspark.sql import functions as F
 from textscore.operators.ordering import Ordered
 from textscore.sources.work import materialise
 
-SMALL = 200_000
-
 
 def histogram(df, column):
     """(v, n): distinct values and how often they occur, NULL and NaN left out.
@@ -23,13 +21,9 @@ def histogram(df, column):
 def histogram_quantiles(values, shares):
     """One row, columns `q0`, `q1`, ...: quantiles by linear interpolation.
 
-    Spark's own aggregate takes the counts while the distinct values are few. More of them
-    are sliced by range and their counts summed along the slices, so that neither one task
-    nor one buffer has to hold them all.
+    The values are sliced by range and their counts summed along the slices, so that neither
+    one task nor one buffer has to hold them all. Few or many values take the same way.
     """
-    if values.count() <= SMALL:
-        return values.agg(*[F.percentile("v", float(p), F.col("n")).alias(f"q{k}")
-                            for k, p in enumerate(shares)])
     cumulated = Ordered(values, ["v"], "values").running("upto", F.col("n")).result()
     total = values.agg(F.sum("n")).scalar()
     picks = []

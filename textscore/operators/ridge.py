@@ -106,9 +106,9 @@ def solve_folds(gram, folds, alphas):
     return train.groupBy("fit").cogroup(test.groupBy("fit")).applyInPandas(solve, schema)
 
 
-def r2(sse, sst):
-    """1 - SSE/SST; with a constant target 1 if it is met exactly, else 0."""
-    return F.when(sst > 0, 1 - sse / F.nullif(sst, F.lit(0.0))).otherwise(
+def r2(sse, sst, n):
+    """1 - SSE/SST; with a constant target 1 if it is met exactly, else 0; none for one row."""
+    return F.when(n < 2, None).when(sst > 0, 1 - sse / F.nullif(sst, F.lit(0.0))).otherwise(
         F.when(sse == 0, 1.0).otherwise(0.0))
 
 
@@ -122,7 +122,7 @@ def errors(predictions, keys):
 
 def cv_summary(fold_errors, keys):
     """Mean and population deviation over the folds, and R2 on the training rows."""
-    scored = fold_errors.select(*keys, "fit", r2(F.col("sse"), F.col("sst")).alias("r2"),
+    scored = fold_errors.select(*keys, "fit", r2(F.col("sse"), F.col("sst"), F.col("n")).alias("r2"),
                                 (F.col("sse") / F.col("n")).alias("mse"))
     held = F.col("fit") != FULL
     return scored.groupBy(*keys).agg(

@@ -5,13 +5,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from textscore.functions.text import ngrams
-from textscore.operators.joins import has_at_most, lookup_join
+from textscore.operators.joins import lookup_join
 from textscore.operators.ordering import Ordered
 from textscore.sources.work import materialise
 
-# A vocabulary that small, in rows and bytes, is sent to every task to drop unknown terms.
-FILTER_ROWS = 2_000_000
-
 
 def _exploded(df, ids, tokens, max_ngram, distinct=False):
     """Rows (ids, ngram, term) of all 1..max_ngram-grams."""
@@ -68,8 +65,7 @@ def term_counts(units, key, order=None, max_ngram=1, tokens="tokens", vocabulary
 
     N-grams inside a row come from its array. With several rows per key (`order` given) those
     across row borders come from the few tokens at the borders, see `_seams`. Terms outside a
-    `vocabulary` small enough to broadcast are dropped before anything is shuffled; with a
-    larger one they are counted too, and vanish when the counts are joined with it.
+    `vocabulary` are dropped before they are counted, whatever its size.
     """
     units = units.where(F.col(key).isNotNull())
     parts = [_exploded(units, [key], tokens, max_ngram)]
@@ -77,9 +73,8 @@ def term_counts(units, key, order=None, max_ngram=1, tokens="tokens", vocabulary
         parts.append(_seams(units, key, list(order), max_ngram, tokens))
     rows = reduce(lambda a, b: a.unionByName(b), parts)
     if vocabulary is not None:
-        known = vocabulary.select("ngram", "term")
-        if has_at_most(known, FILTER_ROWS):
-            rows = rows.join(F.broadcast(known), ["ngram", "term"], "left_semi")
+        known = vocabulary.select("ngram", "term").distinct()
+        rows = lookup_join(rows, known, ["ngram", "term"], "inner", spread=[key])
     return rows.groupBy(key, "ngram", "term").agg(F.count("*").alias("tf"))
 
 

@@ -214,7 +214,8 @@ def cross_validate(prepared, alphas=settings.ALPHAS, folds=settings.FOLDS,
 
 def best_config(results):
     """The first of the configs with the highest mean R2."""
-    best = (results.where("success").orderBy(F.desc("cv_r2_mean"), "grid_pos").limit(1)).first()
+    known = F.col("cv_r2_mean").isNotNull() & ~F.isnan("cv_r2_mean")
+    best = (results.where(F.col("success") & known).orderBy(F.desc("cv_r2_mean"), "grid_pos").limit(1)).first()
     if best is None:
         raise ValueError("no configuration succeeded")
     return best

@@ -45,23 +45,23 @@ def clean_stage(spark, out, scores, speaker_map, speeches, ad_texts=None, airing
         if (table := readers.read_optional(spark, f"{out}/{name}")) is not None}
 
 
-def _tokens(df, column, ids, out, stopwords, lemmas):
+def _tokens(df, column, out, stopwords, lemmas):
     cut = tokens.tokenise(df, column, out, stopwords)
     if lemmas is None:
         return cut
-    return tokens.lemmatise_arrays(cut, lemmas, out, ids)
+    return tokens.lemmatise_arrays(cut, lemmas, out)
 
 
 def tokenise_stage(spark, out, stopwords=None, lemmas=None):
     """Token arrays of speeches, which must exist, and of ads, which may be missing."""
     done = {}
-    jobs = [("cleaned_speeches", "speech", ORDER, "tokenized_speech", "tokenized_speeches", True),
-            ("cleaned_ads_unique", "ad_text", ["vidfile"], "tokenized_ad", "tokenized_ads_unique", False)]
-    for source, column, ids, array, target, required in jobs:
+    jobs = [("cleaned_speeches", "speech", "tokenized_speech", "tokenized_speeches", True),
+            ("cleaned_ads_unique", "ad_text", "tokenized_ad", "tokenized_ads_unique", False)]
+    for source, column, array, target, required in jobs:
         read = readers.read_table if required else readers.read_optional
         df = read(spark, f"{out}/{source}")
         if df is not None:
-            writers.write_table(_tokens(df, column, ids, array, stopwords, lemmas), f"{out}/{target}")
+            writers.write_table(_tokens(df, column, array, stopwords, lemmas), f"{out}/{target}")
             done[target] = report.token_stats(readers.read_table(spark, f"{out}/{target}"))
     return done
 
@@ -71,7 +71,7 @@ def speaker_stage(spark, out):
     speeches = readers.read_table(spark, f"{out}/tokenized_speeches").withColumnRenamed(
         "tokenized_speech", "tokens")
     writers.write_table(speakers.speaker_scores(speeches, ["cycle", "speech_id"]), f"{out}/speakers")
-    writers.write_table(speakers.token_chunks(speakers.speaker_tokens(speeches, ORDER)),
+    writers.write_table(speakers.speaker_chunks(speeches, ORDER),
                         f"{out}/agg_tokenized_speeches")
 
 
@@ -107,10 +107,13 @@ def embedding_stage(spark, out, table, key="unique_id", target="dime", column="e
     return best
 
 
-def predict_stage(spark, out):
-    """Predictions for all speakers of the tokenised speeches, marked if of the test share."""
-    speeches = readers.read_table(spark, f"{out}/tokenized_speeches").withColumnRenamed(
+def predict_stage(spark, out, table=None, order=ORDER):
+    """Predictions for all speakers of the tokenised speeches, marked if of the test share.
+
+    `table` names another tokenised table (unique_id, tokenized_speech or tokens, order columns).
+    """
+    speeches = readers.read_table(spark, table or f"{out}/tokenized_speeches").withColumnRenamed(
         "tokenized_speech", "tokens")
     model = writers.load_model(spark, f"{out}/tfidf_model")
-    predictions = embed.holdout(model.predict(speeches, "unique_id", ORDER), "unique_id")
+    predictions = embed.holdout(model.predict(speeches, "unique_id", order), "unique_id")
     writers.write_table(predictions, f"{out}/tfidf_predictions")

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from textscore import settings
 from textscore.functions import text
-from textscore.operators.joins import BROADCAST_ROWS, has_at_most, lookup_join
+from textscore.operators.joins import lookup_join
+from textscore.sources.work import materialise
 
 
 def tokenise(df, column, out="tokens", stopwords=None, remove_stopwords=settings.REMOVE_STOPWORDS,
@@ -53,38 +54,24 @@ def lemmatise(rows, lemmas, ids, lowercase=settings.LOWERCASE):
     return joined.select(*ids, "pos", (F.lower(term) if lowercase else term).alias("term"))
 
 
-def lemmatise_arrays(df, lemmas, column="tokens", ids=(), lowercase=settings.LOWERCASE):
-    """The same on token arrays.
+def with_row_id(df, name="_row"):
+    """`df` written down with a number per row that stays the same between reads."""
+    return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
-    A lemma table small enough for every task is looked up array by array in Arrow batches,
-    without moving a token. A larger one is joined in the long form and the arrays are put
-    together again by `ids`.
-    """
-    lemmas = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
-    if not has_at_most(lemmas, BROADCAST_ROWS):
-        listed = token_rows(df.select(*ids, column), list(ids), column)
-        arrays = token_arrays(lemmatise(listed, lemmas, list(ids), lowercase), list(ids), out=column)
-        whole = df.drop(column).join(arrays, list(ids), "left")
-        return whole.withColumn(column, F.coalesce(column, F.array().cast("array<string>")))
-
-    import pandas as pd
-
-    rows = lemmas.collect()  # within the bound just checked
-    shared = df.sparkSession.sparkContext.broadcast({r["form"]: r["lemma"] for r in rows if r["lemma"] is not None})
 
-    @F.pandas_udf("array<string>")
-    def replace(arrays: pd.Series) -> pd.Series:
-        known = shared.value
-
-        def one(tokens):
-            if tokens is None:
-                return None
-            words = [known.get(t.lower(), t) for t in tokens]
-            return [w.lower() for w in words] if lowercase else words
-
-        return arrays.map(one)
+def lemmatise_arrays(df, lemmas, column="tokens", lowercase=settings.LOWERCASE):
+    """The same on token arrays, at any size of the lemma table.
 
-    return df.withColumn(column, replace(column))
+    Arrays are joined in the long form and put together again by a row number, so rows need no
+    key and may be equal. A NULL array stays NULL and an empty one empty.
+    """
+    lemmas = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma"))
+    numbered = with_row_id(df)
+    listed = token_rows(numbered.select("_row", column), ["_row"], column)
+    arrays = token_arrays(lemmatise(listed, lemmas, ["_row"], lowercase), ["_row"], out="_lemmas")
+    nothing = F.when(F.col(column).isNotNull(), F.array().cast("array<string>"))
+    return (numbered.join(arrays, "_row", "left")
+            .withColumn(column, F.coalesce("_lemmas", nothing)).select(*df.columns))
 
 
 def token_arrays(rows, ids, term="term", out="tokens"):

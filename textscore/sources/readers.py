@@ -43,31 +43,57 @@ def read_scores(spark, path, multi_line=True):
         F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted])
 
 
+def _dump(spark, path, schema, sep, encoding, multi_line):
+    """A dump's lines by its own header: all columns as text, the raw line, and whether it is too long."""
+    header = spark.read.options(header=True, sep=sep, encoding=encoding, escape='"').csv(path).columns
+    missing = [f.name for f in schema if f.name not in header]
+    if missing:
+        raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
+    # The position of a column is the header's; only the names asked for are used.
+    names = [h if h in schema.names else f"_other{k}" for k, h in enumerate(header)]
+    full = schema.__class__()
+    for name in names:
+        full = full.add(name, "string")
+    lines = (_csv(spark, full.add(CORRUPT, "string"), sep, encoding, multi_line)
+             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+             .option("columnPruning", False).csv(path))
+    unquoted = F.regexp_replace(F.col(CORRUPT), '"(?:[^"]|"")*"', "")
+    extra = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) > len(header) - 1
+    # Always true. Spark refuses a query that needs nothing but the corrupt text, as a count would.
+    lines = lines.where(F.length(F.concat_ws("", F.col(f"`{names[0]}`"))) >= 0)
+    return lines, F.coalesce(extra, F.lit(False))
+
+
 def read_delimited(spark, path, schema, too_long="error", sep="|", encoding="ISO-8859-1",
                    multi_line=True, null_words=NULL_WORDS):
     """A delimited dump in which a line may have the wrong number of fields.
 
-    A line with too few is kept, the rest NULL. One with too many is an error, or is left out
-    with `too_long="skip"`. Texts that spell a missing value are NULL, as are numbers that
-    cannot be read.
+    Columns are matched by the header's names, so the file may have more of them, in any order; a
+    missing one is an error. A line with too few fields is kept, the rest NULL. One with too many
+    is an error, or is left out with `too_long="skip"`. Texts that spell a missing value are NULL, as
+    are numbers that cannot be read; `dump_faults` counts both.
     """
-    with_corrupt = schema.__class__(list(schema)).add(CORRUPT, "string")
-    lines = (_csv(spark, with_corrupt, sep, encoding, multi_line).option("mode", "PERMISSIVE")
-             .option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).csv(path))
-    unquoted = F.regexp_replace(F.col(CORRUPT), '"(?:[^"]|"")*"', "")
-    extra = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) > len(schema) - 1
-    # Always true. Spark refuses a query that needs nothing but the corrupt text, as a count would.
-    lines = lines.where(F.length(F.concat_ws("", F.col(schema.names[0]).cast("string"))) >= 0)
+    lines, extra = _dump(spark, path, schema, sep, encoding, multi_line)
     if too_long == "skip":
-        kept = lines.where(~F.coalesce(extra, F.lit(False)))
+        kept = lines.where(~extra)
     elif too_long == "error":
         message = F.concat(F.lit("too many fields: "), F.col(CORRUPT))
-        checked = F.when(F.coalesce(extra, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(True)
-        kept = lines.where(checked)
+        kept = lines.where(F.when(extra, F.raise_error(message).cast("boolean")).otherwise(True))
     else:
         raise ValueError("too_long: error or skip")
-    texts = [f.name for f in schema if f.dataType.typeName() == "string"]
-    return blank_null_words(kept.drop(CORRUPT), texts, null_words)
+    named = blank_null_words(kept.select(*schema.names), schema.names, null_words)
+    return named.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+
+
+def dump_faults(spark, path, schema, sep="|", encoding="ISO-8859-1", multi_line=True,
+                null_words=NULL_WORDS):
+    """One row: `lines`, `skipped_lines` (too many fields) and `unreadable_<column>` of the kept lines."""
+    lines, extra = _dump(spark, path, schema, sep, encoding, multi_line)
+    named = blank_null_words(lines.withColumn("_extra", extra), schema.names, null_words)
+    typed = [f for f in schema if f.dataType.typeName() != "string"]
+    bad = [F.count_if(~F.col("_extra") & F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull())
+           .alias(f"unreadable_{f.name}") for f in typed]
+    return named.agg(F.count("*").alias("lines"), F.count_if("_extra").alias("skipped_lines"), *bad)
 
 
 def read_speaker_map(spark, path, **options):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from textscore.plans.search import Model
+from textscore.sources.work import remove
 
 
 def write_table(df, path):
@@ -10,10 +11,11 @@ def write_table(df, path):
 
 
 def write_if_rows(df, path):
-    """Write only a table that has rows; tells whether it did."""
-    if df.isEmpty():
-        return False
+    """Write only a table that has rows; tells whether it did. Without rows no table stays at `path`."""
     write_table(df, path)
+    if df.sparkSession.read.schema(df.schema).parquet(path).isEmpty():
+        remove(df.sparkSession, path)
+        return False
     return True
 
 
