@@ -121,11 +121,17 @@ def training_windows(texts, extra=2):
 def fit(docs, text="text", key="doc_id", sample=1_000, steps=300, hidden=24):
     """A trained model, or None where no document of the sample holds an anchor."""
     body = F.col(f"`{text}`")
-    rows = (docs.filter(body.rlike("[0-9@]")).select(F.xxhash64(F.col(f"`{key}`")).alias("h"), body.alias("t"))
-            # Bounded training texts: the lines around anchors, of `sample` documents.
+    own = F.col(f"`{key}`")
+    held = docs.filter(own.isNotNull() & body.rlike("[0-9@]")).select(
+        own.alias("id"), F.xxhash64(own).alias("h"), body.alias("t"))
+    # Numbers alone are sorted; `sample` of them then pick their texts.
+    chosen = held.select("h", "id").distinct().orderBy("h", "id").limit(sample)
+    rows = (held.join(F.broadcast(chosen.select("id")), "id", "left_semi")
+            # Bounded training texts: the surroundings of anchors.
             .withColumn("t", F.regexp_extract_all("t", F.lit(r"(?s)(.{0,200}[0-9@].{0,200})"), F.lit(1)))
             .withColumn("t", F.array_join(F.slice("t", 1, 8), "\n"))
-            .orderBy("h", "t").limit(sample).collect())
+            .select("h", "t").collect())
+    rows.sort()
     if not rows:
         return None
     model = Model(KINDS, hidden)
