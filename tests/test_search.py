@@ -160,3 +160,23 @@ def test_report(spark, rows):
         ("min_df", 2.0, 0.4, 0.5, 60.0, 2), ("min_df", 5.0, 0.3, 0.5, 80.0, 2),
         ("ridge_alpha", 1.0, 0.4, 0.5, None, 2), ("ridge_alpha", 10.0, 0.3, 0.5, None, 2)]
     assert search.best_config(results(spark))["grid_pos"] == 1
+
+
+def test_a_failed_fit_is_a_row(spark, monkeypatch):
+    """One alpha does not converge: its point is a failure with its error, the rest of the grid stays."""
+    real = ridge.fit_linear
+
+    def fit_linear(df, alpha, **options):
+        if alpha == 1.0:
+            raise ArithmeticError("no convergence within 5 iterations")
+        return real(df, alpha, **options)
+
+    monkeypatch.setattr(ridge, "MAX_SIDE", 1)
+    monkeypatch.setattr(ridge, "fit_linear", fit_linear)
+    _, _, ads_df, speeches_df = corpus(spark)
+    params = {**GRID, "min_df": (2,), "max_df": (0.9,), "max_ngram": (1,), "alphas": (1.0, 10.0)}
+    found = search.grid_search(ads_df, speeches_df, **params)
+    lost, kept = found.results.orderBy("ridge_alpha").collect()
+    assert not lost["success"] and lost["error"] == "Ridge failure: ArithmeticError: no convergence within 5 iterations"
+    assert (lost["cv_r2_mean"], lost["cv_mse_mean"]) == (-999.0, 999.0) and lost["vocab_size"] == kept["vocab_size"]
+    assert kept["success"] and found.best["ridge_alpha"] == 10.0

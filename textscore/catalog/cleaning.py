@@ -27,8 +27,8 @@ def score_filter_key(spark, sf):
 def speech_speaker_right_join(spark, sf):
     lastname = (F.when(F.col("c_mktsegment") == "BUILDING", F.lit(""))
                 .when(F.col("c_mktsegment") != "MACHINERY", F.concat("c_name", F.lit(" Jr"))))
-    speakers = table(spark, sf, "customer").where("c_acctbal > 0").select(
-        F.col("c_custkey").alias("speech_id"), F.col("c_custkey").alias("speakerid"),
+    speakers = table(spark, sf, "customer").select(
+        F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("speech_id"), F.col("c_custkey").alias("speakerid"),
         lastname.alias("lastname"), F.col("c_name").alias("firstname"),
         F.nullif("c_mktsegment", F.lit("HOUSEHOLD")).alias("state"),
         F.nullif("c_nationkey", F.lit(5)).cast("double").alias("district"))

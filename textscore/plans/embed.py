@@ -20,6 +20,8 @@ def embedding_search(df, key, target, column="embedding", alphas=settings.EMBEDD
     folds and alphas there are.
     """
     known = df.select(key, F.col(target).cast("double").alias("y"), column).na.drop()
+    if known.isEmpty():
+        raise ValueError("no row has a key, a target and an embedding")
     width = dimension(known, column)
     if width > ridge.MAX_SIDE:
         raise ValueError(f"embeddings of more than {ridge.MAX_SIDE} numbers need fit_linear")

@@ -137,23 +137,30 @@ def primal_scores(features, width, folds, alphas):
 
 
 def iterative_scores(features, folds, alphas, threads=4):
-    """Many speakers and many terms: Spark ML fits per fold and alpha from a thread pool."""
+    """Many speakers and many terms: Spark ML fits per fold and alpha from a thread pool.
+
+    A fit that fails gives its alpha an `error`; the others go on.
+    """
     features = materialise(features, "features")
 
     def evaluate(task):
         alpha, fit = task
         train = features if fit == ridge.FULL else features.where(F.col("fold") != fit)
         test = features if fit == ridge.FULL else features.where(F.col("fold") == fit)
-        model = ridge.fit_linear(train, alpha, solver="l-bfgs")
-        row = ridge.errors(model.transform(test), []).first()
-        return alpha, fit, row["n"], row["sse"], row["sst"]
+        try:
+            model = ridge.fit_linear(train, alpha, solver="l-bfgs")
+            row = ridge.errors(model.transform(test), []).first()
+        except Exception as error:  # one fit's failure is a row, not the end of the grid
+            return alpha, fit, None, None, None, f"{type(error).__name__}: {error}"[:500]
+        return alpha, fit, row["n"], row["sse"], row["sst"], None
 
     tasks = [(float(a), f) for a in alphas for f in [*range(folds), ridge.FULL]]
     with ThreadPoolExecutor(threads) as pool:
         rows = list(pool.map(evaluate, tasks))
     frame = features.sparkSession.createDataFrame(
-        rows, "alpha double, fit int, n long, sse double, sst double")
-    return ridge.cv_summary(frame, ["alpha"])
+        rows, "alpha double, fit int, n long, sse double, sst double, error string")
+    errors = frame.groupBy("alpha").agg(F.min("error").alias("error"))
+    return errors.join(ridge.cv_summary(frame.where("error is null"), ["alpha"]), "alpha", "left")
 
 
 def wide_scores(prepared, configs, folds, alphas):
@@ -168,6 +175,8 @@ def wide_scores(prepared, configs, folds, alphas):
             part = iterative_scores(features, folds, alphas)
         part = materialise(part, "config_scores")
         spent = (time.time() - started) / len(alphas)
+        if "error" not in part.columns:
+            part = part.withColumn("error", F.lit(None).cast("string"))
         parts.append(part.withColumns({"config": F.lit(config), "evaluation_time": F.lit(spent)}))
     out = parts[0]
     for part in parts[1:]:
@@ -205,8 +214,13 @@ def cross_validate(prepared, alphas=settings.ALPHAS, folds=settings.FOLDS,
     else:
         route = kernel_scores if prepared.rows <= ridge.MAX_SIDE else wide_scores
         scores = route(prepared, valid, folds, alphas).withColumnRenamed("alpha", "ridge_alpha")
-        scored = points.join(F.broadcast(scores), ["config", "ridge_alpha"]).drop("config")
-        scored = scored.withColumn("success", F.lit(True))
+        if "error" not in scores.columns:
+            scores = scores.withColumn("error", F.lit(None).cast("string"))
+        scored = materialise(points.join(F.broadcast(scores), ["config", "ridge_alpha"]).drop("config"), "scored")
+        broken = scored.where("error is not null").withColumn(
+            "error", F.concat(F.lit("Ridge failure: "), "error"))
+        scored = (scored.where("error is null").withColumn("success", F.lit(True))
+                  .unionByName(failed(broken, F.col("vocab_size")), allowMissingColumns=True))
     if scored is not None:
         out = scored.unionByName(out, allowMissingColumns=True)
     return out.select("grid_pos", *[F.col(f.name).cast(f.dataType) for f in CV_RESULTS])

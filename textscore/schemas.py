@@ -27,13 +27,6 @@ SPEECHES = _schema(speech_id=T.LongType(), speech=T.StringType())
 AD_TEXT = _schema(vidfile=T.StringType(), ad_text=T.StringType())
 
 # Issue columns (`issue10`, `issue11`, ...) come on top and are found by name.
-AIRINGS = _schema(
-    vidfile=T.StringType(), categorystate=T.StringType(), election=T.StringType(),
-    affiliate=T.StringType(), est_cost=T.DoubleType(), senate=T.IntegerType(),
-    district=T.StringType(), airdate=T.DateType(), codingstatus=T.IntegerType(),
-    cand_id=T.StringType(), party=T.StringType(),
-)
-
 CV_RESULTS = _schema(
     min_df=T.IntegerType(), max_df=T.DoubleType(), ridge_alpha=T.DoubleType(),
     max_ngram=T.IntegerType(), vocab_size=T.LongType(), cv_r2_mean=T.DoubleType(),
