@@ -22,12 +22,16 @@ def folds(spark, sf):
     return contiguous_folds(table(spark, sf, "labels"), ["doc_id"], 5).select("doc_id", "fold")
 
 
+def _lengths(spark, sf):
+    """Text length in thousands, of all documents."""
+    return table(spark, sf, "documents").select(
+        "doc_id", (F.col("n_chars") / 1000.0).alias("x")).withColumn("features", F.array("x"))
+
+
 def _one_feature(spark, sf):
-    """Text length in thousands against the quality label."""
-    lengths = table(spark, sf, "documents").select(
-        "doc_id", (F.col("n_chars") / 1000.0).alias("x"))
+    """The labelled documents: length against the quality label."""
     labelled = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("y"))
-    return lengths.join(labelled, "doc_id").withColumn("features", F.array("x"))
+    return _lengths(spark, sf).join(labelled, "doc_id")
 
 
 def _fold_fits(spark, sf, alphas):
@@ -40,17 +44,18 @@ def ridge_one_feature(spark, sf):
     data = materialise(_one_feature(spark, sf).withColumn("fold", F.lit(0)), "one_feature")
     grams = ridge.augmented_gram(data, "features", width=1)
     fit = ridge.solve_folds(grams, 1, [1.0]).where(F.col("fit") == ridge.FULL).first()
-    scored = embed.score_embeddings(data, fit, "features")
+    scored = embed.score_embeddings(_lengths(spark, sf), fit, "features")
     return rounded(scored.select("doc_id", "prediction"), "prediction")
 
 
 def ridge_one_feature_ml(spark, sf):
     from pyspark.ml.functions import array_to_vector
 
-    data = materialise(_one_feature(spark, sf), "one_feature").withColumn(
-        "features", array_to_vector("features"))
+    vector = array_to_vector("features")
+    data = materialise(_one_feature(spark, sf), "one_feature").withColumn("features", vector)
     model = ridge.fit_linear(data, 1.0, solver="normal")
-    return rounded(model.transform(data).select("doc_id", "prediction"), "prediction")
+    scored = model.transform(_lengths(spark, sf).withColumn("features", vector))
+    return rounded(scored.select("doc_id", "prediction"), "prediction")
 
 
 def cv_metrics(spark, sf):
@@ -179,7 +184,7 @@ ONE_FEATURE_SQL = f"""
     WITH {ONE_FEATURE},
     fit AS (SELECT regr_sxy(y, x) / (regr_sxx(y, x) + 1.0) AS w, avg(x) AS mx, avg(y) AS my
             FROM data)
-    SELECT doc_id, round(my + w * (x - mx), 6) AS prediction FROM data, fit"""
+    SELECT doc_id, round(my + w * (n_chars / 1000.0::DOUBLE - mx), 6) AS prediction FROM documents, fit"""
 
 FOLD_ERRORS = f"""{ONE_FEATURE},
     folded AS (SELECT *, CAST(ntile(5) OVER (ORDER BY doc_id) AS INTEGER) - 1 AS fold FROM data),
