@@ -396,12 +396,18 @@ def _open_groups(groups, comps):
 
 
 def _pivot_pairs(rows, percent, pivots, large):
-    """Members of large groups with fixed pseudo-random members of other components."""
+    """Members of large groups with fixed pseudo-random members of other components, one for each of `pivots`.
+
+    Members of a group's largest component are only chosen, never paired themselves.
+    """
     rows = rows.filter(F.col("members") > large)
     chosen = rows.groupBy("hub").agg(*[
         F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("rank"), F.col("id"), F.col("n"), F.col("comp")))
-        .alias(f"p{k}") for k in range(pivots)])
-    chosen = (chosen.select("hub", F.explode(F.array(*[f"p{k}" for k in range(pivots)])).alias("p"))
+        .alias(f"p{k}") for k in pivots])
+    largest = (rows.groupBy("hub", "comp").agg(F.count("*").alias("size"))
+               .groupBy("hub").agg(F.max(F.struct("size", "comp")).alias("most")).select("hub", "most.comp"))
+    rows = rows.join(largest, ["hub", "comp"], "left_anti")
+    chosen = (chosen.select("hub", F.explode(F.array(*[f"p{k}" for k in pivots])).alias("p"))
               .select("hub", F.col("p.id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.comp").alias("p_comp"))
               .distinct())
     return (rows.join(chosen, "hub").filter(F.col("comp") != F.col("p_comp"))
@@ -431,8 +437,12 @@ def _dealt(rows, piece):
 
 
 def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2048,
-                    pivots=24, large=64):
-    """(key, copy, n_shingles, class_id, component_id) per row of `docs`."""
+                    pivots=(2, 6, 12), large=64):
+    """(key, copy, n_shingles, class_id, component_id) per row of `docs`.
+
+    `pivots`: how many pivots each round gives to the large groups that are still open; what the rounds
+    leave apart is left to the walk, so they change the work and not the result.
+    """
     body = F.col(f"`{text}`")
     base = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.xxhash64(body).alias("_copy"),
                        body.alias("_text"))
@@ -446,10 +456,16 @@ def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2
     stars = materialise(verify(hubs, base, percent), "stars")
     groups = materialise(_groups(found, percent, hot), "groups")
     rows = materialise(_open_groups(groups, components(stars)), "open-groups")
-    tries = materialise(_not_ruled_out(_pivot_pairs(rows, percent, pivots, large), maps, percent), "pivot-pairs")
-    stars = materialise(stars.unionByName(verify(tries, base, percent)), "stars")
+    used = 0
+    for more in pivots:
+        tries = _pivot_pairs(rows, percent, range(used, used + more), large)
+        tries = materialise(_not_ruled_out(tries, maps, percent), "pivot-pairs")
+        used += more
+        if tries.isEmpty():
+            continue
+        stars = materialise(stars.unionByName(verify(tries, base, percent)), "stars")
+        rows = materialise(_open_groups(groups, components(stars)), "open-groups")
 
-    rows = materialise(_open_groups(groups, components(stars)), "open-groups")
     rows = _dealt(_with_hubs(rows), piece)
     walk = (rows.join(maps.select(F.col("_id").alias("id"), "map"), "id")
             .repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right", "id"))
