@@ -83,3 +83,19 @@ def test_odd_rows(spark):
     assert lm.score(empty(spark), nothing).collect() == []
     found = lm.score(docs(spark, [""]), nothing).first()
     assert abs(found["score"] - math.log10(0.5)) < 1e-5
+
+
+def test_transitions_count_every_token(spark):
+    """The history is the class of the nearest earlier dictionary word, seed or not, as in the scores."""
+    texts = [" ".join(words(80, i, 60)) for i in range(25)] + [None, ""]
+    model = lm.learn(texts_of(docs(spark, texts)), classes=4, seeds=8, dictionary=40, weight=1.0)
+    own = dict(zip(model["words"], model["class"].tolist()))
+    moves = np.zeros((5, 6))
+    for t in texts:
+        history = 4
+        for w in (t or "").encode().lower().split():
+            moves[history, own.get(w, 4)] += 1
+            history = own.get(w, history)
+        moves[history, 5] += 1
+    expected = moves / moves.sum(1, keepdims=True)
+    assert np.allclose(10 ** model["log_given"], expected)

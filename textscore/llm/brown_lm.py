@@ -11,9 +11,10 @@ history is the class of the nearest earlier dictionary word, or the start. Trans
 interpolated with class frequencies, emissions are smoothed by `delta`, and the tail keeps one share for
 unseen words, so the probabilities sum to one.
 
-Four passes over the texts run in Arrow batches with whole-task sums before each shuffle: word
-counts, seed bigrams, (word, left class) counts, scores. The driver holds the dictionary and tables
-of seeds and classes, whose sizes are parameters; all counts cover all learning texts.
+Three passes over the texts run in Arrow batches with whole-task sums before each shuffle: word
+counts, numbers of the tokens, scores. The numbers are written down; seed bigrams, (word, left class) counts and
+transitions are counted from them, the transitions for every token with the history that scores use. The driver
+holds the dictionary and tables of seeds and classes, whose sizes are parameters; all counts cover all learning texts.
 
 Tokens: A-Z lower-cased, words as runs of bytes other than space and 0x09-0x0D, then one end token.
 
@@ -66,40 +67,68 @@ def _numbers(lookup, words):
     return np.fromiter((lookup.get(w, -1) for w in words), np.int32, len(words))
 
 
-def _pairs(texts, words, run_on, cells):
-    """(cell, n): counts of cell numbers that `run_on(numbers)` gives for each text, all texts."""
+def encode(texts, words):
+    """(codes): the numbers of all tokens, one row per slice of texts, byte by byte (`decoded`).
+
+    Dictionary words have their numbers, then come the tail and the end token, which closes each text.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(b"\n".join(words))
 
     def run(batches):
         lookup = {w: i for i, w in enumerate(shared.value.split(b"\n"))} if shared.value else {}
-        total = np.zeros(cells, np.int64)
+        tail, end = len(lookup), np.array([len(lookup) + 1], np.int32)
         for batch in batches:
             for _, own in slices(batch, "_text"):
-                found = [run_on(_numbers(lookup, words_of(t))) for t in own]
-                code, n = np.unique(np.concatenate(found), return_counts=True)
-                total[code] += n
-        code = np.flatnonzero(total)
-        for k in range(0, len(code), 1 << 16):
-            part = code[k:k + (1 << 16)]
+                parts = [p for t in own for p in (_numbers(lookup, words_of(t)), end)]
+                codes = np.concatenate([*parts, end[:0]])
+                codes[codes < 0] = tail
+                # Equal bytes of the numbers lie together, which compresses well.
+                rows = codes.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                yield pa.RecordBatch.from_pydict({"codes": pa.array([rows], pa.binary())})
+
+    return texts.mapInArrow(run, "codes binary")
+
+
+def decoded(batches, size):
+    """(codes, histories) of the rows of `encode`: a history is the nearest earlier dictionary word, or the end
+    token of the text before, which is the start."""
+    for batch in batches:
+        for row in batch.column("codes"):
+            codes = np.frombuffer(row.as_buffer(), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+            at = np.where(codes != size, np.arange(1, len(codes) + 1), 0)
+            last = np.maximum.accumulate(np.concatenate([[0], at[:-1]]))
+            yield codes, np.concatenate([[size + 1], codes])[last]
+
+
+def _sums(codes, size, cells, run_on):
+    """(cell, n): how often `run_on(codes, histories)` gives each cell number, over all texts."""
+    def run(batches):
+        total = np.zeros(cells, np.int64)
+        for own, history in decoded(batches, size):
+            np.add.at(total, run_on(own, history), 1)
+        cell = np.flatnonzero(total)
+        for k in range(0, len(cell), 1 << 16):
+            part = cell[k:k + (1 << 16)]
             yield pa.RecordBatch.from_pydict({"cell": pa.array(part), "n": pa.array(total[part])})
 
-    return texts.mapInArrow(run, "cell long, n long")
+    return codes.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def seed_bigrams(texts, words):
-    """Dense matrix of the adjacent pairs of seed words."""
-    k = len(words)
+def _table(sums, rows, columns):
+    """The sums of few cells as a dense matrix."""
+    found = sums.toArrow()
+    table = np.zeros(rows * columns)
+    table[np.asarray(found["cell"])] = np.asarray(found["n"])
+    return table.reshape(rows, columns)
 
-    def run_on(ids):
-        left, right = ids[:-1].astype(np.int64), ids[1:]
-        both = (left >= 0) & (right >= 0)
-        return left[both] * k + right[both]
 
-    # At most seeds x seeds numbers, summed by Spark.
-    rows = _pairs(texts, words, run_on, k * k).groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.zeros(k * k)
-    matrix[np.asarray(rows["cell"])] = np.asarray(rows["n"])
-    return matrix.reshape(k, k)
+def seed_bigrams(codes, size, k):
+    """Dense matrix of the pairs of a seed word and the seed word that is its history."""
+    def run_on(own, history):
+        both = (own < k) & (history < k)
+        return history[both].astype(np.int64) * k + own[both]
+
+    return _table(_sums(codes, size, k * k, run_on), k, k)
 
 
 def exchange(bigrams, classes, sweeps=12):
@@ -140,20 +169,19 @@ def exchange(bigrams, classes, sweeps=12):
     return own
 
 
-def _left_counts(texts, words, seed_class, classes):
+def _left_counts(codes, size, seed_class, classes):
     """(target, left, n): dictionary numbers (then tail, end) after seed classes (then the start)."""
-    size, wide = len(words), classes + 1
-    of_seed = np.concatenate([seed_class, np.full(size - len(seed_class), -1)]).astype(np.int64)
+    wide = classes + 1
+    of_seed = np.full(size + 2, -1)
+    of_seed[:len(seed_class)], of_seed[-1] = seed_class, classes
 
-    def run_on(ids):
-        target = np.concatenate([np.where(ids < 0, size, ids), [size + 1]]).astype(np.int64)
-        left = np.concatenate([[classes], np.where(ids < 0, -1, of_seed[ids]) if size else np.full(len(ids), -1)])
+    def run_on(own, history):
+        left = of_seed[history]
         known = left >= 0
-        return target[known] * wide + left[known]
+        return own[known].astype(np.int64) * wide + left[known]
 
-    rows = _pairs(texts, words, run_on, (size + 2) * wide)
-    return rows.select(F.floor(F.col("cell") / wide).alias("target"),
-                       (F.col("cell") % wide).alias("left"), "n")
+    return _sums(codes, size, (size + 2) * wide, run_on).select(
+        F.floor(F.col("cell") / wide).alias("target"), (F.col("cell") % wide).alias("left"), "n")
 
 
 def _assign(left, size, seed_class, classes):
@@ -181,22 +209,21 @@ def _assign(left, size, seed_class, classes):
     return own
 
 
-def _transitions(left, own, classes):
-    """Counts [history, class]: histories are classes, then the start; classes end with tail, end."""
-    owner = left.sparkSession.sparkContext.broadcast(np.concatenate([own, [classes, classes + 1]]))
+def transitions(codes, own, classes):
+    """Counts [history, class] of all tokens: histories are classes, then the start; classes end with tail, end.
 
-    def run(batches):
-        moves = np.zeros((classes + 1, classes + 2), np.int64)
-        for batch in batches:
-            np.add.at(moves, (np.asarray(batch.column("left")), owner.value[np.asarray(batch.column("target"))]),
-                      np.asarray(batch.column("n")))
-        h, k = np.nonzero(moves)
-        yield pa.RecordBatch.from_pydict({"h": pa.array(h), "k": pa.array(k), "n": pa.array(moves[h, k])})
+    Words with class -1 are left out.
+    """
+    size = len(own)
+    shared = codes.sparkSession.sparkContext.broadcast(own.astype(np.int64))
+
+    def run_on(words, history):
+        left = np.concatenate([shared.value, [-1, classes]])[history]
+        right = np.concatenate([shared.value, [classes, classes + 1]])[words]
+        known = (left >= 0) & (right >= 0)
+        return left[known] * (classes + 2) + right[known]
 
-    rows = left.mapInArrow(run, "h long, k long, n long").groupBy("h", "k").agg(F.sum("n").alias("n")).toArrow()
-    moves = np.zeros((classes + 1, classes + 2))
-    moves[np.asarray(rows["h"]), np.asarray(rows["k"])] = np.asarray(rows["n"])
-    return moves
+    return _table(_sums(codes, size, (classes + 1) * (classes + 2), run_on), classes + 1, classes + 2)
 
 
 def most_frequent(counts, size):
@@ -224,11 +251,11 @@ def learn(texts, classes=32, seeds=512, dictionary=200_000, weight=0.9, delta=0.
     size = len(words)
     seeds = min(seeds, size)
     classes = max(1, min(classes, seeds))
-    seed_class = exchange(seed_bigrams(texts, words[:seeds]), classes) if seeds else np.zeros(0, np.int64)
-    left = _left_counts(texts, words, seed_class, classes).groupBy("target", "left").agg(F.sum("n").alias("n"))
-    left = materialise(left, "left-classes")
+    codes = materialise(encode(texts, words), "codes")
+    seed_class = exchange(seed_bigrams(codes, size, seeds), classes) if seeds else np.zeros(0, np.int64)
+    left = materialise(_left_counts(codes, size, seed_class, classes), "left-classes")
     own = _assign(left, size, seed_class, classes)
-    moves = _transitions(left, own, classes)
+    moves = transitions(codes, own, classes)
 
     in_class = np.bincount(own, n, classes)
     tail_tokens, tail_words = total[0] - int(n.sum()), total[1] - size
