@@ -99,3 +99,26 @@ def test_transitions_count_every_token(spark):
         moves[history, 5] += 1
     expected = moves / moves.sum(1, keepdims=True)
     assert np.allclose(10 ** model["log_given"], expected)
+
+
+def test_words_that_never_follow_a_seed_get_their_class(spark):
+    """Rare words in a row: only the first of each row is beside a seed, the kind of all shows in what comes after."""
+    texts = []
+    for i in range(400):
+        kind = "ab"[i % 2]
+        rare = [f"{kind}{p}r{(i // 2 * 7 + p) % 40}" for p in range(3)]
+        texts.append(" ".join([f"{kind}s{i % 3}", *rare, f"{kind}s{(i + 1) % 3}"]))
+    model = lm.learn(texts_of(docs(spark, texts)), classes=2, seeds=6, dictionary=300)
+    own = dict(zip(model["words"], model["class"].tolist()))
+    kinds = {k: {c for w, c in own.items() if w.decode()[0] == k} for k in "ab"}
+    assert len(own) == 246 and len(kinds["a"]) == len(kinds["b"]) == 1 and kinds["a"] != kinds["b"]
+
+
+def test_sweeps_do_not_lower_the_likelihood(spark):
+    texts = [" ".join(words(80, i, 120)) for i in range(25)]
+    df = texts_of(docs(spark, texts))
+    names = [bytes(r["word"]) for r in lm.most_frequent(lm.count_words(df), 90).collect()]
+    codes = lm.encode(df, names).cache()
+    seeds = lm.exchange(lm.seed_bigrams(codes, 90, 30), 3)
+    values = [lm.likelihood(lm.spread(codes, 90, seeds, 3, sweeps)[1]) for sweeps in (1, 2, 6)]
+    assert values == sorted(values) and values[0] < values[2]

@@ -3,17 +3,18 @@
 P(w | history) = P(class(w) | class of the history) x P(w | class(w)).
 
 Words are counted over all learning texts. The `dictionary` most frequent words have classes: the
-exchange algorithm clusters the `seeds` most frequent ones on their bigram counts, and every other dictionary
-word joins the class that its left neighbours predict best (sums of whole numbers, so the result does
-not depend on order). The remaining words are one class of their own, `tail`, whose words are looked up by a
+exchange algorithm clusters the `seeds` most frequent ones on their bigram counts, one word at a time, and batched
+sweeps carry it on over the dictionary: every word moves to the class whose neighbours on both sides are most like
+its own, while the likelihood grows (sums of whole numbers, so the result does not depend on order). A word that
+has no seed beside it takes the class with most tokens until its neighbours have classes. The remaining words are one class of their own, `tail`, whose words are looked up by a
 join with the counts, as a vocabulary has no bound; `end` is a class of one token. The
 history is the class of the nearest earlier dictionary word, or the start. Transitions are
 interpolated with class frequencies, emissions are smoothed by `delta`, and the tail keeps one share for
 unseen words, so the probabilities sum to one.
 
 Three passes over the texts run in Arrow batches with whole-task sums before each shuffle: word
-counts, numbers of the tokens, scores. The numbers are written down; seed bigrams, (word, left class) counts and
-transitions are counted from them, the transitions for every token with the history that scores use. The driver
+counts, numbers of the tokens, scores. The numbers are written down; seed bigrams, the
+sweeps' counts and transitions are taken from them, the transitions for every token with the history that scores use. The driver
 holds the dictionary and tables of seeds and classes, whose sizes are parameters; all counts cover all learning texts.
 
 Tokens: A-Z lower-cased, words as runs of bytes other than space and 0x09-0x0D, then one end token.
@@ -169,46 +170,6 @@ def exchange(bigrams, classes, sweeps=12):
     return own
 
 
-def _left_counts(codes, size, seed_class, classes):
-    """(target, left, n): dictionary numbers (then tail, end) after seed classes (then the start)."""
-    wide = classes + 1
-    of_seed = np.full(size + 2, -1)
-    of_seed[:len(seed_class)], of_seed[-1] = seed_class, classes
-
-    def run_on(own, history):
-        left = of_seed[history]
-        known = left >= 0
-        return own[known].astype(np.int64) * wide + left[known]
-
-    return _sums(codes, size, (size + 2) * wide, run_on).select(
-        F.floor(F.col("cell") / wide).alias("target"), (F.col("cell") % wide).alias("left"), "n")
-
-
-def _assign(left, size, seed_class, classes):
-    """Class of every dictionary word: seeds keep theirs, the others follow their left neighbours."""
-    seeds = len(seed_class)
-    known = np.zeros((classes + 1, classes))          # left class (then the start) -> seed class
-    small = left.filter(F.col("target") < seeds).toArrow()
-    if small.num_rows:
-        np.add.at(known, (np.asarray(small["left"]), seed_class[np.asarray(small["target"])]),
-                  np.asarray(small["n"]))
-    given = (known + 0.1) / (known + 0.1).sum(1, keepdims=True)
-    usual = (known.sum(0) + 0.1) / (known + 0.1).sum()
-    ratio = np.round(np.log(given / usual) * UNIT).astype(np.int64)
-    by_left = [F.array(*[F.lit(int(v)) for v in ratio[:, k]]) for k in range(classes)]
-    sums = [F.sum(F.col("n") * F.get(t, F.col("left").cast("int"))).alias(f"k{k}")
-            for k, t in enumerate(by_left)]
-    # One row for each dictionary word that follows a seed.
-    found = (left.filter((F.col("target") >= seeds) & (F.col("target") < size))
-             .groupBy("target").agg(*sums).toArrow())
-    own = np.zeros(size, np.int64)
-    own[:seeds] = seed_class
-    if found.num_rows:
-        scores = np.stack([np.asarray(found[f"k{k}"]) for k in range(classes)], 1)
-        own[np.asarray(found["target"])] = scores.argmax(1)
-    return own
-
-
 def transitions(codes, own, classes):
     """Counts [history, class] of all tokens: histories are classes, then the start; classes end with tail, end.
 
@@ -226,6 +187,75 @@ def transitions(codes, own, classes):
     return _table(_sums(codes, size, (classes + 1) * (classes + 2), run_on), classes + 1, classes + 2)
 
 
+def likelihood(moves):
+    """Log likelihood of the classes' bigrams, up to what does not depend on the classes."""
+    gain = lambda v: float((v * np.log(np.maximum(v, 1))).sum())
+    return gain(moves) - gain(moves.sum(1)) - gain(moves.sum(0))
+
+
+def best_classes(codes, own, moves):
+    """(word, class): for each dictionary word the class whose neighbours on both sides are most like its own.
+
+    Neighbours count by class, start, tail and end; those with class -1 are left out, as are words that have no others.
+    """
+    size, classes = len(own), len(moves) - 1
+    before = moves[:, :classes].T + 0.1               # [class, class or start before]
+    after = moves[:classes] + 0.1                     # [class, class, tail or end after]
+    ratio = np.concatenate([np.log(before / before.sum(1, keepdims=True)),
+                            np.log(after / after.sum(1, keepdims=True))], 1).T
+    wide = len(ratio)
+    shared = codes.sparkSession.sparkContext.broadcast((own.astype(np.int64), np.round(ratio * UNIT)))
+
+    def run(batches):
+        kind, weight = shared.value
+        left, right = np.concatenate([kind, [-1, classes]]), np.concatenate([kind, [classes, classes + 1]])
+        total = np.zeros(size * wide, np.int64)
+        for words, history in decoded(batches, size):
+            for word, beside, first in ((words, left[history], 0), (history, right[words], classes + 1)):
+                known = (word < size) & (beside >= 0)
+                np.add.at(total, word[known].astype(np.int64) * wide + first + beside[known], 1)
+        total = total.reshape(size, wide)
+        held = np.flatnonzero(total.any(1))
+        for k in range(0, len(held), 1 << 14):
+            part = held[k:k + (1 << 14)]
+            # Whole numbers below 2 ** 53 in one task, so floats are exact.
+            scores = (total[part].astype(float) @ weight).astype(np.int64)
+            yield pa.RecordBatch.from_pydict(
+                {"word": pa.array(part), **{f"k{k}": pa.array(scores[:, k]) for k in range(classes)}})
+
+    names = [f"k{k}" for k in range(classes)]
+    sums = (codes.mapInArrow(run, ", ".join(f"{c} long" for c in ["word", *names]))
+            .groupBy("word").agg(*[F.sum(c).alias(c) for c in names]))
+    place = F.array_position(F.array(*names), F.greatest(*names) if classes > 1 else F.col("k0")) - 1
+    return sums.select("word", place.alias("class")).toArrow()          # one row per dictionary word
+
+
+def spread(codes, size, seed_class, classes, sweeps=6):
+    """(class of each dictionary word, transitions): batched exchange from the seeds' classes over the dictionary.
+
+    The first sweep gives classes to the words that are no seeds, from neighbours that are; words without one take the
+    class with most tokens, and have classed neighbours in the next sweep. From then on all words move at once,
+    while the likelihood of the transitions grows.
+    """
+    own = np.concatenate([seed_class, np.full(size - len(seed_class), -1)]).astype(np.int64)
+    moves = transitions(codes, own, classes)
+    for sweep in range(sweeps if size else 0):
+        new = own.copy()
+        if sweep == 0:
+            new[own < 0] = moves[:, :classes].sum(0).argmax()
+        found = best_classes(codes, own, moves)
+        word, kind = np.asarray(found["word"]), np.asarray(found["class"])
+        free = (own[word] < 0) | (sweep > 0)
+        new[word[free]] = kind[free]
+        if (new == own).all():
+            break
+        now = transitions(codes, new, classes)
+        if sweep and likelihood(now) <= likelihood(moves):
+            break
+        own, moves = new, now
+    return own, moves
+
+
 def most_frequent(counts, size):
     """The `size` most frequent words, equal counts by spelling.
 
@@ -253,9 +283,7 @@ def learn(texts, classes=32, seeds=512, dictionary=200_000, weight=0.9, delta=0.
     classes = max(1, min(classes, seeds))
     codes = materialise(encode(texts, words), "codes")
     seed_class = exchange(seed_bigrams(codes, size, seeds), classes) if seeds else np.zeros(0, np.int64)
-    left = materialise(_left_counts(codes, size, seed_class, classes), "left-classes")
-    own = _assign(left, size, seed_class, classes)
-    moves = transitions(codes, own, classes)
+    own, moves = spread(codes, size, seed_class, classes)
 
     in_class = np.bincount(own, n, classes)
     tail_tokens, tail_words = total[0] - int(n.sum()), total[1] - size
