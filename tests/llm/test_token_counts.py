@@ -1,0 +1,105 @@
+import pytest
+
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import docs, empty, odd_docs, prose
+from textscore.llm import token_counts as tc
+
+vocabularies = pytest.importorskip("public_tokenizers")
+PATH = vocabularies.path("byte_bpe_50k.json")
+SF = "/root/testdata/sf0.001"
+
+TEXTS = [
+    None, "", " ", "word", "Hello, it's 2024 o'clock -- they've   gone.\n\n  Yes\t\tno ", "a" * 5000 + " " * 3000 + "b",
+    "x<|endoftext|>y <|endoftext|> \n<|endoftext|><|endoftext|>", "<|endoftext", "  <|endoftext|>  ", "' 's ''s 'S 'll'LL",
+    "é ü ß 漢字かな한글 العربية हिन्दी  　 x ½ ² Ⅷ ١٢٣", "😀👩‍👩‍👧 ok", "\x1c\x1d\x1e\x1f\x85\x0b\x0c a\x00b",
+    "ʰ⁵́é á̂", "new letters ꟀꟐ\U00010570\U0001df00\U000323b0 here", "\U0010ffff\U000e0041 x﻿᠎ y",
+    prose(3000, 5)]
+
+
+def expected(path, texts):
+    with open(path, "rb") as f:
+        own = tc.Vocabulary(f.read(), path[path.rindex("."):]).tokenizer()
+    if path.endswith(".model"):
+        return [len(own.encode(t or "")) for t in texts]
+    return [len(own.encode(t or "", add_special_tokens=False).ids) for t in texts]
+
+
+def counted(df, path=PATH, **more):
+    return {r["doc_id"]: tuple(r)[1:] for r in tc.count_tokens(df, path, **more).collect()}
+
+
+@pytest.mark.parametrize("entries", [0, 3, 1 << 16])
+def test_counts_are_those_of_the_library(spark, entries):
+    got = counted(docs(spark, TEXTS), entries=entries, limit=900)
+    assert got == {i: (len((t or "").encode()), n, n > 900)
+                   for i, (t, n) in enumerate(zip(TEXTS, expected(PATH, TEXTS)))}
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_vocabularies_take_whole_texts(spark, name):
+    path = vocabularies.path(name)
+    got = counted(docs(spark, TEXTS), path)
+    assert [got[i][1] for i in range(len(TEXTS))] == expected(path, TEXTS)
+
+
+def test_unknown_kind_is_an_error(tmp_path):
+    (tmp_path / "x.txt").write_text("a")
+    with pytest.raises(ValueError, match="kind .txt"):
+        tc.load(str(tmp_path / "x.txt"))
+
+
+def test_whole_table_equals_library(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = df.select("doc_id", "text").collect()
+    want = dict(zip([r[0] for r in rows], expected(PATH, [r[1] for r in rows])))
+    assert {k: v[1] for k, v in counted(df).items()} == want
+    # A table drawn from few rows, or none, changes no count.
+    assert {k: v[1] for k, v in counted(df, sample=5).items()} == want
+
+
+@pytest.fixture(scope="module")
+def own():
+    return tc.Vocabulary(**tc.load(PATH))
+
+
+def test_every_character_is_split_as_the_tokenizer_does(own):
+    """Characters not listed as odd join and part as in the tokenizer, the blocks taken as old included."""
+    count, whole, cut = own.counter(), own.tokenizer(), own.splitter()
+    some = [*range(0x3000), *range(0x4D00, 0x5000), *range(0x9F00, 0xAD00), *range(0xD700, 0xD800), *range(0xE000, 0xE100)]
+    points = [chr(c) for c in some if chr(c) not in own.odd]
+    for k in range(0, len(points), 256):
+        text = "".join(f"{c}b{c}7{c}?{c}{c}\n" for c in points[k:k + 256])
+        assert [p[1] for p in whole.pre_tokenizer.pre_tokenize_str(text)] == spans(cut(text)[0])
+        assert count(text) == len(whole.encode(text, add_special_tokens=False))
+
+
+def spans(pieces):
+    at, out = 0, []
+    for p in pieces:
+        out.append((at, at + len(p)))
+        at += len(p)
+    return out
+
+
+def test_cache_is_emptied_at_its_bound_and_long_pieces_are_not_kept(own):
+    lengths = tc.Lengths({"known": 1}, own.tokenizer().model, room=2, longest=4)
+    assert [lengths[p] for p in ("known", "a", "b", "c")] == [1, 1, 1, 1]
+    assert set(lengths) == {"known", "c"} and lengths["longer"] > 0 and "longer" not in lengths
+
+
+def test_table_holds_the_most_frequent_pieces(spark, own):
+    df = docs(spark, ["aa bb bb cc cc cc", "cc bb dd"] * 8)
+    found = tc.frequent_lengths(df, spark.sparkContext.broadcast(tc.load(PATH)), entries=2, tasks=2)
+    assert found == {p: len(own.tokenizer().encode(p)) for p in (" bb", " cc")}
+
+
+def test_odd_rows(spark):
+    df = odd_docs(spark).withColumn("n_tokens", F.lit("clash")).withColumn("_text", F.lit(1))
+    found = tc.count_tokens(df, PATH)
+    assert found.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert found.count() == df.count()
+    same = [tuple(r) for r in found.filter("doc_id = 6").collect()]
+    assert len(same) == 2 and same[0] == same[1]
+    assert [tuple(r)[1:] for r in found.filter("doc_id in (1, 2)").collect()] == [(0, 0, False)] * 2
+    assert tc.count_tokens(empty(spark), PATH).collect() == []

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from textscore.llm import (brown_lm, decontaminate, jaccard_tree, licenses, line_dedup, mixing, pii,
-                           quality_classifier, quality_rules, toxicity)
+from textscore.llm import (brown_lm, decontaminate, jaccard_tree, licenses, line_dedup, mixing, periodic_runs,
+                           pii, quality_classifier, quality_rules, token_counts, toxicity)
 from textscore.llm.text import documents, read, remainder
 
 
@@ -65,6 +65,22 @@ def mixing_query(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir))
 
 
+def token_counts_query(spark, sf_dir, vocabulary="byte_bpe_50k.json"):
+    import public_tokenizers  # where the vocabulary files are; the operator takes any path
+
+    return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(vocabulary))
+
+
+def periodic_runs_query(spark, sf_dir):
+    docs = periodic_runs.with_cycles(documents(spark, sf_dir))
+    found = periodic_runs.detect_runs(docs).withColumn("best", periodic_runs.longest(F.col("runs")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(periodic_runs.listing(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
     "op2_jaccard_join": jaccard_query,
@@ -76,6 +92,8 @@ QUERIES = {
     "op8_quality_classifier": quality_query,
     "op9_licenses": licenses_query,
     "op10_mixing": mixing_query,
+    "op11_token_counts": token_counts_query,
+    "op12_periodic_runs": periodic_runs_query,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
