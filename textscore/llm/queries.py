@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from textscore.llm import (brown_lm, decontaminate, jaccard_tree, licenses, line_dedup, mixing, periodic_runs,
-                           pii, quality_classifier, quality_rules, token_counts, toxicity)
+from textscore.llm import (brown_lm, decontaminate, jaccard_tree, licenses, line_dedup, merkle_log, mixing,
+                           periodic_runs, pii, quality_classifier, quality_rules, token_counts, toxicity)
 from textscore.llm.text import documents, read, remainder
 
 
@@ -81,6 +81,16 @@ def periodic_runs_query(spark, sf_dir):
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def merkle_query(spark, sf_dir):
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    proofs = merkle_log.build(documents(spark, sf_dir), claimed={"text": text}).proofs()
+    folded = merkle_log.fold(F.col("path"), F.col("claimed"))
+    return proofs.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle_log.siblings(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root")).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_line_dedup": line_dedup_query,
     "op2_jaccard_join": jaccard_query,
@@ -94,10 +104,12 @@ QUERIES = {
     "op10_mixing": mixing_query,
     "op11_token_counts": token_counts_query,
     "op12_periodic_runs": periodic_runs_query,
+    "op13_merkle_manifest": merkle_query,
 }
 ORACLE = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_jaccard_join": jaccard_tree.ORACLE,
     "op9_licenses": licenses.oracle(),
     "op10_mixing": mixing.oracle(),
+    "op13_merkle_manifest": merkle_log.oracle(),
 }
