@@ -85,8 +85,9 @@ def test_one_pass_cross_validation(spark, sparse):
 
 
 def test_r2_of_constant_targets(spark):
-    df = spark.createDataFrame([(0.0, 0.0), (1.0, 0.0), (1.0, 4.0)], "sse double, sst double")
-    assert [r[0] for r in df.select(ridge.r2(F.col("sse"), F.col("sst"))).collect()] == [1.0, 0.0, 0.75]
+    df = spark.createDataFrame([(0.0, 0.0, 9), (1.0, 0.0, 9), (1.0, 4.0, 9), (0.0, 0.0, 1)], "sse double, sst double, n long")
+    got = [r[0] for r in df.select(ridge.r2(F.col("sse"), F.col("sst"), F.col("n"))).collect()]
+    assert got == [1.0, 0.0, 0.75, None]
 
 
 @pytest.mark.parametrize("blocks", [1, 5])

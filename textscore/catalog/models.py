@@ -61,7 +61,7 @@ def ridge_one_feature_ml(spark, sf):
 def cv_metrics(spark, sf):
     fits = _fold_fits(spark, sf, ALPHAS)
     return rounded(fits.select(
-        "fit", "alpha", "n", ridge.r2(F.col("sse"), F.col("sst")).alias("r2"),
+        "fit", "alpha", "n", ridge.r2(F.col("sse"), F.col("sst"), F.col("n")).alias("r2"),
         (F.col("sse") / F.col("n")).alias("mse")), "r2", "mse")
 
 
