@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from textscore.operators import gram, ridge
+from textscore.operators import gram, krylov, ridge
 from textscore.operators.ordering import contiguous_folds
 from textscore.plans import embed
 
@@ -148,3 +148,39 @@ def test_holdout_is_stable(spark):
     again = embed.holdout(df.repartition(7), "key").where("test").count()
     other = embed.holdout(df, "key", seed=1).where("test").join(embed.holdout(df, "key").where("test"), "key")
     assert again == one and other.count() < one / 2
+
+
+@pytest.mark.parametrize("side, entries", [(1024, 1 << 20), (4, 30)])
+def test_tiles_equal_dense(spark, monkeypatch, side, entries):
+    """One tile, and many tiles of blocks that were cut."""
+    monkeypatch.setattr(krylov, "ENTRIES", entries)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(13, 25)) * (rng.random((13, 25)) < 0.5)
+    x[3] = 0
+    i, t = np.nonzero(x)
+    df = spark.createDataFrame(list(zip(i.tolist(), t.tolist(), x[i, t].tolist())), "i long, t long, weight double")
+    got = np.zeros((13, 13))
+    for r in gram.tile_products(gram.tiles(df, 13, 25, side), 13, side).collect():
+        got[r["i"], r["j"]] += r["product"]
+    np.testing.assert_allclose(got, np.triu(x @ x.T), atol=1e-12)
+    assert gram.tile_products(gram.tiles(df.limit(0), 13, 25, side), 13, side).count() == 0
+
+
+def test_wide_embeddings_equal_narrow_ones(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    data = [(int(k), float(rng.normal()), [float(v) for v in rng.normal(size=6)]) for k in range(40)]
+    df = spark.createDataFrame(data, "key int, y double, embedding array<double>")
+    narrow = {(r["fit"], r["alpha"]): r for r in embed.embedding_search(df, "key", "y", alphas=(0.5, 5.0)).collect()}
+    monkeypatch.setattr(ridge, "MAX_SIDE", 4)
+    wide = {(r["fit"], r["alpha"]): r for r in embed.embedding_search(df, "key", "y", alphas=(0.5, 5.0)).collect()}
+    assert set(wide) == set(narrow)
+    for key, row in wide.items():
+        np.testing.assert_allclose([row[c] for c in ("n", "sse", "sst", "intercept")],
+                                   [narrow[key][c] for c in ("n", "sse", "sst", "intercept")], rtol=1e-6, atol=1e-8)
+    full = wide[ridge.FULL, 5.0]
+    np.testing.assert_allclose(full["weights"], narrow[ridge.FULL, 5.0]["weights"], atol=1e-7)
+    scored = embed.score_embeddings(df, full).first()
+    assert scored["prediction"] == pytest.approx(np.dot(scored["embedding"], full["weights"]) + full["intercept"])
+    bad = df.unionByName(spark.createDataFrame([(99, 1.0, [1.0])], df.schema))
+    with pytest.raises(ValueError, match="not all of 6"):
+        embed.embedding_search(bad, "key", "y")

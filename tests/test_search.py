@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textscore.operators import grid, ridge
+from textscore.operators import gram, grid, krylov, ridge
 from textscore.plans import report, search
 from textscore.sources import writers
 
@@ -73,19 +73,18 @@ def scores(x, y, alpha, k=5):
             1 - ((y - x @ w - b) ** 2).sum() / ((y - y.mean()) ** 2).sum())
 
 
-@pytest.mark.parametrize("route", ["kernel", "primal", "iterative"])
+@pytest.mark.parametrize("route", ["kernel", "krylov"])
 def test_search_equals_brute_force(spark, monkeypatch, route, tmp_path):
-    """All three ridge routes on one corpus, against dense matrices."""
-    limits = {"kernel": 4096, "primal": 18, "iterative": 1}
-    monkeypatch.setattr(ridge, "MAX_SIDE", limits[route])
-    params = dict(GRID) if route == "kernel" else {**GRID, "min_df": (2,), "max_df": (0.9,), "max_ngram": (1,), "alphas": (10.0,)}
+    """Both ways to fit on one corpus, against dense matrices."""
+    monkeypatch.setattr(ridge, "MAX_SIDE", {"kernel": 4096, "krylov": 1}[route])
+    params = dict(GRID)
     ads, speeches, ads_df, speeches_df = corpus(spark)
     found = search.grid_search(ads_df, speeches_df, **params)
     results = found.results.orderBy("grid_pos").collect()
     points = [(m, s, g, a) for m in params["min_df"] for s in params["max_df"]
               for g in params["max_ngram"] for a in params["alphas"]]
     assert [(r["min_df"], r["max_df"], r["max_ngram"], r["ridge_alpha"]) for r in results] == points
-    tolerance = 1e-5 if route == "iterative" else 1e-8
+    tolerance = 1e-6 if route == "krylov" else 1e-8
     best = None
     for row, (min_df, max_df, ngram, alpha) in zip(results, points):
         keys, vocabulary, x, y = matrix(ads, speeches, min_df, max_df, ngram)
@@ -162,21 +161,48 @@ def test_report(spark, rows):
     assert search.best_config(results(spark))["grid_pos"] == 1
 
 
-def test_a_failed_fit_is_a_row(spark, monkeypatch):
-    """One alpha does not converge: its point is a failure with its error, the rest of the grid stays."""
-    real = ridge.fit_linear
+@pytest.mark.parametrize("route", ["kernel", "krylov"])
+def test_a_failed_fit_is_a_row(spark, monkeypatch, route):
+    """One config's fits fail: its points are failures with their error, the rest of the grid stays."""
+    monkeypatch.setattr(ridge, "MAX_SIDE", {"kernel": 4096, "krylov": 1}[route])
+    ads, speeches, ads_df, speeches_df = corpus(spark)
+    _, vocabulary, x, _ = matrix(ads, speeches, 2, 0.9, 2)
+    if route == "kernel":
+        real, broken = gram.dual_path, float((x @ x.T).sum())
+
+        def dual_path(kernel, y, train, alphas):
+            if abs(kernel.sum() - broken) < 1e-6:
+                raise ArithmeticError("broken")
+            return real(kernel, y, train, alphas)
+
+        monkeypatch.setattr(gram, "dual_path", dual_path)
+    else:
+        real = krylov.solve
+
+        def solve(own, alphas):
+            terms = own.terms.agg(F.sum(F.length("member"))).first()[0] // (8 * own.sizes.groups)
+            if own.sizes.folds and terms == len(vocabulary):
+                raise ArithmeticError("broken")
+            return real(own, alphas)
+
+        monkeypatch.setattr(krylov, "solve", solve)
+    params = {**GRID, "min_df": (2,), "max_df": (0.9,), "max_ngram": (1, 2), "alphas": (1.0, 10.0)}
+    found = search.grid_search(ads_df, speeches_df, **params)
+    rows = found.results.orderBy("grid_pos").collect()
+    lost = [r for r in rows if not r["success"]]
+    assert len(rows) == 4 and {r["max_ngram"] for r in lost} == {2} and len(lost) == 2
+    assert {r["error"] for r in lost} == {"Ridge failure: ArithmeticError: broken"}
+    assert {(r["cv_r2_mean"], r["cv_mse_mean"], r["vocab_size"]) for r in lost} == {(-999.0, 999.0, len(vocabulary))}
+    assert found.best["max_ngram"] == 1
 
-    def fit_linear(df, alpha, **options):
-        if alpha == 1.0:
-            raise ArithmeticError("no convergence within 5 iterations")
-        return real(df, alpha, **options)
 
+def test_unsolved_alphas_are_failures(spark, monkeypatch):
+    """Too few steps: an alpha that is not solved is a failure, a solved one stays."""
     monkeypatch.setattr(ridge, "MAX_SIDE", 1)
-    monkeypatch.setattr(ridge, "fit_linear", fit_linear)
+    real = krylov.solve
+    monkeypatch.setattr(krylov, "solve", lambda own, alphas: real(own, alphas, max_steps=3 if own.sizes.folds else 1000))
     _, _, ads_df, speeches_df = corpus(spark)
-    params = {**GRID, "min_df": (2,), "max_df": (0.9,), "max_ngram": (1,), "alphas": (1.0, 10.0)}
-    found = search.grid_search(ads_df, speeches_df, **params)
-    lost, kept = found.results.orderBy("ridge_alpha").collect()
-    assert not lost["success"] and lost["error"] == "Ridge failure: ArithmeticError: no convergence within 5 iterations"
-    assert (lost["cv_r2_mean"], lost["cv_mse_mean"]) == (-999.0, 999.0) and lost["vocab_size"] == kept["vocab_size"]
-    assert kept["success"] and found.best["ridge_alpha"] == 10.0
+    params = {**GRID, "min_df": (2,), "max_df": (0.9,), "max_ngram": (1,), "alphas": (1e-3, 1e6)}
+    lost, kept = search.grid_search(ads_df, speeches_df, **params).results.orderBy("ridge_alpha").collect()
+    assert lost["error"] == "Ridge failure: ArithmeticError: no convergence" and not lost["success"]
+    assert kept["success"] and kept["error"] is None

@@ -81,11 +81,10 @@ def gram_matrix(spark, sf):
     """Products of all pairs of sources' TF-IDF rows."""
     weights, names = _indexed_weights(spark, sf)
     n = names.count()
-    if n > ridge.MAX_SIDE:
-        raise ValueError("a Gram matrix is for few rows")
-    rows = weights.select("i", "ngram", "term", F.col("tfidf").alias("weight"))
-    whole = gram.gram_rows(gram.partial_grams(rows.withColumn("cell", F.lit(0)), n, ["cell"]), [])
-    pairs = whole.select("i", F.posexplode("values").alias("j", "product")).where("i <= j")
+    terms = materialise(row_index(weights.select("ngram", "term").distinct(), ["term", "ngram"], "t"), "terms")
+    entries = lookup_join(weights.select("i", "ngram", "term", F.col("tfidf").alias("weight")), terms,
+                          ["ngram", "term"], "inner", spread=["i"])
+    pairs = gram.tile_products(gram.tiles(materialise(entries.select("i", "t", "weight"), "entries"), n, terms.count()), n)
     named = (pairs.join(F.broadcast(names.select("i", F.col("unique_id").alias("a"))), "i")
              .join(F.broadcast(names.select(F.col("i").alias("j"), F.col("unique_id").alias("b"))), "j"))
     return rounded(named.select("a", "b", "product"), "product")

@@ -1,11 +1,11 @@
 """Ridge regression with a free intercept: min |y - Xw - b|^2 + alpha |w|^2.
 
-Three exact routes, chosen by what is small:
-
-* few features: one pass sums an augmented Gram matrix per fold. Every training set is a
+* Few features: one pass sums an augmented Gram matrix per fold. Every training set is a
   sum of folds, so all folds and alphas come from that pass, and so do their errors.
-* few rows, many features: the rows' Gram matrix, see `gram.py`.
-* neither: Spark ML's iterative solver, checked for convergence.
+* Few rows: the rows' Gram matrix, see `gram.py`.
+* Any size: a basis shared by all alphas, see `krylov.py`. The first two are shortcuts to the same
+  numbers where a matrix of `MAX_SIDE` rows fits a task; tests hold all routes equal.
+* `fit_linear`: Spark ML's model, checked for convergence.
 """
 
 import numpy as np

@@ -1,10 +1,12 @@
 """Ridge on given embeddings, scoring, and a hold-out split by key."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from textscore import settings
-from textscore.operators import ridge
-from textscore.operators.ordering import contiguous_folds
+from textscore.operators import krylov, ridge
+from textscore.operators.ordering import contiguous_folds, row_index
+from textscore.sources.work import materialise
 
 
 def dimension(df, column="embedding"):
@@ -23,19 +25,48 @@ def embedding_search(df, key, target, column="embedding", alphas=settings.EMBEDD
     if known.isEmpty():
         raise ValueError("no row has a key, a target and an embedding")
     width = dimension(known, column)
-    if width > ridge.MAX_SIDE:
-        raise ValueError(f"embeddings of more than {ridge.MAX_SIDE} numbers need fit_linear")
     folded = contiguous_folds(known, [key], folds)
+    if width > ridge.MAX_SIDE:
+        return wide_search(folded, [key], column, width, folds, alphas)
     return ridge.solve_folds(ridge.augmented_gram(folded, column, width=width), folds, alphas)
 
 
+def wide_search(folded, order, column, width, folds, alphas):
+    """The same fits for vectors whose products do not fit a task. A row of weights is as long as a vector.
+
+    Weights are given for the fits on all rows; a fit that is not solved has no row.
+    """
+    rows = materialise(row_index(folded, order, "i"), "embedding-rows")
+    if rows.where((F.size(column) != width) | F.col(column).isNull()).limit(1).count():
+        raise ValueError(f"vectors are not all of {width} numbers")
+    entries = rows.select("i", F.posexplode(column).alias("t", "weight")).where("weight <> 0")
+    one = F.array(F.lit(1.0))
+    names = rows.sparkSession.range(width).select(F.col("id").alias("t"), one.alias("member"))
+    found = krylov.solve(krylov.problem(entries, rows.select("i", "y", "fold", one.alias("scale")), names, folds), alphas)
+    lost = found.unsolved()
+    pairs = F.array_sort(F.collect_list(F.struct("t", "coefficient")))
+    fits = None
+    for alpha in [float(a) for a in alphas if (0, float(a)) not in lost]:
+        weights = found.coefficients(0, alpha).agg(F.transform(pairs, lambda p: p["coefficient"]).alias("weights"))
+        full = weights.select(F.lit(ridge.FULL).alias("fit"), F.lit(alpha).alias("alpha"), "weights")
+        fits = full if fits is None else fits.unionByName(full)
+    errors = materialise(found.errors().drop("group"), "embedding-errors")
+    if fits is None:
+        return errors.limit(0).select("*", F.lit(None).cast("double").alias("intercept"),
+                                      F.lit(None).cast("array<double>").alias("weights"))
+    levels = rows.sparkSession.createDataFrame(
+        [(f, float(a), found.intercept(0, float(a), f)) for f in [*range(folds), ridge.FULL] for a in alphas
+         if (0, float(a)) not in lost], "fit int, alpha double, intercept double")
+    return errors.join(levels, ["fit", "alpha"]).join(fits, ["fit", "alpha"], "left")
+
+
 def embedding_scores(fits):
     return ridge.cv_summary(fits, ["alpha"])
 
 
 def score_embeddings(df, fit, column="embedding"):
     """Add `prediction` from one row of fits (intercept, weights)."""
-    weights = F.array([F.lit(float(w)) for w in fit["weights"]])
+    weights = F.lit(np.array(fit["weights"], float))       # one literal, however long
     products = F.zip_with(F.col(column), weights, lambda x, w: x.cast("double") * w)
     return df.withColumn("prediction", F.aggregate(
         products, F.lit(float(fit["intercept"])), lambda total, p: total + p))

@@ -1,14 +1,15 @@
 """Grid search: vocabulary from ads, ridge on speakers, folds over speakers in key order."""
 
 import time
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from textscore import settings
-from textscore.operators import gram, grid, ridge, terms
+from textscore.operators import gram, grid, krylov, ridge, terms
 from textscore.operators.joins import lookup_join
 from textscore.operators.ordering import folds_of_index, row_index
 from textscore.plans.clean import present
@@ -106,82 +107,62 @@ def kernel_scores(prepared, configs, folds, alphas):
     keys = ["config", "alpha"]
     miss = F.col("y") - F.col("prediction")
     fold_errors = predictions.groupBy(*keys, "fit").agg(
-        F.count("*").alias("n"), F.sum(miss * miss).alias("sse"),
-        F.regr_syy("y", "y").alias("sst"), F.sum("seconds").alias("seconds"))
+        F.count("y").alias("n"), F.sum(miss * miss).alias("sse"),
+        F.regr_syy("y", "y").alias("sst"), F.sum("seconds").alias("seconds"), F.min("error").alias("error"))
     fold_errors = materialise(fold_errors, "fold_errors")
-    seconds = fold_errors.groupBy(*keys).agg(F.sum("seconds").alias("evaluation_time"))
-    return ridge.cv_summary(fold_errors, keys).join(seconds, keys)
-
-
-def config_features(prepared, config):
-    """(i, y, fold, features) of one config as sparse vectors, and their width."""
-    from pyspark.ml.linalg import SparseVector, VectorUDT
-
-    mine = prepared.grid.has_cell(config)
-    vocabulary = prepared.frequencies.where(mine)
-    width = vocabulary.count()
-    scaled = terms.normalise(prepared.weights.where(mine), "i")
-    vectors = terms.sparse_vectors(scaled, vocabulary, "i", width)
-    nothing = F.udf(lambda: SparseVector(width, {}), VectorUDT())()
-    known = prepared.speakers.select("i", "y", "fold").join(vectors, "i", "left")
-    return known.withColumn("features", F.coalesce("features", nothing)), width
-
-
-def primal_scores(features, width, folds, alphas):
-    """Few terms, any number of speakers: all folds and alphas from one pass."""
-    from pyspark.ml.functions import vector_to_array
-
-    dense = features.withColumn("x", vector_to_array("features"))
-    grams = ridge.augmented_gram(dense, "x", width=width)
-    return ridge.cv_summary(ridge.solve_folds(grams, folds, alphas), ["alpha"])
-
-
-def iterative_scores(features, folds, alphas, threads=4):
-    """Many speakers and many terms: Spark ML fits per fold and alpha from a thread pool.
-
-    A fit that fails gives its alpha an `error`; the others go on.
+    more = fold_errors.groupBy(*keys).agg(F.sum("seconds").alias("evaluation_time"), F.min("error").alias("error"))
+    return ridge.cv_summary(fold_errors.where("error is null"), keys).join(more, keys, "right")
+
+
+def wide_problem(prepared, configs, folds):
+    """The packed matrix of some configs, one group each, and the numbers of the terms (ngram, term, t)."""
+    has = [prepared.grid.has_cell(c) for c in configs]
+    used = reduce(or_, has)
+    names = materialise(row_index(prepared.frequencies.where(used).select(*grid.CELL, "term"), ["term", "ngram"], "t"), "terms")
+    weights = prepared.weights.where(used)
+    entries = lookup_join(weights.select("i", "ngram", "term", "weight"), names.select("ngram", "term", "t"),
+                          ["ngram", "term"], "inner", spread=["i"])
+    square = F.col("weight") * F.col("weight")
+    lengths = weights.groupBy("i").agg(*[F.sum(F.when(h, square)).alias(f"s{k}") for k, h in enumerate(has)])
+    scale = F.array(*[F.coalesce(1 / F.nullif(F.sqrt(f"s{k}"), F.lit(0.0)), F.lit(0.0)) for k in range(len(has))])
+    rows = prepared.speakers.join(lengths, "i", "left").select("i", "y", "fold", scale.alias("scale"))
+    member = F.array(*[F.when(h, 1.0).otherwise(0.0) for h in has])
+    return krylov.problem(materialise(entries.select("i", "t", "weight"), "entries"), rows,
+                          names.select("t", member.alias("member")), folds, len(configs)), names
+
+
+def wide_scores(prepared, configs, folds, alphas, at_once=8):
+    """For any number of speakers and terms: some configs at a time, all their folds and alphas in one search.
+
+    A search that fails is tried again config by config; what fails alone is a row with its error.
     """
-    features = materialise(features, "features")
-
-    def evaluate(task):
-        alpha, fit = task
-        train = features if fit == ridge.FULL else features.where(F.col("fold") != fit)
-        test = features if fit == ridge.FULL else features.where(F.col("fold") == fit)
-        try:
-            model = ridge.fit_linear(train, alpha, solver="l-bfgs")
-            row = ridge.errors(model.transform(test), []).first()
-        except Exception as error:  # one fit's failure is a row, not the end of the grid
-            return alpha, fit, None, None, None, f"{type(error).__name__}: {error}"[:500]
-        return alpha, fit, row["n"], row["sse"], row["sst"], None
-
-    tasks = [(float(a), f) for a in alphas for f in [*range(folds), ridge.FULL]]
-    with ThreadPoolExecutor(threads) as pool:
-        rows = list(pool.map(evaluate, tasks))
-    frame = features.sparkSession.createDataFrame(
-        rows, "alpha double, fit int, n long, sse double, sst double, error string")
-    errors = frame.groupBy("alpha").agg(F.min("error").alias("error"))
-    return errors.join(ridge.cv_summary(frame.where("error is null"), ["alpha"]), "alpha", "left")
-
-
-def wide_scores(prepared, configs, folds, alphas):
-    """Config by config, for more speakers than one Gram matrix may have rows."""
     parts = []
-    for config in configs:
+    for k in range(0, len(configs), at_once):
+        some = configs[k:k + at_once]
         started = time.time()
-        features, width = config_features(prepared, config)
-        if width <= ridge.MAX_SIDE:
-            part = primal_scores(features, width, folds, alphas)
+        try:
+            own, _ = wide_problem(prepared, some, folds)
+            found = krylov.solve(own, alphas)
+            part = materialise(ridge.cv_summary(found.errors(), ["group", "alpha"]), "config_scores")
+            lost = {pair: "ArithmeticError: no convergence" for pair in found.unsolved()}
+        except Exception as error:  # one config's failure must not end the grid
+            if len(some) > 1:
+                parts.append(wide_scores(prepared, some, folds, alphas, 1))
+                continue
+            part = None
+            lost = {(0, float(a)): f"{type(error).__name__}: {error}"[:500] for a in alphas}
+        spent = (time.time() - started) / (len(some) * len(alphas))
+        spark = prepared.weights.sparkSession
+        points = spark.createDataFrame(
+            [(c, g, float(a), lost.get((g, float(a))), spent) for g, c in enumerate(some) for a in alphas],
+            "config int, group int, alpha double, error string, evaluation_time double")
+        if part is None:
+            nothing = [F.lit(None).cast("double").alias(c) for c in (
+                "cv_r2_mean", "cv_r2_std", "cv_mse_mean", "cv_mse_std", "train_r2")]
+            parts.append(points.select("*", *nothing).drop("group"))
         else:
-            part = iterative_scores(features, folds, alphas)
-        part = materialise(part, "config_scores")
-        spent = (time.time() - started) / len(alphas)
-        if "error" not in part.columns:
-            part = part.withColumn("error", F.lit(None).cast("string"))
-        parts.append(part.withColumns({"config": F.lit(config), "evaluation_time": F.lit(spent)}))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+            parts.append(points.join(part, ["group", "alpha"], "left").drop("group"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def failed(rows, size):
@@ -214,8 +195,6 @@ def cross_validate(prepared, alphas=settings.ALPHAS, folds=settings.FOLDS,
     else:
         route = kernel_scores if prepared.rows <= ridge.MAX_SIDE else wide_scores
         scores = route(prepared, valid, folds, alphas).withColumnRenamed("alpha", "ridge_alpha")
-        if "error" not in scores.columns:
-            scores = scores.withColumn("error", F.lit(None).cast("string"))
         scored = materialise(points.join(F.broadcast(scores), ["config", "ridge_alpha"]).drop("config"), "scored")
         broken = scored.where("error is not null").withColumn(
             "error", F.concat(F.lit("Ridge failure: "), "error"))
@@ -260,14 +239,12 @@ def refit(prepared, best):
         summed = term_coefficients(used, dual, "i")
         intercept = dual.select("intercept").first()[0]
     else:
-        features, width = config_features(prepared, config)
-        solver = "normal" if width <= ridge.MAX_SIDE else "l-bfgs"
-        model = ridge.fit_linear(features, best["ridge_alpha"], solver=solver)
-        names = row_index(vocabulary.select("ngram", "term"), ["term", "ngram"], "idx")
-        values = prepared.weights.sparkSession.createDataFrame(
-            list(enumerate(map(float, model.coefficients))), "idx long, coefficient double")
-        summed = names.join(values, "idx").drop("idx")
-        intercept = model.intercept
+        own, names = wide_problem(prepared, [config], 0)
+        found = krylov.solve(own, [best["ridge_alpha"]])
+        if found.unsolved():
+            raise ArithmeticError("the best point's fit on all speakers does not converge")
+        summed = names.join(found.coefficients(0, best["ridge_alpha"]), "t").select("ngram", "term", "coefficient")
+        intercept = found.intercept(0, best["ridge_alpha"])
     filled = vocabulary.join(summed, ["ngram", "term"], "left").na.fill(0.0, ["coefficient"])
     params = prepared.weights.sparkSession.range(1).select(
         F.lit(float(intercept)).alias("intercept"), F.lit(best["ridge_alpha"]).alias("ridge_alpha"),
