@@ -31,10 +31,12 @@ def grams(tokens, n):
     return [" ".join(tokens[i:i + m]) for m in range(1, n + 1) for i in range(len(tokens) - m + 1)]
 
 
-def matrix(ads, speeches, min_df, max_df, ngram):
+def matrix(ads, speeches, min_df, max_df, ngram, limit=None):
     """TF-IDF rows of the scored speakers in key order, by plain loops."""
     df = Counter(t for a in ads for t in set(grams(a, ngram)))
-    vocabulary = sorted(t for t, d in df.items() if min_df <= d <= max_df * len(ads))
+    cf = Counter(t for a in ads for t in grams(a, ngram))
+    vocabulary = [t for t, d in df.items() if min_df <= d <= max_df * len(ads)]
+    vocabulary = sorted(sorted(vocabulary, key=lambda t: (-cf[t], t))[:limit])
     column = {t: j for j, t in enumerate(vocabulary)}
     target, tokens = {}, {}
     for key, _, dime, words in sorted((s for s in speeches if s[0]), key=lambda s: (s[0], s[1])):
@@ -114,6 +116,28 @@ def test_search_equals_brute_force(spark, monkeypatch, route, tmp_path):
     assert set(predicted) == {*keys, "none"}
 
 
+@pytest.mark.parametrize("route", ["kernel", "krylov"])
+def test_limited_vocabularies_equal_brute_force(spark, monkeypatch, route):
+    monkeypatch.setattr(ridge, "MAX_SIDE", {"kernel": 4096, "krylov": 1}[route])
+    ads, speeches, ads_df, speeches_df = corpus(spark)
+    params = dict(min_df=(2, 12), max_df=(0.9,), max_ngram=(1, 2), max_features=(6, 30, None), alphas=(1.0,), min_vocab=5)
+    found = search.grid_search(ads_df, speeches_df, **params)
+    points = [(m, 0.9, g, k) for m in (2, 12) for g in (1, 2) for k in (6, 30, None)]
+    results = found.results.orderBy("grid_pos").collect()
+    assert [(r["min_df"], r["max_df"], r["max_ngram"], r["max_features"]) for r in results] == points
+    best = None
+    for row, point in zip(results, points):
+        keys, vocabulary, x, y = matrix(ads, speeches, *point)
+        assert row["vocab_size"] == len(vocabulary) and row["success"]
+        expected = scores(x, y, 1.0)
+        np.testing.assert_allclose([row["cv_r2_mean"], row["train_r2"]], [expected[0], expected[4]], rtol=1e-6)
+        if best is None or expected[0] > best[0] + 1e-9:
+            best = (expected[0], point)
+    assert tuple(found.best[c] for c in ("min_df", "max_df", "max_ngram", "max_features")) == best[1]
+    keys, vocabulary, x, y = matrix(ads, speeches, *best[1])
+    assert sorted(r["term"] for r in found.model.terms.collect()) == vocabulary
+
+
 def test_too_few_speakers_fail_each_point(spark):
     _, _, ads, speeches = corpus(spark)
     few = speeches.where("unique_id in ('k00', 'k01')")

@@ -61,6 +61,18 @@ def vocab_grid(spark, sf):
     return configs.withColumn("valid", F.col("error").isNull())
 
 
+def limited_grid(spark, sf):
+    """The grid with limits on the number of terms: each config's vocabulary, summed up."""
+    parameters = grid.Grid(settings.LIMITED_MIN_DF, (1.0,), settings.MAX_NGRAM, settings.LIMITED_MAX_FEATURES)
+    corpus = ads(spark, sf)
+    n = corpus.agg(F.count("*")).scalar()
+    rows = parameters.to_configs(materialise(parameters.cells(terms.corpus_frequency(corpus, 2), n), "cells"))
+    found = rows.groupBy("config").agg(
+        F.count("*").alias("vocab_size"), F.sum("df").alias("total_df"), F.sum("cf").alias("total_cf"),
+        F.min("cf").alias("least_cf"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
+    return parameters.frame(spark).join(F.broadcast(found), "config")
+
+
 def grid_failures(spark, sf):
     parameters, configs = _grid_configs(spark, sf)
     bad = parameters.with_alphas(configs.where("error is not null"), settings.ALPHAS)
@@ -85,7 +97,7 @@ def wide_table(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    vocab_fit, max_features, tfidf_transform, vocab_grid, grid_failures, feature_vectors,
+    vocab_fit, max_features, tfidf_transform, vocab_grid, limited_grid, grid_failures, feature_vectors,
     wide_table)}
 
 GRID_CTE = f"""{sql_frequencies()},
@@ -125,6 +137,17 @@ ORACLE = {
         WITH {sql_tfidf()}
         SELECT key AS unique_id, ngram, term, tf, round(tfidf, 6) AS tfidf FROM tfidf""",
     "vocab_grid": f"WITH {GRID_CTE} SELECT *, error IS NULL AS valid FROM configs",
+    "limited_grid": f"""
+        WITH {sql_frequencies()},
+        bases AS (SELECT unnest([2, 2, 5, 5]) AS min_df, unnest([1, 2, 1, 2]) AS max_ngram, unnest([0, 1, 2, 3]) AS b),
+        ranked AS (
+            SELECT b, min_df, max_ngram, df, cf, term,
+                   row_number() OVER (PARTITION BY b ORDER BY cf DESC, term, ngram) AS place
+            FROM bases p JOIN df_table d ON d.df >= p.min_df AND d.ngram <= p.max_ngram),
+        limits AS (SELECT unnest([1000, 5000, 10000]) AS max_features, unnest([0, 1, 2]) AS k)
+        SELECT b * 3 + k AS config, min_df, 1.0::DOUBLE AS max_df, max_ngram, max_features, count(*) AS vocab_size,
+               sum(df) AS total_df, sum(cf) AS total_cf, min(cf) AS least_cf, min(term) AS first_term, max(term) AS last_term
+        FROM ranked JOIN limits ON place <= max_features GROUP BY ALL""",
     "grid_failures": f"""
         WITH {GRID_CTE},
         alphas AS (SELECT unnest([0.1, 1, 10, 100, 1000]::DOUBLE[]) AS ridge_alpha,

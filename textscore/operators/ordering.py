@@ -50,6 +50,18 @@ class Ordered:
         self.df = self.df.withColumn(name, total).drop("_carry")
         return self
 
+    def running_sums(self, **values):
+        """Add several running sums at once: one pass for the slices' totals, one window."""
+        earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+        parts = self.df.groupBy(SLICE).agg(*[F.sum(v).alias(f"_of_{n}") for n, v in values.items()])
+        carry = parts.select(SLICE, *[F.sum(f"_of_{n}").over(earlier).alias(f"_of_{n}") for n in values])
+        self._carried(carry, [])
+        upto = self._within().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        names = [c for c in self.df.columns if not c.startswith("_of_")]
+        self.df = self.df.select(*names, *[(F.coalesce(F.col(f"_of_{n}"), F.lit(0)) + F.sum(v).over(upto)).alias(n)
+                                           for n, v in values.items()])
+        return self
+
     def previous(self, name, value):
         """Add `name`: `value` of the row just before this one, NULL for the first."""
         last = (self.df.groupBy(SLICE)

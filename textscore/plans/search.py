@@ -69,8 +69,8 @@ def prepare(ads, speeches, order, parameters, folds, key="unique_id", target="di
     """Count everything once: n-grams per speaker, document frequencies, cells."""
     max_ngram = max(parameters.max_ngram)
     n_ads = ads.count()
-    frequencies = materialise(
-        parameters.cells(terms.document_frequency(ads, max_ngram), F.lit(n_ads)), "frequencies")
+    count = terms.corpus_frequency if parameters.limited else terms.document_frequency
+    frequencies = materialise(parameters.cells(count(ads, max_ngram), F.lit(n_ads)), "frequencies")
     speakers = materialise(target_rows(speeches, score_order or order, folds, key, target), "speakers")
     counts = terms.term_counts(speeches, key, order, max_ngram, vocabulary=frequencies)
     vocabulary = frequencies.withColumn("idf", terms.smoothed_idf(F.lit(n_ads)))
@@ -168,7 +168,8 @@ def wide_scores(prepared, configs, folds, alphas, at_once=8):
 def failed(rows, size):
     """Sentinel values of a config that could not be evaluated."""
     return rows.select(
-        "grid_pos", "min_df", "max_df", "ridge_alpha", "max_ngram", size.alias("vocab_size"),
+        "grid_pos", "min_df", "max_df", "ridge_alpha", "max_ngram",
+        *[c for c in rows.columns if c == "max_features"], size.alias("vocab_size"),
         F.lit(-999.0).alias("cv_r2_mean"), F.lit(0.0).alias("cv_r2_std"),
         F.lit(999.0).alias("cv_mse_mean"), F.lit(0.0).alias("cv_mse_std"),
         F.lit(-999.0).alias("train_r2"), F.lit(0.0).alias("evaluation_time"),
@@ -202,7 +203,8 @@ def cross_validate(prepared, alphas=settings.ALPHAS, folds=settings.FOLDS,
                   .unionByName(failed(broken, F.col("vocab_size")), allowMissingColumns=True))
     if scored is not None:
         out = scored.unionByName(out, allowMissingColumns=True)
-    return out.select("grid_pos", *[F.col(f.name).cast(f.dataType) for f in CV_RESULTS])
+    limit = ["max_features"] if parameters.limited else []
+    return out.select("grid_pos", *limit, *[F.col(f.name).cast(f.dataType) for f in CV_RESULTS])
 
 
 def best_config(results):
@@ -223,7 +225,8 @@ def term_coefficients(weights, dual, key):
 
 def refit(prepared, best):
     """Weights by term on all speakers, for the best config."""
-    config = prepared.grid.number(best["min_df"], best["max_df"], best["max_ngram"])
+    config = prepared.grid.number(best["min_df"], best["max_df"], best["max_ngram"],
+                                  best["max_features"] if prepared.grid.limited else None)
     mine = prepared.grid.has_cell(config)
     vocabulary = prepared.frequencies.where(mine).select(
         "ngram", "term", "df", terms.smoothed_idf(F.lit(prepared.ads)).alias("idf"))
@@ -269,16 +272,19 @@ def predict(model, units, key, order=None):
 
 def grid_search(ads, speeches, order=("speech_id",), min_df=settings.MIN_DF, max_df=settings.MAX_DF,
                 max_ngram=settings.MAX_NGRAM, alphas=settings.ALPHAS, folds=settings.FOLDS,
-                min_vocab=settings.MIN_VOCAB, key="unique_id", target="dime", score_order=None):
+                min_vocab=settings.MIN_VOCAB, key="unique_id", target="dime", score_order=None,
+                max_features=(None,)):
     """Evaluate the grid, pick the best point, refit it on all speakers.
 
+    `max_features` is a further axis: limits on the number of terms, None for no limit; the results then name it.
+
     `ads` needs an array column `tokens`; `speeches` needs `tokens`, `key`, `target` and the
     `order` columns, which together with the key are unique. A speaker's target is the first
     one in `score_order`, by default the same order.
     """
     require(ads, ["tokens"])
     require(speeches, ["tokens", key, target, *order, *(score_order or [])])
-    prepared = prepare(ads, speeches, list(order), grid.Grid(min_df, max_df, max_ngram), folds,
+    prepared = prepare(ads, speeches, list(order), grid.Grid(min_df, max_df, max_ngram, max_features), folds,
                        key, target, score_order)
     results = materialise(cross_validate(prepared, alphas, folds, min_vocab), "cv_results")
     best = best_config(results)

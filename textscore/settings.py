@@ -24,6 +24,10 @@ MAX_DF = (0.01, 0.05, 0.1, 0.3, 0.5, 0.7, 0.9)
 MAX_NGRAM = (1, 2)
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
 EMBEDDING_ALPHAS = (0.1, 1.0, 10.0, 100.0)
+# The smaller grid, which limits the number of terms.
+LIMITED_MIN_DF = (2, 5)
+LIMITED_MAX_FEATURES = (1000, 5000, 10000)
+LIMITED_ALPHAS = (0.1, 1.0, 10.0, 100.0)
 FOLDS = 5
 MIN_VOCAB = 50
 HOLDOUT_SHARE = 0.2
