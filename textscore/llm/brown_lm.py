@@ -3,7 +3,8 @@
 P(w | history) = P(class(w) | class of the history) x P(w | class(w)).
 
 Words are counted over all learning texts. The `dictionary` most frequent words have classes: the
-exchange algorithm clusters the `seeds` most frequent ones on their bigram counts, one word at a time, and batched
+exchange algorithm clusters the `seeds` most frequent ones on the counts of their pairs (other words between two
+seeds are passed over, so rare words cannot hide them), one word at a time and from several starts, and batched
 sweeps carry it on over the dictionary: every word moves to the class whose neighbours on both sides are most like
 its own, while the likelihood grows (sums of whole numbers, so the result does not depend on order). A word that
 has no seed beside it takes the class with most tokens until its neighbours have classes. The remaining words are one class of their own, `tail`, whose words are looked up by a
@@ -124,18 +125,43 @@ def _table(sums, rows, columns):
 
 
 def seed_bigrams(codes, size, k):
-    """Dense matrix of the pairs of a seed word and the seed word that is its history."""
-    def run_on(own, history):
-        both = (own < k) & (history < k)
-        return history[both].astype(np.int64) * k + own[both]
+    """Dense matrix of the pairs of a seed word and the nearest earlier seed word of its text, whatever lies between."""
+    def run_on(own, _):
+        # A text's end token closes it, so no pair reaches over it.
+        marks = own[(own < k) | (own == size + 1)].astype(np.int64)
+        left, right = marks[:-1], marks[1:]
+        both = (left < k) & (right < k)
+        return left[both] * k + right[both]
 
     return _table(_sums(codes, size, k * k, run_on), k, k)
 
 
-def exchange(bigrams, classes, sweeps=12):
-    """Class of each seed word: single words move while the class bigram likelihood grows."""
+def starts(bigrams, classes, most=4):
+    """Assignments to start from: in turn by frequency, and equal runs along the main directions of who stands beside whom."""
     k = len(bigrams)
-    own = np.arange(k) % classes
+    found = [np.arange(k) % classes]
+    both = bigrams + bigrams.T
+    degree = np.sqrt(np.maximum(both.sum(1), 1e-12))
+    value, vector = np.linalg.eigh(both / degree[:, None] / degree[None, :])
+    for at in np.argsort(-np.abs(value), kind="stable")[:most]:
+        place = np.empty(k, np.int64)
+        place[np.argsort(np.round(vector[:, at] / degree, 9), kind="stable")] = np.arange(k)
+        found.append(place * classes // k)
+    return found
+
+
+def exchange(bigrams, classes):
+    """Class of each seed word: the best result of the exchange from several starts."""
+    if classes < 2:
+        return np.zeros(len(bigrams), np.int64)
+    found = [_exchange(bigrams, classes, own) for own in starts(bigrams, classes)]
+    cells = lambda own: np.eye(classes)[own].T @ bigrams @ np.eye(classes)[own]
+    return max(found, key=lambda own: likelihood(cells(own)))
+
+
+def _exchange(bigrams, classes, own, sweeps=12):
+    """Single words move while the class bigram likelihood grows; a class keeps its last word."""
+    k, own = len(bigrams), own.copy()
     member = np.eye(classes)[own]                    # [word, class]
     m = member.T @ bigrams @ member
     gain = lambda v: v * np.log(np.maximum(v, 1e-12))
@@ -144,6 +170,8 @@ def exchange(bigrams, classes, sweeps=12):
         for w in range(k):
             right, left, same = bigrams[w] @ member, bigrams[:, w] @ member, bigrams[w, w]
             old = own[w]
+            if (own == old).sum() == 1:
+                continue
             right[old] -= same
             left[old] -= same
             m[old] -= right
@@ -230,23 +258,29 @@ def best_classes(codes, own, moves):
     return sums.select("word", place.alias("class")).toArrow()          # one row per dictionary word
 
 
-def spread(codes, size, seed_class, classes, sweeps=6):
+def spread(codes, size, seed_class, classes, sweeps=6, pairs=None):
     """(class of each dictionary word, transitions): batched exchange from the seeds' classes over the dictionary.
 
-    The first sweep gives classes to the words that are no seeds, from neighbours that are; words without one take the
+    The first sweep gives classes to the words that are no seeds, from neighbours that are and the seeds' `pairs`,
+    which tell what classes follow each other where seeds are never side by side; words without such a neighbour take the
     class with most tokens, and have classed neighbours in the next sweep. From then on all words move at once,
     while the likelihood of the transitions grows.
     """
     own = np.concatenate([seed_class, np.full(size - len(seed_class), -1)]).astype(np.int64)
     moves = transitions(codes, own, classes)
     for sweep in range(sweeps if size else 0):
-        new = own.copy()
+        new, evidence = own.copy(), moves.copy()
         if sweep == 0:
             new[own < 0] = moves[:, :classes].sum(0).argmax()
-        found = best_classes(codes, own, moves)
+            if pairs is not None:
+                member = np.eye(classes)[seed_class]
+                evidence[:classes, :classes] += member.T @ pairs @ member
+        found = best_classes(codes, own, evidence)
         word, kind = np.asarray(found["word"]), np.asarray(found["class"])
         free = (own[word] < 0) | (sweep > 0)
         new[word[free]] = kind[free]
+        stays = np.isin(own, np.setdiff1d(own[own >= 0], new))      # a class that would lose all its words keeps them
+        new[stays] = own[stays]
         if (new == own).all():
             break
         now = transitions(codes, new, classes)
@@ -282,8 +316,8 @@ def learn(texts, classes=32, seeds=512, dictionary=200_000, weight=0.9, delta=0.
     seeds = min(seeds, size)
     classes = max(1, min(classes, seeds))
     codes = materialise(encode(texts, words), "codes")
-    seed_class = exchange(seed_bigrams(codes, size, seeds), classes) if seeds else np.zeros(0, np.int64)
-    own, moves = spread(codes, size, seed_class, classes)
+    pairs = seed_bigrams(codes, size, seeds) if seeds else np.zeros((0, 0))
+    own, moves = spread(codes, size, exchange(pairs, classes), classes, pairs=pairs)
 
     in_class = np.bincount(own, n, classes)
     tail_tokens, tail_words = total[0] - int(n.sum()), total[1] - size
