@@ -10,7 +10,8 @@ sequence; without words nothing), as 64-bit hashes. Documents link at a similari
    (they are `full`), so hot blocks need their full members only.
 3. Hubs. In each block every class is compared with one fixed member, its hub, so a group of near copies
    becomes a star. Verified links give components. Blocks with one hub form a group; in large groups
-   that still hold several components, some more fixed members are compared with all.
+   that still hold several components, every member is compared with one more fixed member of its own size
+   band and of the two beside it, a few times over.
 4. Signature trees, over groups that still hold several components. Nodes hold the OR of their members'
    token bitmaps, the range of their sizes and of their components; two trees are walked in pairs from
    the root, and a pair of nodes is dropped if the sizes are too far apart, the component is one, or the
@@ -395,22 +396,22 @@ def _open_groups(groups, comps):
     return rows.join(several, "hub")
 
 
-def _pivot_pairs(rows, percent, pivots, large):
-    """Members of large groups with fixed pseudo-random members of other components, one for each of `pivots`.
+def _pivot_pairs(rows, percent, turn, large):
+    """Members of large groups with a fixed pseudo-random member, the pivot, of each size band their partners can be in.
 
+    Sizes of linked sets differ by less than one band, so a member meets three pivots at most, however large the group.
     Members of a group's largest component are only chosen, never paired themselves.
     """
-    rows = rows.filter(F.col("members") > large)
-    chosen = rows.groupBy("hub").agg(*[
-        F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("rank"), F.col("id"), F.col("n"), F.col("comp")))
-        .alias(f"p{k}") for k in pivots])
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)
+    rows = rows.filter(F.col("members") > large).withColumn("band", band)
+    chosen = rows.groupBy("hub", "band").agg(
+        F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), F.col("id"), F.col("n"), F.col("comp"))).alias("p"))
+    chosen = chosen.select("hub", "band", F.col("p.id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.comp").alias("p_comp"))
     largest = (rows.groupBy("hub", "comp").agg(F.count("*").alias("size"))
                .groupBy("hub").agg(F.max(F.struct("size", "comp")).alias("most")).select("hub", "most.comp"))
     rows = rows.join(largest, ["hub", "comp"], "left_anti")
-    chosen = (chosen.select("hub", F.explode(F.array(*[f"p{k}" for k in pivots])).alias("p"))
-              .select("hub", F.col("p.id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.comp").alias("p_comp"))
-              .distinct())
-    return (rows.join(chosen, "hub").filter(F.col("comp") != F.col("p_comp"))
+    rows = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    return (rows.join(chosen, ["hub", "band"]).filter(F.col("comp") != F.col("p_comp"))
             .filter(_similar_sizes("n", "p_n", percent))
             .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
 
@@ -437,11 +438,11 @@ def _dealt(rows, piece):
 
 
 def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2048,
-                    pivots=(2, 6, 12), large=64):
+                    turns=3, large=64):
     """(key, copy, n_shingles, class_id, component_id) per row of `docs`.
 
-    `pivots`: how many pivots each round gives to the large groups that are still open; what the rounds
-    leave apart is left to the walk, so they change the work and not the result.
+    `turns`: how often the large groups that are still open get new pivots; what they leave apart is left to the
+    walk, so they change the work and not the result.
     """
     body = F.col(f"`{text}`")
     base = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.xxhash64(body).alias("_copy"),
@@ -456,11 +457,9 @@ def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2
     stars = materialise(verify(hubs, base, percent), "stars")
     groups = materialise(_groups(found, percent, hot), "groups")
     rows = materialise(_open_groups(groups, components(stars)), "open-groups")
-    used = 0
-    for more in pivots:
-        tries = _pivot_pairs(rows, percent, range(used, used + more), large)
+    for turn in range(turns):
+        tries = _pivot_pairs(rows, percent, turn, large)
         tries = materialise(_not_ruled_out(tries, maps, percent), "pivot-pairs")
-        used += more
         if tries.isEmpty():
             continue
         stars = materialise(stars.unionByName(verify(tries, base, percent)), "stars")
