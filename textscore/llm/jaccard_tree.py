@@ -457,13 +457,17 @@ def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2
     stars = materialise(verify(hubs, base, percent), "stars")
     groups = materialise(_groups(found, percent, hot), "groups")
     rows = materialise(_open_groups(groups, components(stars)), "open-groups")
+    # Only the large groups are looked at again; a component of a small one that has grown since costs a try, no link.
+    small, wide = rows.filter(F.col("members") <= large), rows.filter(F.col("members") > large)
+    members = wide.select("hub", "id", "n")
     for turn in range(turns):
-        tries = _pivot_pairs(rows, percent, turn, large)
+        tries = _pivot_pairs(wide, percent, turn, large)
         tries = materialise(_not_ruled_out(tries, maps, percent), "pivot-pairs")
         if tries.isEmpty():
             continue
         stars = materialise(stars.unionByName(verify(tries, base, percent)), "stars")
-        rows = materialise(_open_groups(groups, components(stars)), "open-groups")
+        wide = materialise(_open_groups(members, components(stars)), "wide-groups")
+    rows = small.unionByName(wide)
 
     rows = _dealt(_with_hubs(rows), piece)
     walk = (rows.join(maps.select(F.col("_id").alias("id"), "map"), "id")
