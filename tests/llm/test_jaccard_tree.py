@@ -53,11 +53,11 @@ def variants(seed, groups=6, copies=9, length=120):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,hot,piece", [(1, 64, 2048), (2, 3, 4), (3, 1, 2)])
-def test_against_brute_force(spark, seed, hot, piece):
+@pytest.mark.parametrize("seed,hot,piece,large", [(1, 64, 2048, 64), (2, 3, 4, 1), (3, 1, 2, 1)])
+def test_against_brute_force(spark, seed, hot, piece, large):
     texts = variants(seed)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"])
-             for r in jt.near_duplicates(docs(spark, texts), hot=hot, piece=piece).collect()}
+             for r in jt.near_duplicates(docs(spark, texts), hot=hot, piece=piece, large=large).collect()}
     assert found == brute(texts)
 
 
