@@ -53,7 +53,7 @@ def variants(seed, groups=6, copies=9, length=120):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed,hot,piece,large", [(1, 64, 2048, 64), (2, 3, 4, 1), (3, 1, 2, 1)])
+@pytest.mark.parametrize("seed,hot,piece,large", [(1, 64, 2048, 64), (2, 3, 4, 64), (3, 1, 2, 1)])
 def test_against_brute_force(spark, seed, hot, piece, large):
     texts = variants(seed)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"])
