@@ -1,10 +1,12 @@
 import re
 
+from pyspark.sql import functions as F
+
 from textscore.llm import line_dedup
 from tests.llm.helpers import docs, empty, odd_docs, prose
 
 
-def brute(rows, width=3, least=40):
+def brute(rows, width=3, least=1):
     """(id, cleaned, lines, removed) of (id, text) rows with distinct ids, in one process."""
     cut = {i: [x for x in re.split(r"(?<=\n)|(?<=[.!?] )", t or "") if x] for i, t in rows}
     seen, gone = {}, {i: set() for i in cut}
@@ -38,6 +40,25 @@ def test_against_brute_force(spark):
     assert found[8] == (None, 0, 0) and found[9] == ("", 0, 0)
 
 
+def test_short_lines_count_and_blank_ones_do_not(spark):
+    rows = ["a\nb\nc\nd", "x\na\nb\nc\ny", "\n\n\n\nhead\n", "\n\n\n\nother\n"]
+    found = run(docs(spark, rows))
+    assert found == brute(list(enumerate(rows)))
+    assert found[1] == ("x\ny", 5, 3) and found[3][2] == 0
+
+
+def test_clashing_names_stay(spark):
+    shared = prose(300, 4)
+    df = docs(spark, [shared, "Lead. " + shared])
+    plain = run(df)
+    names = ["_id", "_copy", "covered", "_own", "_lines", "__id", "at", "h1", "line", "_TEXT"]
+    wide = df
+    for n in names:
+        wide = wide.withColumn(n, F.lit("mine"))
+    assert run(wide) == plain and plain[1][2] > 0
+    assert all(r[n] == "mine" for r in line_dedup.remove_repeated_lines(wide).collect() for n in names)
+
+
 def test_a_passage_is_cut_from_later_documents_only(spark):
     passage = prose(500, 5)
     found = run(docs(spark, ["First part. " + passage + " Its own end.", "Other words. " + passage + " Another end."]))

@@ -4,8 +4,8 @@ A line ends after a line break, or after `.`, `!` or `?` and a blank, so that pa
 a paragraph line up as well. The lines of a text always concatenate to it. Each window of `width`
 consecutive lines is hashed from its trimmed lines (96 bits). Of all windows with one hash the
 first, by (id, text hash, position), stays; every line covered by a later one is removed, overlapping
-windows merged. Windows with fewer than `min_chars` characters never count, nor do texts of fewer
-than `width` lines.
+windows merged. A window counts if its trimmed lines hold `min_chars` characters, one by default: only blank
+lines are never a repeat. Texts of fewer than `width` lines have no window.
 
 Windows are hashed in Arrow batches; all else is DataFrame expressions. A hash's first place is a
 minimum, combined before the shuffle; the windows of repeated hashes come back by a plain join,
@@ -14,7 +14,7 @@ which Spark splits where a hash is hot. Only the covered positions of one text a
 Defined results: a null text stays null, an empty one empty, both with 0 lines. Rows of one id
 with different texts are told apart by the text's hash; rows equal in id and text are one document
 and get the same result. Null ids sort last. A repeat within a text is a later occurrence too.
-Extra columns stay; one named like a result column is replaced.
+Extra columns stay, whatever their names; one named like a result column is replaced.
 """
 
 import numpy as np
@@ -22,7 +22,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from textscore.llm.text import combine, hash_spans, mix, slices, without
+from textscore.llm.text import combine, hash_spans, mix, slices, unused, without
 
 BREAK = r"(?<=\n)|(?<=[.!?] )"
 
@@ -33,7 +33,7 @@ def lines_of(text):
     return F.filter(F.split(text, BREAK), lambda x: x != "")
 
 
-def line_windows(texts, width=3, min_chars=40):
+def line_windows(texts, width=3, min_chars=1):
     """(text, at, h1, h2) of the windows of some texts (bytes), as arrays."""
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     offset = np.concatenate([[0], np.cumsum(lengths + 1)])
@@ -67,7 +67,7 @@ def line_windows(texts, width=3, min_chars=40):
     return owner[at], line[at], h.view(np.int64), other.astype(np.int64)
 
 
-def windows(docs, text="text", key="doc_id", width=3, min_chars=40):
+def windows(docs, text="text", key="doc_id", width=3, min_chars=1):
     """(_id, _copy, h1, h2, at): every window that is long enough."""
     def run(batches):
         for batch in batches:
@@ -85,7 +85,7 @@ def windows(docs, text="text", key="doc_id", width=3, min_chars=40):
             .mapInArrow(run, f"_id {kind}, _copy long, h1 long, h2 int, at int"))
 
 
-def covered_lines(docs, text="text", key="doc_id", width=3, min_chars=40):
+def covered_lines(docs, text="text", key="doc_id", width=3, min_chars=1):
     """(_id, _copy, covered): the positions of the lines to remove, per text that has any."""
     rows = windows(docs, text, key, width, min_chars)
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("i"),
@@ -98,20 +98,22 @@ def covered_lines(docs, text="text", key="doc_id", width=3, min_chars=40):
             .agg(F.collect_set("line").alias("covered")))
 
 
-def remove_repeated_lines(docs, text="text", key="doc_id", width=3, min_chars=40):
+def remove_repeated_lines(docs, text="text", key="doc_id", width=3, min_chars=1):
     """`docs` with the text cleaned in place, and `n_lines`, `n_removed` (long)."""
     docs = without(docs, "n_lines", "n_removed")
-    found = covered_lines(docs, text, key, width, min_chars)
     body, columns = F.col(f"`{text}`"), docs.columns
-    same = F.col(f"`{key}`").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_copy"))
-    joined = docs.withColumn("_own", F.xxhash64(body)).join(found, same, "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("covered"))
-    cleaned = F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "")
-    count = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.size(c)), F.lit(0))
-    return (joined.withColumn("_lines", lines_of(body))
-            .withColumns({"n_lines": count("_lines").cast("long"),
-                          "n_removed": count("covered").cast("long"),
-                          text: F.when(F.col("covered").isNull(), body).otherwise(cleaned)})
+    names = unused(docs, "_id", "_copy", "covered", "_own", "_lines")
+    found = covered_lines(docs, text, key, width, min_chars).toDF(*names[:3])
+    of_id, copy, covered, own, lines = (F.col(f"`{c}`") for c in names)
+    same = F.col(f"`{key}`").eqNullSafe(of_id) & (own == copy)
+    joined = docs.withColumn(names[3], F.xxhash64(body)).join(found, same, "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
+    cleaned = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "")
+    count = lambda c: F.coalesce(F.when(c.isNotNull(), F.size(c)), F.lit(0))
+    return (joined.withColumn(names[4], lines_of(body))
+            .withColumns({"n_lines": count(lines).cast("long"),
+                          "n_removed": count(covered).cast("long"),
+                          text: F.when(covered.isNull(), body).otherwise(cleaned)})
             .select(*[F.col(f"`{c}`") for c in columns], "n_lines", "n_removed"))
 
 
@@ -129,7 +131,7 @@ wide AS (
   FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 ranked AS (
   SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS nth
-  FROM wide WHERE c IS NOT NULL AND length(a) + length(b) + length(c) >= 40),
+  FROM wide WHERE c IS NOT NULL AND length(a) + length(b) + length(c) >= 1),
 covered AS (
   SELECT DISTINCT doc_id, pos + k AS pos FROM ranked, (SELECT unnest(range(3)) AS k) WHERE nth > 1)
 SELECT d.doc_id, coalesce(string_agg(l.line, '' ORDER BY l.pos) FILTER (c.pos IS NULL),
