@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from textscore.llm import decontaminate as dc
 from tests.llm.helpers import docs, empty, odd_docs, words
 
@@ -45,6 +47,23 @@ def test_odd_rows_and_removal(spark):
     assert found(empty(spark), bench) == {} and found(df, items(spark, []).limit(0)) == {}
 
 
+def test_texts_under_one_item_id_are_compared_one_by_one(spark):
+    """The second text of item 7 says 14 where the first says 9: mixed up, no alignment would be consistent."""
+    rows = [(7, ITEM), (7, ITEM.replace("9", "14")), (7, ITEM), (7, ITEM + " Give the number in full words, please, with a reason.")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    alone = found(docs(spark, [ITEM]), items(spark, [ITEM]))[0, 0]
+    assert found(docs(spark, [ITEM, " ".join(words(60, 1))]), bench) == {(0, 7): alone}
+    assert dc.remove_contaminated(docs(spark, [ITEM, "clean"]), bench).count() == 1
+
+
+def test_clashing_names_stay(spark):
+    df = docs(spark, [ITEM, " ".join(words(60, 1))])
+    for name in ("_doc", "_copy", "__doc", "copy", "_item", "at", "_Text"):
+        df = df.withColumn(name, F.lit("mine"))
+    left = dc.remove_contaminated(df, items(spark, [ITEM])).collect()
+    assert [(r["doc_id"], r["_doc"], r["_copy"]) for r in left] == [(1, "mine", "mine")]
+
+
 def test_canonical_forms():
     c = dc.Canonical([b"He met Anna at 10:30, paying 5 dollars. Dollars? (Twice)"])
     number, name, unit = c.form == dc.NUMBER, c.form == dc.NAME, c.form == dc.UNIT

@@ -15,7 +15,8 @@ windows, keeps windows that cannot match from being shuffled; the hash join deci
 
 Defined results: null or empty texts and items match nothing, nor do items without a window (fewer
 than `width` words, or too few literal ones: they cannot be told from chance). Repeated rows of an
-item are one item. Rows equal in id and text are one document. Extra columns stay out of the
+item are one item. Different texts under one item id are compared one by one, and the one with the most
+matched windows (of those the shortest) counts. Rows equal in id and text are one document. Extra columns stay out of the
 matches.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from textscore.llm.text import Words, combine, hash_spans, mix, slices
+from textscore.llm.text import Words, combine, hash_spans, mix, slices, unused
 from textscore.operators.joins import lookup_join
 
 BLOOM_BITS = 1 << 24
@@ -157,31 +158,34 @@ def matches(docs, benchmark, text="text", key="doc_id", item_text="text", item_k
     items = _rows(right.withColumn("copy", F.xxhash64("_text")), "_item", width, literals)
     bloom = _bloom(spark, items.select("h"))
     found = _rows(left, "_doc", width, literals, bloom)
-    item = items.select("_item", "h", F.col("at").alias("item_at"), F.col("values").alias("item_values"))
+    item = items.select("_item", F.col("copy").alias("item_copy"), "h", F.col("at").alias("item_at"),
+                        F.col("values").alias("item_values"))
     pairs = lookup_join(found, item, "h", "inner", spread=["_doc", "at"])
-    # An alignment: one text, one item, one distance between their positions. It holds each
+    # An alignment: one text, one text of an item, one distance between their positions. It holds each
     # position of the item once, so what is gathered here is bounded by the item's length.
     shift = (F.col("at") - F.col("item_at")).alias("shift")
-    spots = (pairs.groupBy("_doc", "copy", "_item", shift)
+    spots = (pairs.groupBy("_doc", "copy", "_item", "item_copy", shift)
              .agg(F.collect_set("item_at").alias("ats"),
                   F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("values", "item_values"))))
                   .alias("slots")))
     one_to_one = ((F.size(F.array_distinct("slots.values")) == F.size("slots"))
                   & (F.size(F.array_distinct("slots.item_values")) == F.size("slots")))
-    hits = (spots.filter(one_to_one).groupBy("_doc", "copy", "_item")
+    hits = (spots.filter(one_to_one).groupBy("_doc", "copy", "_item", "item_copy")
             .agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_windows")))
-    sizes = items.groupBy(F.col("_item").alias("_sized")).agg(
+    sizes = items.groupBy(F.col("_item").alias("_sized"), F.col("copy").alias("_sized_copy")).agg(
         F.countDistinct("at").alias("item_windows"))
-    return (hits.join(sizes, F.col("_item").eqNullSafe(F.col("_sized")))
-            .filter(F.col("n_windows") >= share * F.col("item_windows"))
+    own = F.col("_item").eqNullSafe(F.col("_sized")) & (F.col("item_copy") == F.col("_sized_copy"))
+    best = F.max(F.struct("n_windows", (-F.col("item_windows")).alias("size"))).alias("best")
+    return (hits.join(sizes, own).filter(F.col("n_windows") >= share * F.col("item_windows"))
+            .groupBy("_doc", "copy", "_item").agg(best)
             .select(F.col("_doc").alias(key), "copy", F.col("_item").alias(item_key),
-                    "n_windows", "item_windows"))
+                    "best.n_windows", (-F.col("best.size")).alias("item_windows")))
 
 
 def remove_contaminated(docs, benchmark, text="text", key="doc_id", **options):
     """`docs` without the rows that match an item; all else as it was."""
-    found = (matches(docs, benchmark, text, key, **options)
-             .select(F.col(key).alias("_doc"), F.col("copy").alias("_copy")).distinct())
-    same = (docs[key].eqNullSafe(F.col("_doc"))
-            & (F.xxhash64(F.col(f"`{text}`")) == F.col("_copy")))
+    doc, copy = unused(docs, "_doc", "_copy")
+    found = matches(docs, benchmark, text, key, **options).select(key, "copy").distinct().toDF(doc, copy)
+    same = (F.col(f"`{key}`").eqNullSafe(F.col(doc))
+            & (F.xxhash64(F.col(f"`{text}`")) == F.col(copy)))
     return docs.join(found, same, "left_anti")
