@@ -1,4 +1,7 @@
+import math
+import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -30,6 +33,42 @@ def test_counts_against_brute_force(spark):
         assert not (r["base_failed"] and r["kept"])
 
 
+def brute_verdicts(rows, prior=20, spread=3.0):
+    """doc_id -> kept of (id, text, lang, source, ...) rows, in one process."""
+    step = math.log((1 + qr.ACCURACY) / (1 - qr.ACCURACY))
+    shares = {}
+    for i, text, *_ in rows:
+        n, chars, symbols, lines, repeats = brute(text)
+        upper, bangs = sum("A" <= c <= "Z" for c in text), text.count("!")
+        shares[i] = {"symbol_share": symbols / max(chars, 1), "bang_share": bangs / max(n, 1),
+                     "upper_share": upper / max(chars, 1), "word_length": chars / max(n, 1),
+                     "repeat_share": repeats / max(n, 1), "dup_line_share": lines / max(n, 1)}
+    kept = {}
+    for i, text, lang, source, *_ in rows:
+        n, *_, repeats = brute(text)
+        ok = n >= 20 and 100 * repeats <= 30 * n
+        for name, (sides, least) in qr.STATISTICS.items():
+            bucket = lambda x: math.ceil(math.log(x) / step) if x > 1e-6 else -(1 << 20)
+            sketch = lambda test: Counter(bucket(shares[x[0]][name]) for x in rows if test(x))
+            merged = sketch(lambda x: True)
+            for test in (lambda x: x[2] == lang, lambda x: x[2:4] == (lang, source)):
+                own, total = sketch(test), sum(merged.values())
+                merged = {b: own.get(b, 0) + merged[b] * prior / total for b in sorted(merged)}
+
+            def quantile(q):
+                upto, whole = 0.0, sum(merged.values())
+                for b in sorted(merged):
+                    upto += merged[b]
+                    if upto >= (q - 1e-9) * whole:
+                        return 0.0 if b == -(1 << 20) else math.exp(b * step) * 2 / (1 + math.exp(step))
+
+            low, high = quantile(0.25), quantile(0.75)
+            width, value = spread * max(high - low, least), shares[i][name]
+            ok &= value <= high + width and (sides == "above" or value >= low - width)
+        kept[i] = ok
+    return kept
+
+
 def test_odd_rows(spark):
     rows = qr.judge(odd_docs(spark)).collect()
     assert len(rows) == 10 and {"score", "spans"} <= set(rows[0].asDict())
@@ -43,10 +82,27 @@ def test_thresholds_follow_the_group(spark):
     plain = [(1000 + i, " ".join(words(60, 500 + i)), "en", "prose", 0) for i in range(120)]
     odd = [(5000, " | ".join(words(60, 9999)), "en", "prose", 0)]
     df = spark.createDataFrame(tables + plain + odd, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r["doc_id"]: r["kept"] for r in qr.judge(df, min_group=100).collect()}
+    kept = {r["doc_id"]: r["kept"] for r in qr.judge(df).collect()}
     assert all(kept[i] for i in range(120)) and all(kept[1000 + i] for i in range(120)) and not kept[5000]
 
 
+def test_verdicts_against_brute_force(spark):
+    """Groups of 1 to 150 texts: sketches, their leaning on the language and on all, quartiles and verdicts."""
+    r, rows = random.Random(8), []
+    for g, (lang, source, n, rate) in enumerate([("en", "a", 150, 0.0), ("en", "b", 60, 0.3), ("en", "c", 3, 0.5),
+                                                 ("de", "a", 12, 0.1), (None, "d", 1, 0.0), ("de", None, 25, 0.02)]):
+        for i in range(n):
+            own = rate if r.random() < 0.9 else r.random()
+            text = " ".join(w + ("|" if r.random() < own else "!" if r.random() < own / 3 else "")
+                            for w in words(r.randrange(15, 60), 1000 * g + i))
+            rows.append((len(rows), text, lang, source, len(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    expected = brute_verdicts(rows)
+    assert {x["doc_id"]: x["kept"] for x in qr.judge(df).collect()} == expected
+    failed = [i for i, t, *_ in rows if brute(t)[0] < 20]
+    assert 0 < len(failed) < sum(not k for k in expected.values()) < len(rows)
+
+
 def test_sketches_merge_to_the_sketch_of_the_whole(spark):
     counts = spark.range(500).select((F.col("id") % 7).alias("g"), *[
         (F.pmod(F.xxhash64("id", F.lit(c)), F.lit(90))).cast("long").alias(c) for c in qr.COUNTS])

@@ -4,8 +4,10 @@ Statistics of each text become sketches per (lang, source): counts of logarithmi
 error `ACCURACY`), which merge by addition, in any order and with equal results, so Spark sums
 them map-side and a hot source is no burden. A statistic's upper threshold is
 `q75 + spread x max(q75 - q25, least)`, its lower one the mirror image; `least` is a fixed least
-width. A group with fewer than `min_group` texts takes the thresholds of its language, whose sketch is the sum of
-its groups', and a small language those of all texts. Thresholds join the texts and filter them.
+width. A language's sketch is the sum of its groups'. Each sketch is merged with the one above it, scaled down to
+`prior` texts: a group's with its language's, a language's with that of all texts. So every group has thresholds
+of its own, a small one leans on its language and a large one hardly does, without a switch at any size.
+Thresholds join the texts and filter them.
 
 Defined results: null texts are empty ones: no words, every count 0, base_failed, not kept. Null
 lang or source is a value of its own. A text that equals a threshold is within it. Rows equal in all columns
@@ -95,21 +97,33 @@ def merge(sketch, keys):
     return sketch.groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n"))
 
 
+def lean(sketch, above, keys, shared, prior):
+    """`sketch` merged with `above`, whose counts are scaled to `prior` texts; `shared` are the keys of `above`."""
+    total = above.groupBy(*shared, "name").agg(F.sum("n").alias("total"))
+    share = lookup_join(above, total, [*shared, "name"], spread=["bucket"])
+    share = share.select(*shared, "name", F.col("bucket").alias("b"), (F.col("n") * prior / F.col("total")).alias("part"))
+    groups = sketch.select(*keys, "name").distinct()
+    scaled = (lookup_join(groups, share, [*shared, "name"], spread=keys)
+              .select(*keys, "name", F.col("b").alias("bucket"), F.col("part").alias("n")))
+    return (sketch.select(*keys, "name", "bucket", F.col("n").cast("double").alias("n")).unionByName(scaled)
+            .groupBy(*keys, "name", "bucket").agg(F.sum("n").alias("n")))
+
+
 def thresholds(sketch, keys, spread=3.0):
-    """(keys, texts, low_*, high_*) from the quartiles of sketches."""
+    """(keys, low_*, high_*) from the quartiles of sketches."""
     group = Window.partitionBy(*keys, "name")
     running = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = (sketch.withColumn("upto", F.sum("n").over(running))
-              .withColumn("texts", F.sum("n").over(group)))
+              .withColumn("texts", F.max("upto").over(group)))
 
-    def quantile(q):
-        bucket = F.min(F.when(F.col("upto") >= q * F.col("texts"), F.col("bucket")))
+    def quantile(q):                    # sums of shares may differ in their last digits
+        bucket = F.min(F.when(F.col("upto") >= (q - 1e-9) * F.col("texts"), F.col("bucket")))
         return F.when(bucket <= -(1 << 20), 0.0).otherwise(
             F.exp(bucket * _LOG_STEP) * (2 / (1 + math.exp(_LOG_STEP))))
 
     quartiles = ranked.groupBy(*keys, "name").agg(
-        F.max("texts").alias("texts"), quantile(0.25).alias("q25"), quantile(0.75).alias("q75"))
-    columns = [F.max("texts").alias("texts")]
+        quantile(0.25).alias("q25"), quantile(0.75).alias("q75"))
+    columns = []
     for name, (sides, least) in STATISTICS.items():
         own = lambda e: F.max(F.when(F.col("name") == name, e))
         width = spread * F.greatest(F.col("q75") - F.col("q25"), F.lit(least))
@@ -118,26 +132,16 @@ def thresholds(sketch, keys, spread=3.0):
     return quartiles.groupBy(*keys).agg(*columns)
 
 
-def group_thresholds(rows, min_group=100, spread=3.0):
-    """(_lang, _source, low_*, high_*): each group's own, its language's or all texts' thresholds."""
-    fine = materialise(sketches(rows, ["_lang", "_source"]), "sketches")
-    middle, keys = merge(fine, ["_lang"]), ["_lang", "_source"]
-    bounds = [f"{side}_{s}" for s in STATISTICS for side in ("low", "high")]
-    every = thresholds(merge(fine, []).withColumn("_all", F.lit(0)), ["_all"], spread).first()
-    own, lang = thresholds(fine, keys, spread), thresholds(middle, ["_lang"], spread)
-    lang = lang.select("_lang", F.col("texts").alias("lang_texts"),
-                       *[F.col(b).alias(f"lang_{b}") for b in bounds])
-
-    def pick(b):
-        whole = F.lit(every[b] if every else None).cast("double")
-        return (F.when(F.col("texts") >= min_group, F.col(b))
-                .when(F.col("lang_texts") >= min_group, F.col(f"lang_{b}")).otherwise(whole).alias(b))
-
-    return (lookup_join(own, lang, "_lang", spread=["_source"])
-            .select(*keys, *[pick(b) for b in bounds]))
+def group_thresholds(rows, prior=20, spread=3.0):
+    """(_lang, _source, low_*, high_*) of each group."""
+    keys = ["_lang", "_source"]
+    fine = materialise(sketches(rows, keys), "sketches")
+    middle = merge(fine, ["_lang"])
+    middle = materialise(lean(middle, merge(middle, []), ["_lang"], [], prior), "language-sketches")
+    return thresholds(lean(fine, middle, keys, ["_lang"], prior), keys, spread)
 
 
-def judge(docs, text="text", lang="lang", source="source", min_group=100, spread=3.0,
+def judge(docs, text="text", lang="lang", source="source", prior=20, spread=3.0,
           min_words=20, max_repeated=30):
     """`docs` without the text, with the counts, `base_failed` and `kept`."""
     docs = without(docs, *COUNTS, *STATISTICS, "base_failed", "kept", "_lang", "_source")
@@ -147,7 +151,7 @@ def judge(docs, text="text", lang="lang", source="source", min_group=100, spread
     rows = over_texts(docs, text, ", ".join(f"{c} long" for c in COUNTS), count_texts, kept)
     rows = materialise(rows.withColumns({"_lang": named(lang), "_source": named(source)}), "counts")
     rows = statistics(rows)
-    found = group_thresholds(rows, min_group, spread)
+    found = group_thresholds(rows, prior, spread)
     failed = ((F.col("n_words") < min_words)
               | (100 * F.col("n_repeat_words") > max_repeated * F.col("n_words")))
     within = F.lit(True)
