@@ -39,7 +39,7 @@ def test_query_returns_every_document(spark, name):
 
 def test_entry_registers_all():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 @pytest.fixture(scope="module")
@@ -86,6 +86,16 @@ def test_stages_against_brute_force(spark, corpus):
     assert len({r["doc_id"] for r in mixed}) >= 55
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    copy, other = prose(300, 41), prose(300, 42)
+    rows = [(1, copy), (2, copy), (2, other), (5, other), (6, prose(300, 43)), (6, prose(300, 44)), (None, copy), (4, ""), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_copies(spark, df, None).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left) == sorted(
+        [(0, copy), (1, copy), (4, ""), (4, ""), *[(i, t) for i, t in rows if i == 6]])
+
+
 def test_stages_take_odd_and_empty_documents(spark, corpus):
     folder, _ = corpus
     odd = odd_docs(spark)

@@ -9,7 +9,8 @@ Features and weights are fitted on a bounded sample of labelled rows: the `sampl
 of the id. The features are those that separate marked rows best. Every row is scored, whole.
 
 Defined results: a null or empty text has no feature and gets the base rate, so it is not rejected
-unless the base rate is. Null labels are left out. With no labelled rows, or one grade only, there
+unless the base rate is. Null labels are left out. With no labelled rows, one grade only, or no
+feature in `min_rows` rows that separates the sides (|z| over 4), as in tables of some dozen marked rows, there
 is no model: expected grade 0 and nothing is rejected. Repeated rows are scored one by one; labels
 repeated for an id count once each. Extra columns stay; one named like a new column is replaced.
 """
