@@ -26,7 +26,11 @@ def drop_repeated_lines(spark, docs, sf_dir):
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """The document with the smallest id of each group of near copies."""
+    """The document with the smallest id of each group of near copies.
+
+    An id is one document: rows of one id go or stay together, whatever their texts, and a group that one of
+    them is in holds them all. Rows with a null id and texts without words stay.
+    """
     found = jaccard_tree.near_duplicates(docs).filter(F.col("doc_id") != F.col("component_id"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
