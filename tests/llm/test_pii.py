@@ -70,6 +70,45 @@ def test_windows_without_an_anchor_change_nothing(model):
     assert pii.model_spans(model, texts) == pii.model_spans(model, texts, every=True)
 
 
+class Marks:
+    """Decodes runs of capitals, digits and `@` as one span, as far as a window shows them."""
+
+    tags = charmodel.tag_names(pii.KINDS)
+
+    def decode(self, x):
+        held = ((x >= 48) & (x <= 57)) | ((x >= 64) & (x <= 90))
+        begins = held & ~np.concatenate([held[:1], held[:-1]])
+        return np.where(begins, 1, np.where(held, 2, 0)).astype(np.int8), np.full(x.shape, 0.9, np.float32)
+
+
+@pytest.mark.parametrize("length", [1, 2, 31, 32, 33, 63, 64, 65, 96, 97, 128, 200])
+def test_spans_of_any_length_are_found_at_every_offset(length):
+    """The one anchor of a span may be at its start, middle or end, windows away from the rest."""
+    texts, expected = [], []
+    for offset in range(130):
+        mark = (0, length // 2, length - 1)[offset % 3]
+        body = "Z" * mark + "@" + "Z" * (length - mark - 1)
+        texts.append("x" * offset + body + "y" * ((7 * offset + length) % 90))
+        expected.append([("email", offset, offset + length)])
+    found = pii.model_spans(Marks(), texts)
+    assert [[s[:3] for s in f] for f in found] == expected
+    assert found == pii.model_spans(Marks(), texts, every=True)
+
+
+def test_windows_read_on_demand_give_what_all_windows_give():
+    """Random tags, which do not agree between windows: the same spans with and without the unread windows."""
+    class Noise(Marks):
+        def decode(self, x):
+            mixed = (x.astype(np.int64) * np.arange(3, 3 + len(x))[:, None] + x.sum(0) * 7) % 29
+            tags = np.where(mixed < 24, mixed % 3 * (mixed > 5), 3 + mixed % 2)
+            return tags.astype(np.int8), (0.4 + (mixed % 6) / 10).astype(np.float32)
+
+    r = np.random.default_rng(4)
+    texts = ["".join(r.choice(list("abcdefghij 5"), size=n, p=[0.09] * 11 + [0.01])) for n in range(1, 900, 13)]
+    found = pii.model_spans(Noise(), texts)
+    assert found == pii.model_spans(Noise(), texts, every=True) and sum(map(len, found)) > 50
+
+
 def test_gradients_against_differences():
     m = charmodel.Model(("a", "b"), 3)
     m.p = {k: v.astype(np.float64) for k, v in m.p.items()}

@@ -2,13 +2,16 @@
 
 Base spans (email, ip, card, phone) are found by pattern, leftmost and non-overlapping per kind. The
 model is trained in numpy on windows around labelled spans, the base spans of a bounded sample of documents
-(`sample` documents with an anchor character, the smallest hashes of the id) and on windows without any.
-It then reads overlapping windows of every text; spans that touch a window's inner edge are left to the neighbour
-that holds them whole, and the windows' spans are reconciled over the whole text: agreed by most windows first, then the
-most probable, and never overlapping a base span or each other. Base spans always stay.
+(`sample` documents with an anchor character, the smallest hashes of the id, and `pieces` surroundings of anchors
+in each, the smallest hashes too) and on windows without any.
+It then reads overlapping windows of every text and stitches their tags: a character has the tag of the window whose
+centre is nearest, so spans of any length are found at any place. The spans of the stitched tags are reconciled over
+the whole text: those over most windows first, then the most probable, and never overlapping a base span or each other.
+Base spans always stay.
 
-A span of any kind holds a digit or `@` (an anchor); spans without one are no spans. So a
-window without an anchor can yield none, and is not read: the result is the same, and the tests hold both equal.
+A span of any kind holds a digit or `@` (an anchor); spans without one are no spans. So windows are read
+whose own characters hold an anchor, and from there on as long as a span goes on into the next window, on either side.
+No other window can hold a part of a span: the result is that of reading all, and the tests hold both equal.
 
 Defined results: null and empty texts have no spans and the digest of the empty string. Without anchors in the
 sample there is no model and only base spans. Repeated rows are scanned one by one. Offsets are code
@@ -88,6 +91,11 @@ def window_starts(length):
     return starts if starts[-1] == length - WINDOW else np.append(starts, length - WINDOW)
 
 
+def own_borders(starts, length):
+    """Where each window's own characters begin, those nearest to its centre, and the text's end."""
+    return np.concatenate([[0], (starts[:-1] + starts[1:]) // 2 + WINDOW // 2, [length]])
+
+
 def _cut(codes, starts):
     """Windows as columns [WINDOW, n], padded at the end of a short text."""
     padded = np.concatenate([codes, np.full(max(0, WINDOW - len(codes)), PAD, codes.dtype)])
@@ -95,7 +103,7 @@ def _cut(codes, starts):
 
 
 def training_windows(texts, extra=2):
-    """(x, y) from texts and their base spans: windows around spans, and `extra` others per text."""
+    """(x, y) from texts and their base spans: windows around spans, `extra` at other anchors and `extra` anywhere per text."""
     tags = {t: i for i, t in enumerate(Model(KINDS, 1).tags)}
     xs, ys = [], []
     for n, text in enumerate(texts):
@@ -108,9 +116,10 @@ def training_windows(texts, extra=2):
                 y[a:b], y[a] = tags[f"I-{kind}"], tags[f"B-{kind}"]
         rng = np.random.default_rng(n)
         last = max(0, len(text) - WINDOW)
-        at = [min(max(0, (a + b) // 2 - WINDOW // 2 + int(rng.integers(-16, 17))), last) for _, a, b in spans[:8]]
+        at = [min(max(0, (a + b) // 2 - WINDOW // 2 + int(rng.integers(-16, 17))), last) for _, a, b in spans]
         anchors = np.flatnonzero(_anchored(codes) & ~taken)
-        at += [min(max(0, int(i) - int(rng.integers(0, WINDOW))), last) for i in anchors[::16][:extra]]
+        others = rng.choice(anchors, min(extra, len(anchors)), replace=False) if len(anchors) else anchors
+        at += [min(max(0, int(i) - int(rng.integers(0, WINDOW))), last) for i in others]
         at += [int(rng.integers(0, last + 1)) for _ in range(extra)]
         starts = np.array(at)
         xs.append(_cut(codes, starts))
@@ -118,7 +127,7 @@ def training_windows(texts, extra=2):
     return np.concatenate(xs, 1), np.concatenate(ys, 1)
 
 
-def fit(docs, text="text", key="doc_id", sample=1_000, steps=300, hidden=24):
+def fit(docs, text="text", key="doc_id", sample=1_000, pieces=8, steps=300, hidden=24):
     """A trained model, or None where no document of the sample holds an anchor."""
     body = F.col(f"`{text}`")
     own = F.col(f"`{key}`")
@@ -129,7 +138,8 @@ def fit(docs, text="text", key="doc_id", sample=1_000, steps=300, hidden=24):
     rows = (held.join(F.broadcast(chosen.select("id")), "id", "left_semi")
             # Bounded training texts: the surroundings of anchors.
             .withColumn("t", F.regexp_extract_all("t", F.lit(r"(?s)(.{0,200}[0-9@].{0,200})"), F.lit(1)))
-            .withColumn("t", F.array_join(F.slice("t", 1, 8), "\n"))
+            .withColumn("t", F.array_sort(F.transform("t", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))))
+            .withColumn("t", F.array_join(F.slice("t", 1, pieces)["x"], "\n"))
             .select("h", "t").collect())
     rows.sort()
     if not rows:
@@ -140,55 +150,64 @@ def fit(docs, text="text", key="doc_id", sample=1_000, steps=300, hidden=24):
 
 
 def _spans_of(tags, chance, names):
-    """(kind, start, end, probability) of one window's tags."""
-    found, i = [], 0
-    while i < len(tags):
-        name = names[tags[i]]
-        if name[0] == "B":
-            j = i + 1
-            while j < len(tags) and names[tags[j]] == "I" + name[1:]:
-                j += 1
-            found.append((name[2:], i, j, float(chance[i:j].min())))
-            i = j
-        else:
-            i += 1
-    return found
+    """(kind, start, end, probability) of a text's tags; an I- tag that continues nothing begins a span."""
+    at = np.flatnonzero(tags)
+    i = 0
+    while i < len(at):
+        kind, j = names[tags[at[i]]][2:], i + 1
+        while j < len(at) and at[j] == at[j - 1] + 1 and names[tags[at[j]]] == f"I-{kind}":
+            j += 1
+        begin, end = int(at[i]), int(at[j - 1]) + 1
+        yield kind, begin, end, float(chance[begin:end].min())
+        i = j
 
 
 def model_spans(model, texts, least=0.5, every=False, batch=512):
-    """Per text the model's spans (kind, start, end, votes, probability), windows reconciled.
+    """Per text the model's spans (kind, start, end, windows, probability) from stitched tags.
 
-    `every` reads the windows without an anchor too, for the test of equality.
+    `windows` is the number of windows that a span's characters belong to. `every` reads all windows,
+    for the test of equality.
     """
-    todo = []                                            # (text, window start, last possible start)
-    columns = []
+    codes = [encode(t) for t in texts]
+    starts = [window_starts(len(c)) if len(c) else np.zeros(0, np.int64) for c in codes]
+    borders = [own_borders(s, len(c)) for s, c in zip(starts, codes)]
+    read = [np.full(len(s), every) for s in starts]
+    for n, c in enumerate(codes):
+        if len(c) and not every:
+            marks = np.concatenate([[0], np.cumsum(_anchored(c))])[borders[n]]
+            read[n] = marks[1:] > marks[:-1]
+    stitched = [np.zeros(len(c), np.int8) for c in codes]
+    chances = [np.zeros(len(c), np.float32) for c in codes]
+    inside = np.array([name[0] == "I" for name in model.tags])
+    todo = [np.flatnonzero(r) for r in read]
+    while any(len(t) for t in todo):
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in todo])
+        number = np.concatenate(todo)
+        x = np.concatenate([_cut(codes[n], starts[n][t]) for n, t in enumerate(todo) if len(t)], 1)
+        more = [[] for _ in texts]
+        for k in range(0, x.shape[1], batch):
+            tags, chance = model.decode(x[:, k:k + batch])
+            for c in np.flatnonzero(tags.any(0)):
+                n, w = int(owner[k + c]), int(number[k + c])
+                a, b = int(borders[n][w]), int(borders[n][w + 1])
+                own = slice(a - int(starts[n][w]), b - int(starts[n][w]))
+                stitched[n][a:b], chances[n][a:b] = tags[own, c], chance[own, c]
+                if inside[stitched[n][a]] and w > 0:
+                    more[n].append(w - 1)
+                if stitched[n][b - 1] and w + 1 < len(starts[n]):
+                    more[n].append(w + 1)
+        todo = [np.array(sorted(w for w in set(m) if not read[n][w]), np.int64) for n, m in enumerate(more)]
+        for n, t in enumerate(todo):
+            read[n][t] = True
+    found = []
     for n, text in enumerate(texts):
-        if not text:
-            continue
-        codes = encode(text)
-        starts = window_starts(len(codes))
-        if not every:
-            marks = np.concatenate([[0], np.cumsum(_anchored(codes))])
-            starts = starts[marks[np.minimum(starts + WINDOW, len(codes))] > marks[starts]]
-        if len(starts):
-            columns.append(_cut(codes, starts))
-            todo += [(n, int(s)) for s in starts]
-    votes = [{} for _ in texts]
-    x = np.concatenate(columns, 1) if columns else np.zeros((WINDOW, 0), np.int16)
-    for k in range(0, x.shape[1], batch):
-        tags, chance = model.decode(x[:, k:k + batch])
-        for c in np.flatnonzero(tags.any(0)):
-            n, start = todo[k + c]
-            text = texts[n]
-            for kind, a, b, p in _spans_of(tags[:, c], chance[:, c], model.tags):
-                a, b = a + start, min(b + start, len(text))
-                inner = (a == start and start > 0) or (b == start + WINDOW and b < len(text))
-                held = text[a:b]
-                if inner or p < least or not re.search(r"[0-9@]", held):
-                    continue
-                old = votes[n].get((kind, a, b), (0, 0.0))
-                votes[n][kind, a, b] = old[0] + 1, max(old[1], p)
-    return [[(*k, *v) for k, v in found.items()] for found in votes]
+        spans = []
+        for kind, a, b, p in _spans_of(stitched[n], chances[n], model.tags):
+            if p >= least and re.search(r"[0-9@]", text[a:b]):
+                first, last = np.searchsorted(borders[n], [a, b - 1], side="right")
+                spans.append((kind, a, b, int(last - first) + 1, p))
+        found.append(spans)
+    return found
 
 
 def reconcile(base, found):
