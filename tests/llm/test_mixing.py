@@ -67,6 +67,17 @@ def test_blocks_stay_together(spark):
         assert len(runs) == len(set(runs)) > 3
 
 
+def test_many_blocks_over_several_chapters(spark):
+    """Blocks of a word or two, so a source has hundreds: starts still run on without a gap."""
+    found = taken(corpus(spark, {"a": 700, "b": 90}, tokens=3), target_entropy=0.0, max_repeats=None, block_tokens=2)
+    for source, rows in found.items():
+        rows.sort(key=lambda r: r["start"])
+        assert [r["start"] for r in rows] == [3 * k for k in range(len(rows))]
+        assert len({r["doc_id"] for r in rows if r["epoch"] == 0}) == {"a": 700, "b": 90}[source]
+        assert len({r["block"] for r in rows}) > 0.4 * len({r["doc_id"] for r in rows})
+        assert max(r["block"] for r in rows) < math.ceil(3 * {"a": 700, "b": 90}[source] / 2)
+
+
 def test_odd_rows(spark):
     rows = mx.mix(odd_docs(spark)).collect()
     assert {r["doc_id"] for r in rows} <= {None, 4, 5, 6, 8} and sum(r["n_tokens"] for r in rows) > 30_000

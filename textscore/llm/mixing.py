@@ -9,7 +9,9 @@ source's budget is weight x total budget, in tokens.
 A budget is spent in epochs. Each epoch is one permutation of the source's blocks (documents dealt
 into blocks of about `block_tokens` tokens by the hash of the id), and of the documents inside a
 block; a document is taken in an epoch while the tokens before it are below the budget. Position sums
-come in two steps, over blocks and inside a block, so no window holds a whole source.
+come in three steps, over chapters (the blocks of one beginning of the order's key, `CHAPTERS` of them), over the blocks
+of a chapter and inside a block. Blocks are never limited in number, so none grows with its source, and no
+window holds a whole source or all of its blocks.
 
 All steps are DataFrame expressions; only the few numbers of one bisection step reach the driver.
 
@@ -28,6 +30,9 @@ from textscore.operators.joins import lookup_join
 from textscore.sources.work import materialise
 
 STEPS = 16
+# A chapter is a beginning of this many hex digits of a block's key: 4,096 chapters.
+CHAPTER_DIGITS = 3
+CHAPTERS = 16 ** CHAPTER_DIGITS
 
 
 def token_count(text):
@@ -110,16 +115,16 @@ def _rank(*parts):
 
 
 def block_of(doc_id, blocks):
-    """The block of a document: 28 bits of the MD5 of its id, modulo the number of blocks."""
-    return F.pmod(F.conv(F.substring(_rank(doc_id), 1, 7), 16, 10).cast("long"), blocks)
+    """The block of a document: 60 bits of the MD5 of its id, modulo the number of blocks."""
+    return F.pmod(F.conv(F.substring(_rank(doc_id), 1, 15), 16, 10).cast("long"), blocks)
 
 
 def mix(docs, text="text", key="doc_id", source="source", budget=None, target_entropy=0.95,
-        max_repeats=4.0, block_tokens=100_000, max_blocks=10_000):
+        max_repeats=4.0, block_tokens=100_000):
     """(doc_id, source, epoch, block, n_tokens, start): one row per document and epoch taken.
 
     `start` is the number of the source's tokens taken before it; order by (source, start) to read
-    a source in its mixed order. A source has `max_blocks` blocks at most; its blocks then grow.
+    a source in its mixed order.
     """
     name = F.col(f"`{source}`").cast("string")
     sizes = materialise(docs.select(
@@ -132,7 +137,7 @@ def mix(docs, text="text", key="doc_id", source="source", budget=None, target_en
     blocks = F.ceil(F.col("tokens") / F.lit(block_tokens))
     plan = weights(totals, exponent, total, budget).select(
         "source", "tokens", "budget",
-        F.least(F.greatest(blocks, F.lit(1)), F.lit(max_blocks)).alias("blocks"),
+        F.greatest(blocks, F.lit(1)).alias("blocks"),
         F.ceil(F.col("budget") / F.col("tokens")).alias("epochs"))
     placed = (lookup_join(sizes.filter("n > 0"), plan, "source", "inner", spread=["doc_id"])
               .withColumn("block", block_of(F.col("doc_id"), F.col("blocks"))))
@@ -141,11 +146,17 @@ def mix(docs, text="text", key="doc_id", source="source", budget=None, target_en
         F.max("epochs").alias("epochs"))
         .filter("epochs > 0")
         .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs") - 1)))
-        .withColumn("order", _rank(F.col("source"), F.col("block"), F.col("epoch"))))
-    ahead = (Window.partitionBy("source", "epoch").orderBy("order", "block")
+        .withColumn("order", _rank(F.col("source"), F.col("block"), F.col("epoch")))
+        .withColumn("chapter", F.substring("order", 1, CHAPTER_DIGITS)))
+    earlier = (Window.partitionBy("source", "epoch").orderBy("chapter")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    chapters = (held.groupBy("source", "epoch", "chapter").agg(F.sum("held").alias("size"))
+                .withColumn("opens", F.coalesce(F.sum("size").over(earlier), F.lit(0))).drop("size"))
+    ahead = (Window.partitionBy("source", "epoch", "chapter").orderBy("order", "block")
              .rowsBetween(Window.unboundedPreceding, -1))
-    starts = (held.withColumn("before", F.coalesce(F.sum("held").over(ahead), F.lit(0))
-                              + F.col("epoch") * F.col("tokens"))
+    starts = (held.join(chapters, ["source", "epoch", "chapter"])
+              .withColumn("before", F.coalesce(F.sum("held").over(ahead), F.lit(0)) + F.col("opens")
+                          + F.col("epoch") * F.col("tokens"))
               .filter("before < budget").select("source", "block", "epoch", "before", "budget"))
     inside = (Window.partitionBy("source", "block", "epoch").orderBy("rank", "doc_id", "copy")
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -157,7 +168,7 @@ def mix(docs, text="text", key="doc_id", source="source", budget=None, target_en
                     "epoch", "block", F.col("n").alias("n_tokens"), "start"))
 
 
-def oracle(target_entropy=0.95, max_repeats=4.0, block_tokens=100_000, max_blocks=10_000, narrowings=5):
+def oracle(target_entropy=0.95, max_repeats=4.0, block_tokens=100_000, narrowings=5):
     """The same in SQL: every narrowing of the exponent is a table of one row."""
     steps = ["""
     sizes AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS source,
@@ -202,9 +213,9 @@ def oracle(target_entropy=0.95, max_repeats=4.0, block_tokens=100_000, max_block
                            ELSE (SELECT low FROM e{narrowings}) END::DOUBLE AS t FROM ends_e),
     raised AS (SELECT source, tokens, total, exp(t * ln(tokens / total)) AS x FROM totals, whole, chosen),
     plan AS (SELECT source, tokens, round(round(x / (SELECT sum(x) FROM raised), 12) * total)::BIGINT AS budget,
-                    least(greatest(ceil(tokens / {float(block_tokens)}), 1), {max_blocks})::BIGINT AS blocks FROM raised),
+                    greatest(ceil(tokens / {float(block_tokens)}), 1)::BIGINT AS blocks FROM raised),
     placed AS (SELECT doc_id, source, n, tokens, budget, ceil(budget / tokens)::BIGINT AS epochs,
-                      ('0x' || substr(md5(doc_id::VARCHAR), 1, 7))::BIGINT % blocks AS block
+                      ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT % blocks AS block
                FROM sizes JOIN plan USING (source) WHERE n > 0),
     held AS (SELECT source, block, tokens, budget, unnest(range(epochs)) AS epoch, sum(n) AS held
              FROM placed GROUP BY source, block, tokens, budget, epochs),
