@@ -38,6 +38,23 @@ def test_windows_are_those_of_a_plain_search(spark):
     assert {k: v[0] for k, v in found(docs(spark, texts), items(spark, bench)).items()} == expected
 
 
+def test_short_items_and_rows_of_numbers_match_by_their_words(spark):
+    numbers = "Add 12 34 56 78 90 12 34 56 78 and say what you get in the end"
+    bench = items(spark, ["Which river crosses seven old towns?", "Name one river", numbers])
+    texts = ["so which river crosses seven old TOWNS, they asked", "name one river", "which river crosses seven new towns",
+             "list: 12 34 56 78 90 12 34 56 78 and more", "list: 12 34 56 78 91 12 34 56 78 and more"]
+    hits = found(docs(spark, texts), bench)
+    assert set(hits) == {(0, 0), (3, 2)} and hits[0, 0] == (1, 1)
+    assert found(docs(spark, [numbers]), bench) == {(0, 2): (9, 9)}
+    assert set(found(docs(spark, texts), bench, least=3)) == {(0, 0), (1, 1), (3, 2)}
+
+
+def test_any_outer_punctuation_is_cut():
+    c = dc.Canonical([b'"((([Hello]))))))!!! ... ******* x"""""""" -', b"", b"!!!!!!", b"a-b."])
+    assert c.count.tolist() == [2, 0, 0, 1]
+    assert (c.value == dc.Words([b"hello x a-b"]).hash).all()
+
+
 def test_odd_rows_and_removal(spark):
     df = odd_docs(spark)
     bench = items(spark, [df.filter("doc_id = 6").first()["text"]] * 2 + [None])

@@ -3,8 +3,9 @@
 Words lose their outer ASCII punctuation and A-Z is lower-cased. Numbers, names and units become
 typed placeholders: a number is a word of digits with inner `.,:/-` or `%`; a name is a capitalised
 word that does not open a sentence; a unit is one of a fixed list after a number. The hash of each
-window of `width` canonical words with at least `literals` words that are not placeholders joins texts with
-benchmark items. A joined pair is then checked for slot consistency: within one alignment of a text
+window of `width` canonical words joins texts with benchmark items. A window of fewer than `literals` words that are
+not placeholders, such as a row of numbers, says too little as a template: its words join as they are. An item of
+fewer than `width` words, `least` or more, is one window of its own words. A joined pair is then checked for slot consistency: within one alignment of a text
 with an item, a slot value of the item must always stand for one value of the text and the other way
 round, so a re-parameterised question matches and a chance meeting of two templates does not. A text
 is contaminated by an item when consistent windows are at least one, and at least `share` of the
@@ -13,9 +14,8 @@ item's windows.
 Texts are hashed in Arrow batches. A Bloom filter of fixed size, built from all benchmark
 windows, keeps windows that cannot match from being shuffled; the hash join decides.
 
-Defined results: null or empty texts and items match nothing, nor do items without a window (fewer
-than `width` words, or too few literal ones: they cannot be told from chance). Repeated rows of an
-item are one item. Different texts under one item id are compared one by one, and the one with the most
+Defined results: null or empty texts and items match nothing, nor do items of fewer than `least` words, which
+cannot be told from chance. Repeated rows of an item are one item. Different texts under one item id are compared one by one, and the one with the most
 matched windows (of those the shortest) counts. Rows equal in id and text are one document. Extra columns stay out of the
 matches.
 """
@@ -59,12 +59,11 @@ class Canonical:
         data, start, end, owner = words.data, words.start.copy(), words.end.copy(), words.text
         kind = _KIND[data]
         ends = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8)) if len(end) else np.zeros(0, bool)
-        for _ in range(4):               # outer punctuation, up to four characters on either side
-            live = end > start
-            end = end - (live & (kind[np.maximum(end - 1, 0)] & 4 > 0))
-            live = end > start
-            start = start + (live & (kind[np.minimum(start, len(data) - 1)] & 4 > 0))
-        keep = end > start
+        # The data end with a line break, so each word has a place at or after its start that is no punctuation.
+        solid = np.flatnonzero(kind & 4 == 0)
+        start = solid[np.searchsorted(solid, start)]
+        keep = start < end
+        end = np.where(keep, solid[np.maximum(np.searchsorted(solid, end) - 1, 0)] + 1, start)
         opens = np.ones(len(start), bool)
         if len(start) > 1:
             opens[1:] = ends[:-1] | (owner[1:] != owner[:-1])
@@ -82,47 +81,59 @@ class Canonical:
         self.form = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, self.value)))
 
 
-def _windows(texts, width, literals):
-    """(canonical, start, text, hash) of all windows inside one text with enough literal words."""
+def _windows(texts, width, literals, short=None, least=0):
+    """(canonical, start, text, hash, words, plain) of all windows inside one text, `plain` if its words join as they are.
+
+    `short` lists the lengths below `width` of windows that are looked for; without it a text of `least`
+    words or more and fewer than `width` is one window.
+    """
     c = Canonical(texts)
-    hashes = combine(c.form, width)
-    if not len(hashes):
-        return c, np.zeros(0, int), np.zeros(0, int), hashes
-    plain = np.concatenate([[0], np.cumsum(~c.slot)])
-    n = len(hashes)
-    good = (c.text[:n] == c.text[width - 1:]) & (plain[width:] - plain[:n] >= literals)
-    at = np.flatnonzero(good)
-    return c, at, c.text[at], hashes[at]
+    literal = np.concatenate([[0], np.cumsum(~c.slot)])
+    forms, values = combine(c.form, width), combine(c.value, width)
+    n = len(forms)
+    at = np.flatnonzero(c.text[:n] == c.text[width - 1:]) if n else np.zeros(0, np.int64)
+    plain = literal[at + width] - literal[at] < literals
+    parts = [(at, np.where(plain, mix(values[at]), forms[at]), np.full(len(at), width), plain)]
+    first = np.concatenate([[0], np.cumsum(c.count)])
+    for w in range(least, width) if short is None else short:
+        values = combine(c.value, w)
+        if short is None:
+            at = first[:-1][c.count == w]
+        else:
+            at = np.flatnonzero(c.text[:len(values)] == c.text[w - 1:]) if len(values) else np.zeros(0, np.int64)
+        parts.append((at, mix(values[at]) if len(at) else values[:0], np.full(len(at), w), np.ones(len(at), bool)))
+    at, hashes, words, plain = (np.concatenate(x) for x in zip(*parts))
+    return c, at, c.text[at], hashes, words, plain
 
 
 def _probes(hashes):
     return [(mix(hashes + np.uint64(k)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64) for k in range(PROBES)]
 
 
-_SCHEMA = "h long, at int, slots array<int>, values array<long>"
+_SCHEMA = "h long, at int, words int, slots array<int>, values array<long>"
 
 
-def _rows(df, key, width, literals, bloom=None):
-    """Windows of a table: hash, word position, and the offsets and values of its slots."""
+def _rows(df, key, width, literals, bloom=None, short=None, least=0):
+    """Windows of a table: hash, word position, length, and the offsets and values of its slots (none if joined as they are)."""
     field = next(f for f in df.schema if f.name == key)
 
     def run(batches):
         bits = None if bloom is None else np.unpackbits(np.frombuffer(bloom.value, np.uint8)).view(bool)
         for batch in batches:
             for rows, texts in slices(batch, "_text"):
-                c, at, text, hashes = _windows(texts, width, literals)
+                c, at, text, hashes, words, plain = _windows(texts, width, literals, short, least)
                 if bits is not None:
                     hit = np.ones(len(hashes), bool)
                     for p in _probes(hashes):
                         hit[hit] = bits[p[hit]]
-                    at, text, hashes = at[hit], text[hit], hashes[hit]
+                    at, text, hashes, words, plain = (x[hit] for x in (at, text, hashes, words, plain))
                 first = np.concatenate([[0], np.cumsum(c.count)])
-                places = [np.flatnonzero(c.slot[a:a + width]) for a in at]
+                places = [np.flatnonzero(c.slot[a:a + width] & ~p) for a, p in zip(at, plain)]
                 yield pa.RecordBatch.from_pydict({
                     key: rows.column(key).take(pa.array(text)),
                     "copy": rows.column("copy").take(pa.array(text)),
                     "h": pa.array(hashes.view(np.int64)),
-                    "at": pa.array((at - first[text]).astype(np.int32)),
+                    "at": pa.array((at - first[text]).astype(np.int32)), "words": pa.array(words.astype(np.int32)),
                     "slots": pa.array([p.astype(np.int32) for p in places], pa.list_(pa.int32())),
                     "values": pa.array([c.value[a + p].view(np.int64) for a, p in zip(at, places)],
                                        pa.list_(pa.int64()))})
@@ -149,15 +160,17 @@ def _bloom(spark, hashes):
 
 
 def matches(docs, benchmark, text="text", key="doc_id", item_text="text", item_key="item_id",
-            width=10, literals=6, share=0.0):
+            width=10, literals=6, least=5, share=0.0):
     """(key, copy, item_id, n_windows, item_windows): consistent matches of texts with items."""
     spark = docs.sparkSession
     left = docs.select(F.col(f"`{key}`").alias("_doc"), F.col(f"`{text}`").alias("_text"))
     left = left.withColumn("copy", F.xxhash64("_text"))
     right = benchmark.select(F.col(f"`{item_key}`").alias("_item"), F.col(f"`{item_text}`").alias("_text"))
-    items = _rows(right.withColumn("copy", F.xxhash64("_text")), "_item", width, literals)
+    items = _rows(right.withColumn("copy", F.xxhash64("_text")), "_item", width, literals, least=least)
+    # The lengths of short items: numbers below `width`.
+    short = [r[0] for r in items.filter(F.col("words") < width).select("words").distinct().orderBy("words").collect()]
     bloom = _bloom(spark, items.select("h"))
-    found = _rows(left, "_doc", width, literals, bloom)
+    found = _rows(left, "_doc", width, literals, bloom, short)
     item = items.select("_item", F.col("copy").alias("item_copy"), "h", F.col("at").alias("item_at"),
                         F.col("values").alias("item_values"))
     pairs = lookup_join(found, item, "h", "inner", spread=["_doc", "at"])
