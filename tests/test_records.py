@@ -1,0 +1,97 @@
+import csv
+import io
+import random
+
+import pytest
+
+from textscore.sources import readers
+from textscore.sources.records import Quotes, read_records
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Splits of `n` bytes, so that a small file has many."""
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    old = {k: spark.conf.get(k) for k in keys}
+
+    def use(n):
+        for k in keys:
+            spark.conf.set(k, str(n))
+
+    yield use
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_quotes_against_character_by_character():
+    def plain(line, inside):
+        at, start = 0, True
+        while at < len(line):
+            c = line[at]
+            if inside:
+                if c == '"' and line[at + 1:at + 2] == '"':
+                    at += 1
+                elif c == '"':
+                    inside, start = False, False
+            elif start and c == '"':
+                inside = True
+            else:
+                start = c == "|"
+            at += 1
+        return inside
+
+    r = random.Random(3)
+    quotes = Quotes("|")
+    for _ in range(20_000):
+        line = "".join(r.choice('a"|') for _ in range(r.randint(0, 12)))
+        for inside in (False, True):
+            assert quotes.after(line.encode(), inside) == plain(line, inside), (line, inside)
+
+
+def table(n, seed):
+    r = random.Random(seed)
+    piece = lambda: r.choice(["x", "two\nlines", 'say ""no""'.replace('""', '"'), "a|b", "", "\n\n", "it's 5\" long", "z" * 40, "l\n" * 30])
+    return [[str(i), piece() + str(i), piece()] for i in range(n)]
+
+
+def written(rows, end="\n"):
+    out = io.StringIO()
+    w = csv.writer(out, delimiter="|", lineterminator=end)
+    w.writerow(["id", "t", "u"])
+    w.writerows(rows)
+    return out.getvalue().encode()
+
+
+@pytest.mark.parametrize("size, end", [(48, "\n"), (97, "\n"), (1000, "\n"), (64, "\r\n")])
+def test_records_of_split_files_are_those_of_a_plain_reader(spark, tmp_path, small_splits, size, end):
+    """Records longer than a split, blank lines inside quotes, quotes inside unquoted fields, two files."""
+    rows = table(150, size), table(40, size + 1)
+    for k, some in enumerate(rows):
+        (tmp_path / f"{k}.txt").write_bytes(written(some, end).replace(b"\n0|", b"\n\n0|", 1))
+    small_splits(size)
+    schema = "id string, t string, u string"
+    got = readers.read_csv(spark, str(tmp_path), schema, sep="|")
+    assert read_records(spark, str(tmp_path), "|").rdd.getNumPartitions() > 8
+    found = sorted(tuple(v or "" for v in r) for r in got.collect())
+    assert found == sorted(tuple(r) for some in rows for r in some)
+    small_splits(1 << 27)
+    whole = spark.read.options(header=True, sep="|", escape='"', multiLine=True, lineSep=end).schema(schema).csv(str(tmp_path))
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_stray_quotes_do_not_shift_the_rest(spark, tmp_path, small_splits):
+    lines = ["id|t"] + [f'{i}|a 5" board no. {i}' if i % 3 else f'{i}|"quoted\n{i}"' for i in range(200)]
+    (tmp_path / "s.txt").write_text("\n".join(lines) + "\n")
+    small_splits(80)
+    found = {int(r[0]): r[1] for r in readers.read_csv(spark, str(tmp_path), "id int, t string", sep="|").collect()}
+    assert found == {i: f'a 5" board no. {i}' if i % 3 else f"quoted\n{i}" for i in range(200)}
+
+
+def test_odd_files(spark, tmp_path):
+    (tmp_path / "empty.txt").write_bytes(b"")
+    (tmp_path / "header.txt").write_bytes(b"id|t\n")
+    (tmp_path / "open.txt").write_bytes(b'id|t\n1|x\n\n2|"never closed\n3|y\n')
+    (tmp_path / "latin.txt").write_bytes(b"id|t\n4|caf\xe9")
+    found = sorted(r[0] for r in read_records(spark, str(tmp_path), "|", "ISO-8859-1").collect())
+    assert found == ["1|x", '2|"never closed\n3|y', "4|caf\xe9"]
+    assert read_records(spark, str(tmp_path / "header.txt"), "|", header=False).collect() == [("id|t",)]

@@ -4,6 +4,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from textscore import schemas
+from textscore.sources.records import read_records
 
 CORRUPT = "_corrupt_record"
 
@@ -21,22 +22,32 @@ def blank_null_words(df, columns, words=NULL_WORDS):
 def read_csv(spark, path, schema, sep=",", encoding="UTF-8", multi_line=True):
     """A delimited file with a header and doubled quotes.
 
-    Quoted fields may span lines. Files known to have no such fields read faster with
-    `multi_line=False`, which lets Spark split them.
+    Quoted fields may span lines; the file is split all the same, see `records`. Files known to have no such
+    fields are read once instead of three times with `multi_line=False`.
     """
-    return _csv(spark, schema, sep, encoding, multi_line).csv(path)
+    return _csv(spark, path, schema, sep, encoding, multi_line)
 
 
-def _csv(spark, schema, sep, encoding, multi_line):
-    return (spark.read.schema(schema).option("header", True).option("sep", sep)
-            .option("encoding", encoding).option("escape", '"').option("multiLine", multi_line))
+def _csv(spark, path, schema, sep, encoding, multi_line, **options):
+    options = {"sep": sep, "escape": '"', "mode": "PERMISSIVE", **options}
+    if not multi_line:
+        return spark.read.schema(schema).options(header=True, encoding=encoding, columnPruning=False, **options).csv(path)
+    fields = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    parsed = F.from_csv("record", fields, options).alias("parsed")
+    return read_records(spark, path, sep, encoding).select(parsed).select("parsed.*")
+
+
+def _header(spark, path, sep=",", encoding="UTF-8"):
+    return spark.read.options(header=True, sep=sep, encoding=encoding, escape='"').csv(path).columns
 
 
 def read_scores(spark, path, multi_line=True):
     """The score table. The header is matched by name, so a wider file in any column order
     gives the columns of the contract; only those are parsed to their types."""
-    text = (spark.read.option("header", True).option("escape", '"')
-            .option("multiLine", multi_line).csv(path))
+    full = schemas.SCORES.__class__()
+    for name in _header(spark, path):
+        full = full.add(name, "string")
+    text = _csv(spark, path, full, ",", "UTF-8", multi_line)
     wanted = [f for f in schemas.SCORES if f.name in text.columns]
     text = blank_null_words(text, [f.name for f in wanted])
     return text.select(*[
@@ -45,7 +56,7 @@ def read_scores(spark, path, multi_line=True):
 
 def _dump(spark, path, schema, sep, encoding, multi_line):
     """A dump's lines by its own header: all columns as text, the raw line, and whether it is too long."""
-    header = spark.read.options(header=True, sep=sep, encoding=encoding, escape='"').csv(path).columns
+    header = _header(spark, path, sep, encoding)
     missing = [f.name for f in schema if f.name not in header]
     if missing:
         raise ValueError(f"{path}: missing columns: {', '.join(missing)}")
@@ -54,9 +65,7 @@ def _dump(spark, path, schema, sep, encoding, multi_line):
     full = schema.__class__()
     for name in names:
         full = full.add(name, "string")
-    lines = (_csv(spark, full.add(CORRUPT, "string"), sep, encoding, multi_line)
-             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-             .option("columnPruning", False).csv(path))
+    lines = _csv(spark, path, full.add(CORRUPT, "string"), sep, encoding, multi_line, columnNameOfCorruptRecord=CORRUPT)
     unquoted = F.regexp_replace(F.col(CORRUPT), '"(?:[^"]|"")*"', "")
     extra = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) > len(header) - 1
     # Always true. Spark refuses a query that needs nothing but the corrupt text, as a count would.
