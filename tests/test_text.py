@@ -41,6 +41,35 @@ def test_lemmas_of_arrays(spark, rows, monkeypatch, small):
         (1, ["do", "x", "job", "job"]), (2, []), (3, None), (4, ["x"]), (4, ["x"])]
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_stopwords_from_a_table(spark, rows, monkeypatch, small):
+    """The same as a list's, broadcast or joined; NULL, empty and equal rows stay as they are."""
+    if not small:
+        monkeypatch.setattr(joins, "has_at_most", lambda *a, **k: False)
+        monkeypatch.setattr(tokens, "has_at_most", lambda *a, **k: False)
+    values = ["The tax AND the Élève and x", "the and", "", None, "x x THE y", "x x THE y"]
+    df = spark.createDataFrame(list(enumerate(values)), "id int, t string").union(
+        spark.createDataFrame([(4, "x x THE y")], "id int, t string"))
+    stop = ["the", "AND", "élève"]
+    table = spark.createDataFrame([(" The",), ("and ",), ("and",), ("",), (None,), ("ÉLÈVE",)], "word string")
+    for lowercase in (True, False):
+        expected = tokens.tokenise(df, "t", stopwords=stop, lowercase=lowercase)
+        found = tokens.tokenise(df, "t", stopwords=table, lowercase=lowercase)
+        assert found.columns == expected.columns
+        assert rows(found, "id", "tokens") == rows(expected, "id", "tokens")
+    assert rows(tokens.tokenise(df, "t", stopwords=table.limit(0)), "id") == rows(tokens.tokenise(df, "t", stopwords=()), "id")
+
+
+def test_a_million_stopwords(spark):
+    """Words of the table are letters only, as tokens are; every second number is a stopword."""
+    spell = lambda c: F.translate(c.cast("string"), "0123456789", "abcdefghij")
+    table = spark.range(0, 2_000_000, 2).select(spell(F.col("id")).alias("word"))
+    texts = spark.range(2000).select("id", F.concat_ws(" ", spell(F.col("id")), spell(F.col("id") + 1_000_001)).alias("t"))
+    found = tokens.tokenise(texts, "t", stopwords=table)
+    odd = F.when(F.col("id") % 2 == 1, spell(F.col("id"))).otherwise(spell(F.col("id") + 1_000_001))
+    assert found.where(F.col("tokens") == F.array(odd)).count() == 2000
+
+
 def test_switches(spark):
     df = spark.createDataFrame([("The Tax",)], "t string")
     kept = tokens.tokenise(df, "t", remove_stopwords=False, lowercase=False).first()

@@ -14,7 +14,7 @@ def main():
     for name in ("scores", "speaker-map", "speeches", "ad-texts", "airings"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--single-line", action="store_true",
-                        help="no quoted field spans lines: large files may be split")
+                        help="no quoted field spans lines: files are read once instead of three times")
     parser.add_argument("--holdout", action="store_true", help="search without the test share")
     parser.add_argument("--stopwords", help="text file, one word per line")
     parser.add_argument("--embeddings", help="Parquet table (unique_id, embedding, dime)")

@@ -144,9 +144,11 @@ def tfidf(counts, vocabulary, key):
 def sparse_vectors(weights, vocabulary, key, size=None):
     """(key, features): one sparse Spark ML vector per key, terms in spelling order.
 
-    A row holds at most the vocabulary, which Spark ML needs on every node anyway.
+    A row holds at most the vocabulary, which Spark ML needs on every node anyway. The vectors are written as the
+    structs that store them and read back under their type, so no row passes through Python.
     """
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql.types import StructType
 
     from textscore.operators.ordering import row_index
 
@@ -154,12 +156,13 @@ def sparse_vectors(weights, vocabulary, key, size=None):
     size = size or indexed.count()
     rows = lookup_join(weights, indexed, ["ngram", "term"], "inner", spread=[key])
 
-    @F.udf(VectorUDT())
-    def vector(pairs):
-        return Vectors.sparse(size, [(p["idx"], p["tfidf"]) for p in pairs])
-
-    pairs = F.array_sort(F.collect_list(F.struct("idx", "tfidf")))
-    return rows.groupBy(key).agg(vector(pairs).alias("features"))
+    # The fields of a stored vector; type 0 is a sparse one.
+    pairs = F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("tfidf").cast("double").alias("tfidf"))))
+    stored = rows.groupBy(key).agg(pairs.alias("pairs")).select(key, F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).cast("int").alias("size"),
+        F.col("pairs.idx").alias("indices"), F.col("pairs.tfidf").alias("values")).alias("features"))
+    schema = StructType([stored.schema[key]]).add("features", VectorUDT())
+    return materialise(stored, "vectors", schema)
 
 
 def wide(weights, key, names, column="tfidf"):

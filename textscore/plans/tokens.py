@@ -1,22 +1,70 @@
-"""Tokenised tables, long form and lemmas."""
+"""Tokenised tables, long form, stopword tables and lemmas."""
 
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+
+from pyspark.sql import DataFrame, functions as F
 
 from textscore import settings
 from textscore.functions import text
-from textscore.operators.joins import lookup_join
+from textscore.operators.joins import has_at_most, lookup_join
 from textscore.sources.work import materialise
 
 
 def tokenise(df, column, out="tokens", stopwords=None, remove_stopwords=settings.REMOVE_STOPWORDS,
              lowercase=settings.LOWERCASE):
-    """Add the token array of `column` and its length."""
+    """Add the token array of `column` and its length.
+
+    `stopwords` is a short list, which becomes part of the expression, or a table of any length.
+    """
     if not remove_stopwords:
         stopwords = ()
     elif stopwords is None:
         stopwords = text.default_stopwords()
-    tokens = text.tokens(F.col(column), stopwords, lowercase)
-    return df.withColumn(out, tokens).withColumn("token_count", F.size(out))
+    table = stopwords if isinstance(stopwords, DataFrame) else None
+    cut = df.withColumn(out, text.tokens(F.col(column), stopwords if table is None else (), lowercase))
+    if table is not None:
+        cut = drop_words(cut, table, out)
+    return cut.withColumn("token_count", F.size(out))
+
+
+STOPWORD_ROWS = 2_000_000
+
+
+def drop_words(df, words, column="tokens"):
+    """Token arrays without the words of a table (its first column), whatever the case.
+
+    A table within `STOPWORD_ROWS` rows and the byte bound of joins goes to every node, and arrays are cut in place, in
+    Arrow batches. A larger one is joined with the tokens in the long form; a frequent token is spread by row and position.
+    NULL arrays stay NULL; blank and repeated words count for nothing.
+    """
+    form = F.lower(F.trim(F.col(f"`{words.columns[0]}`")))
+    words = words.select(form.alias("form")).where("form <> ''").distinct()
+    if has_at_most(words, STOPWORD_ROWS):
+        shared = df.sparkSession.sparkContext.broadcast(words.toArrow()["form"].combine_chunks())
+
+        @F.arrow_udf("array<string>")
+        def keep(tokens: pa.Array, forms: pa.Array) -> pa.Array:
+            return cut_lists(tokens, ~np.asarray(pa.compute.is_in(forms.flatten(), value_set=shared.value)))
+
+        return df.withColumn(column, keep(F.col(column), F.transform(column, F.lower)))
+    numbered = with_row_id(df)
+    listed = token_rows(numbered.select("_row", column), ["_row"], column).withColumn("form", F.lower("token"))
+    kept = (lookup_join(listed, words.withColumn("_stop", F.lit(True)), "form", spread=["_row", "pos"])
+            .where("_stop is null"))
+    arrays = token_arrays(kept, ["_row"], "token", "_kept")
+    nothing = F.when(F.col(column).isNotNull(), F.array().cast("array<string>"))
+    return (numbered.join(arrays, "_row", "left")
+            .withColumn(column, F.coalesce("_kept", nothing)).select(*df.columns))
+
+
+def cut_lists(lists, keep):
+    """An Arrow list column with only the elements that `keep` marks, one flag for each element in order."""
+    lengths = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0), np.int64)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    offsets = np.concatenate([[0], np.cumsum(keep)])[ends].astype(np.int32)
+    values = lists.flatten().filter(pa.array(keep, pa.bool_()))
+    return pa.ListArray.from_arrays(pa.array(offsets), values, mask=lists.is_null())
 
 
 def tokenise_with(df, column, make_tokeniser, out="tokens"):

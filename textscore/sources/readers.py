@@ -160,9 +160,6 @@ def read_or_build(spark, path, build):
     return found
 
 
-def read_words(spark, path, at_most=100_000):
-    """One word per line, for stopword lists; longer lists are refused, not cut."""
-    words = [r[0] for r in spark.read.text(path).select(F.trim("value")).limit(at_most + 1).collect()]
-    if len(words) > at_most:
-        raise ValueError(f"{path}: more than {at_most} words")
-    return [w for w in words if w]
+def read_words(spark, path):
+    """(word), one per line that is not blank: a stopword table of any length."""
+    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''")

@@ -60,9 +60,12 @@ def spread(df, *keys):
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
 
 
-def materialise(df, name):
-    """Write `df` to a fresh shared folder and read it back, its schema unchanged."""
+def materialise(df, name, schema=None):
+    """Write `df` to a fresh shared folder and read it back, its schema unchanged.
+
+    Another `schema` of the same layout may name user types in place of the structs that hold them.
+    """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
