@@ -131,3 +131,24 @@ def test_norms(spark):
     out = terms.tfidf(terms.term_counts(df, "id"), terms.fit_vocabulary(df, 2, 0.9), "id")
     for row in out.groupBy("id").agg(F.sum(F.col("tfidf") ** 2).alias("s")).collect():
         assert row["s"] == pytest.approx(1.0, abs=1e-12)
+
+
+def test_terms_past_the_broadcast_limit_are_joined_not_broadcast(spark):
+    """About 200,000 terms were built into one table in the driver, several times a query."""
+    known = spark.range(30_000).select(F.concat(F.lit("t"), "id").alias("term"), F.lit(1).alias("ngram"),
+                                       F.lit(2).alias("df"), F.lit(1.0).alias("idf"))
+    units = spark.range(40).select((F.col("id") % 3).cast("string").alias("key"), F.transform(
+        F.sequence(F.col("id") * 997, F.col("id") * 997 + 400), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("tokens"))
+    out = terms.weigh(terms.term_counts(units, "key", vocabulary=known), known, "key")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1 and "_words" in plan
+    expected = Counter((r["key"], t) for r in units.collect() for t in r["tokens"] if int(t[1:]) < 30_000)
+    assert {(r["key"], r["term"]): r["tf"] for r in out.collect()} == expected
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_likely_in_keeps_all_and_drops_most(spark, n):
+    dim = spark.range(n).select(F.col("id").cast("string").alias("term"))
+    big = spark.range(20_000).select("id", F.col("id").cast("string").alias("term"))
+    kept = {r["id"] for r in joins.likely_in(big, dim, ["term"]).collect()}
+    assert kept >= set(range(n)) and len(kept) - n < 0.1 * 20_000
