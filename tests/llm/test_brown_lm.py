@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -122,3 +123,32 @@ def test_sweeps_do_not_lower_the_likelihood(spark):
     seeds = lm.exchange(lm.seed_bigrams(codes, 90, 30), 3)
     values = [lm.likelihood(lm.spread(codes, 90, seeds, 3, sweeps)[1]) for sweeps in (1, 2, 6)]
     assert values == sorted(values) and values[0] < values[2]
+
+
+def test_neighbours_are_counted_in_little_memory(spark):
+    """A task holds four bytes a cell, and sums sent several times make the same classes."""
+    df = texts_of(docs(spark, [" ".join(words(80, i, 120)) for i in range(25)]))
+    names = [bytes(r["word"]) for r in lm.most_frequent(lm.count_words(df), 90).collect()]
+    codes = lm.encode(df.repartition(8), names).repartition(1).cache()
+    assert codes.count() > 1
+    own = np.arange(90) % 3
+    moves = lm.transitions(codes, own, 3)
+    once = lm.best_classes(codes, own, moves).sort_by("word")
+    assert lm.best_classes(codes, own, moves, most=100).sort_by("word") == once
+
+    batches = codes.toArrow().to_batches()
+
+    class Task:
+        """Runs the task's function here, for a dictionary of 50,000 words."""
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            tracemalloc.start()
+            self.rows = sum(b.num_rows for b in run(iter(batches)))
+            self.peak = tracemalloc.get_traced_memory()[1]
+            tracemalloc.stop()
+            return codes.selectExpr("1L AS word", *[f"0L AS k{k}" for k in range(32)])
+
+    task = Task()
+    lm.best_classes(task, np.arange(50_000) % 32, np.ones((33, 34)))
+    assert task.rows and task.peak < 6 * 50_000 * 67

@@ -1,7 +1,10 @@
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
-from textscore.llm.text import Words, combine
+from pyspark.sql import functions as F
+
+from textscore.llm.text import Words, combine, in_small_batches
 
 ALPHABET = st.text(alphabet="aAbBzZéÉ ß.\n\t\r\x0b\x0c  🙂", max_size=40)
 
@@ -29,3 +32,20 @@ def test_hashes_do_not_depend_on_the_batch():
 def test_long_words_differ_past_the_table_of_places():
     a, b = b"a" * 9000, b"a" * 8999 + b"b"
     assert len(np.unique(Words([a, b, b"a" * 9001]).hash)) == 3
+
+
+def test_small_batches_hold_few_bytes_and_end_with_the_operator(spark):
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    table = spark.range(0, 8000, 1, 1).select(F.repeat(F.lit("x"), 2000).alias("t"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([batch.nbytes])})
+
+    @in_small_batches
+    def largest(df):
+        return max(r["bytes"] for r in df.mapInArrow(sizes, "bytes long").collect())
+
+    before = spark.conf.get(limit, None)
+    assert largest(table) < 5 << 20
+    assert spark.conf.get(limit, None) == before

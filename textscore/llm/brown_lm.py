@@ -33,11 +33,12 @@ import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from textscore.llm.text import slices
+from textscore.llm.text import in_small_batches, slices
 from textscore.sources.work import materialise
 
 FLUSH = 400_000
 UNIT = 1 << 20                            # log ratios as whole numbers of this fraction
+MOST = 1 << 28                            # tokens a task counts before it sends their sums
 
 
 def words_of(text):
@@ -221,7 +222,7 @@ def likelihood(moves):
     return gain(moves) - gain(moves.sum(1)) - gain(moves.sum(0))
 
 
-def best_classes(codes, own, moves):
+def best_classes(codes, own, moves, most=MOST):
     """(word, class): for each dictionary word the class whose neighbours on both sides are most like its own.
 
     Neighbours count by class, start, tail and end; those with class -1 are left out, as are words that have no others.
@@ -237,19 +238,26 @@ def best_classes(codes, own, moves):
     def run(batches):
         kind, weight = shared.value
         left, right = np.concatenate([kind, [-1, classes]]), np.concatenate([kind, [classes, classes + 1]])
-        total = np.zeros(size * wide, np.int64)
+        total, seen = np.zeros((size, wide), np.int32), 0
+
+        def sums():
+            held = np.flatnonzero(total.any(1))
+            for k in range(0, len(held), 1 << 14):
+                part = held[k:k + (1 << 14)]
+                # Whole numbers below 2 ** 53 for so many tokens, so floats are exact.
+                scores = (total[part].astype(float) @ weight).astype(np.int64)
+                yield pa.RecordBatch.from_pydict(
+                    {"word": pa.array(part), **{f"k{k}": pa.array(scores[:, k]) for k in range(classes)}})
+
         for words, history in decoded(batches, size):
+            if seen and seen + len(words) > most:
+                yield from sums()
+                total[:], seen = 0, 0
+            seen += len(words)
             for word, beside, first in ((words, left[history], 0), (history, right[words], classes + 1)):
                 known = (word < size) & (beside >= 0)
-                np.add.at(total, word[known].astype(np.int64) * wide + first + beside[known], 1)
-        total = total.reshape(size, wide)
-        held = np.flatnonzero(total.any(1))
-        for k in range(0, len(held), 1 << 14):
-            part = held[k:k + (1 << 14)]
-            # Whole numbers below 2 ** 53 in one task, so floats are exact.
-            scores = (total[part].astype(float) @ weight).astype(np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {"word": pa.array(part), **{f"k{k}": pa.array(scores[:, k]) for k in range(classes)}})
+                np.add.at(total.ravel(), word[known].astype(np.int64) * wide + first + beside[known], np.int32(1))
+        yield from sums()
 
     names = [f"k{k}" for k in range(classes)]
     sums = (codes.mapInArrow(run, ", ".join(f"{c} long" for c in ["word", *names]))
@@ -305,6 +313,7 @@ def most_frequent(counts, size):
     return counts.filter(level >= least).orderBy(F.desc("n"), "word").limit(size)
 
 
+@in_small_batches
 def learn(texts, classes=32, seeds=512, dictionary=200_000, weight=0.9, delta=0.5):
     """A model, a dict of small arrays and the word counts as a table, from texts (`_text`)."""
     counts = materialise(count_words(texts), "word-counts")
@@ -333,6 +342,7 @@ def learn(texts, classes=32, seeds=512, dictionary=200_000, weight=0.9, delta=0.
             "tokens": int(total[0] + ends), "distinct": int(total[1] + (ends > 0)), "ends": int(ends)}
 
 
+@in_small_batches
 def score(docs, model, text="text", key="doc_id"):
     """(key, copy, n_tokens, n_known, base_score, score) per row; log10 of the probability of the text."""
     spark = docs.sparkSession
