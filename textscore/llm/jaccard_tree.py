@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textscore.llm.components import components
-from textscore.llm.text import Words, combine, mix, slices
+from textscore.llm.text import Words, combine, in_small_batches, mix, slices
 from textscore.sources.work import materialise
 
 SHINGLE = 5
@@ -437,6 +437,7 @@ def _dealt(rows, piece):
                     (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "comp", "hubs"))
 
 
+@in_small_batches
 def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2048,
                     turns=3, large=64):
     """(key, copy, n_shingles, class_id, component_id) per row of `docs`.
