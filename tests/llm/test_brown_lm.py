@@ -152,3 +152,21 @@ def test_neighbours_are_counted_in_little_memory(spark):
     task = Task()
     lm.best_classes(task, np.arange(50_000) % 32, np.ones((33, 34)))
     assert task.rows and task.peak < 6 * 50_000 * 67
+
+
+def test_sums_of_the_dictionary_grow_with_the_text_not_with_files(spark, monkeypatch):
+    """A task of a sweep sends a row for each dictionary word it holds, so a table of many files must not make many tasks."""
+    seen = []
+    for name in ("seed_bigrams", "transitions", "best_classes"):
+        def counted(codes, *args, do=getattr(lm, name), **kwargs):
+            seen.append(codes.rdd.getNumPartitions())
+            return do(codes, *args, **kwargs)
+        monkeypatch.setattr(lm, name, counted)
+    files = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        texts = texts_of(docs(spark, [" ".join(words(80, i, 120)) for i in range(60)])).repartition(40)
+        lm.learn(texts, classes=3, seeds=30, dictionary=90)
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", files)
+    assert len(seen) > 3 and max(seen) == 1

@@ -38,6 +38,7 @@ from textscore.sources.work import materialise
 
 FLUSH = 400_000
 UNIT = 1 << 20                            # log ratios as whole numbers of this fraction
+SLICES = 128                              # rows of numbers, of about 1 MB of text each, that a task sums at least
 MOST = 1 << 28                            # tokens a task counts before it sends their sums
 
 
@@ -103,6 +104,12 @@ def decoded(batches, size):
             yield codes, np.concatenate([[size + 1], codes])[last]
 
 
+def few_tasks(codes):
+    """The numbers read by one task for `SLICES` rows: each task of a sweep sends sums of the whole dictionary, however little
+    it read."""
+    return codes.coalesce(-(-codes.count() // SLICES) or 1)
+
+
 def _sums(codes, size, cells, run_on):
     """(cell, n): how often `run_on(codes, histories)` gives each cell number, over all texts."""
     def run(batches):
@@ -324,7 +331,7 @@ def learn(texts, classes=32, seeds=512, dictionary=200_000, weight=0.9, delta=0.
     size = len(words)
     seeds = min(seeds, size)
     classes = max(1, min(classes, seeds))
-    codes = materialise(encode(texts, words), "codes")
+    codes = few_tasks(materialise(encode(texts, words), "codes"))
     pairs = seed_bigrams(codes, size, seeds) if seeds else np.zeros((0, 0))
     own, moves = spread(codes, size, exchange(pairs, classes), classes, pairs=pairs)
 
