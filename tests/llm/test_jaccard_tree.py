@@ -61,6 +61,55 @@ def test_against_brute_force(spark, seed, hot, piece, large):
     assert found == brute(texts)
 
 
+def test_near_copies_of_each_other_are_not_paired_one_by_one(spark, monkeypatch):
+    """Members of large groups at the border of the threshold: rows grow with members, the result is that of all pairs."""
+    r, texts = random.Random(11), []
+    for g in range(2):
+        base = words(150, 900 + g, 5000)
+        for _ in range(90):
+            w = list(base)
+            for _ in range(r.randrange(2, 5)):
+                w[r.randrange(len(w))] = f"z{r.randrange(10 ** 6)}"
+            texts.append(" ".join(w))
+    texts = list(enumerate(texts))
+    made, write = {}, jt.materialise
+
+    def counted(df, name, *args):
+        out = write(df, name, *args)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+    monkeypatch.setattr(jt, "materialise", counted)
+    for piece in (2048, 32):
+        made.clear()
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+                 for r in jt.near_duplicates(docs(spark, texts), piece=piece).collect()}
+        assert found == brute(texts)
+        assert made["pairs"] <= 4 * len(texts) and made["crowded-links"] > 0
+        assert piece < 2048 or made["walked"] <= 4 * len(texts)
+
+
+def test_spanning_links_join_what_all_links_join():
+    r = np.random.default_rng(5)
+    for trial in range(30):
+        sets = []
+        for _ in range(4):
+            base = r.integers(0, 2 ** 63, int(r.integers(1, 200))).astype(np.uint64)
+            for _ in range(8):
+                keep = r.random(len(base)) > 0.15 * r.random()
+                sets.append(np.unique(np.concatenate([base[keep], r.integers(0, 2 ** 63, 4).astype(np.uint64)])))
+        def joined(pairs):
+            label = np.arange(len(sets))
+            for i, j in pairs:
+                label[label == label[i]] = label[j]
+            return [int(np.flatnonzero(label == x)[0]) for x in label]
+        every = [(i, j) for i in range(len(sets)) for j in range(i)
+                 if 100 * (both := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (len(sets[i]) + len(sets[j]) - both)]
+        found = jt.spanning_links(sets, np.arange(len(sets)), 80)
+        assert set((max(p), min(p)) for p in found) <= set(every) and joined(found) == joined(every)
+        comps = np.array(joined(every[::3]))
+        assert joined(every[::3] + jt.spanning_links(sets, comps, 80)) == joined(every)
+
+
 def test_odd_rows(spark):
     rows = jt.near_duplicates(odd_docs(spark)).collect()
     assert len(rows) == 10

@@ -9,15 +9,15 @@ sequence; without words nothing), as 64-bit hashes. Documents link at a similari
    classes are hot. If two similar sets share only hot ones, both hold more hot tokens than `extra` allows
    (they are `full`), so hot blocks need their full members only.
 3. Hubs. In each block every class is compared with one fixed member, its hub, so a group of near copies
-   becomes a star. Verified links give components. Blocks with one hub form a group; in large groups
-   that still hold several components, every member is compared with one more fixed member of its own size
-   band and of the two beside it, a few times over.
+   becomes a star. Verified links give components. Blocks with one hub form a group.
 4. Signature trees, over groups that still hold several components. Nodes hold the OR of their members'
    token bitmaps, the range of their sizes and of their components; two trees are walked in pairs from
    the root, and a pair of nodes is dropped if the sizes are too far apart, the component is one, or the
    largest possible overlap, popcount(A & B) plus the tokens hidden by equal bits, is too small.
-   Pairs of leaves that remain are verified on the whole sets. A very large group is dealt into pieces,
-   every pair of pieces one task's work.
+   Pairs of leaves that remain are verified on the whole sets. Where more than two a member remain, as among
+   near copies of each other, the members themselves are sent on, and one task decides on their whole sets, leaving
+   out pairs that links found before hold together, so rows grow with members and not with pairs. A very large group
+   is dealt into pieces, every pair of pieces one task's work.
 5. Components of all links, joined back to all documents.
 
 No step caps anything: what the bitmaps cannot rule out is decided on whole sets, and links are exact up to
@@ -41,6 +41,7 @@ from textscore.sources.work import materialise
 SHINGLE = 5
 BLOOM_BITS = 1 << 25
 PROBES = 2
+PIECE_TOKENS = 1 << 21
 
 
 def shingle_sets(texts):
@@ -87,9 +88,9 @@ def width_of(n):
     return max(64, 1 << (2 * int(n) - 1).bit_length())
 
 
-def bitmap(tokens):
+def bitmap(tokens, width=None):
     """The bitmap of a set, as bytes."""
-    width = width_of(len(tokens))
+    width = width or width_of(len(tokens))
     bits = np.zeros(width, np.uint8)
     bits[(mix(tokens) & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -314,8 +315,27 @@ def verify(pairs, docs, percent):
     return joined.select("a", "b", "tokens_a", "tokens_b").mapInArrow(run, "a long, b long")
 
 
-def _walk_blocks(rows, percent):
-    """(a, b) from the rows of dealt groups: one tree walk each."""
+def _dense(at, at2, size):
+    """(part, crowded) of the pairs of positions: the least position that pairs lead to, and whether its part holds more than
+    two pairs a member."""
+    part = np.arange(size)
+    while True:
+        least = np.minimum(part[at], part[at2])
+        new = part.copy()
+        np.minimum.at(new, at, least)
+        np.minimum.at(new, at2, least)
+        new = new[new]
+        if (new == part).all():
+            break
+        part = new
+    members = np.bincount(part, minlength=size)
+    pairs = np.bincount(part[at], minlength=size)
+    return part, (pairs > 2 * members)[part]
+
+
+def _walk_blocks(rows, percent, large):
+    """Pairs (a, b) from the rows of dealt groups, one tree walk each; of crowded parts the members (a, comp) under
+    (hub, left, right, part) instead, b null."""
     def finish(group, key):
         hub, left, right = key
         ids, sizes, comps = (np.array(x, np.int64) for x in group[:3])
@@ -325,26 +345,101 @@ def _walk_blocks(rows, percent):
         first = [i for i, (x, y) in enumerate(zip(at, at2))
                  if hubs[x] is None or hubs[y] is None or min(hubs[x] & hubs[y]) == hub]
         first = np.array(first, np.int64)
-        return ids[at[first]], ids[at2[first]]
+        at, at2 = at[first], at2[first]
+        part, crowded = _dense(at, at2, len(ids))
+        if len(ids) <= large:
+            crowded[:] = False
+        few, member = ~crowded[at], np.flatnonzero(crowded)
+        single, nothing = len(member), int(few.sum())
+        columns = {"a": np.concatenate([ids[at[few]], ids[member]]), "b": ids[at2[few]],
+                   "hub": np.full(single, hub), "left": np.full(single, left), "right": np.full(single, right),
+                   "part": part[member], "comp": comps[member]}
+        blank = lambda n: pa.nulls(n, pa.int64())
+        pad = {c: pa.chunked_array([pa.array(v)] if c == "a" else [pa.array(v), blank(single)] if c == "b"
+                                   else [blank(nothing), pa.array(v)], pa.int64()).combine_chunks()
+               for c, v in columns.items()}
+        return pa.RecordBatch.from_pydict(pad)
 
     def run(batches):
         key, group = None, None
         for batch in batches:
-            out = []
             for hub, left, right, side, i, n, comp, hubs, bits in zip(*(batch.column(c).to_pylist() for c in (
                     "hub", "left", "right", "side", "id", "n", "comp", "hubs", "map"))):
                 if (hub, left, right) != key:
                     if group:
-                        out.append(finish(group, key))
+                        yield finish(group, key)
                     key, group = (hub, left, right), ([], [], [], [], [], [])
                 for to, value in zip(group, (i, n, comp, bits, side, hubs)):
                     to.append(value)
-            if out:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate([o[0] for o in out])),
-                                                  "b": pa.array(np.concatenate([o[1] for o in out]))})
         if group:
-            a, b = finish(group, key)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+            yield finish(group, key)
+
+    return rows.mapInArrow(run, "a long, b long, hub long, left long, right long, part long, comp long")
+
+
+def spanning_links(sets, comps, percent):
+    """Positions (i, j) of links that hold together what all links among `sets` would, with those inside `comps`.
+
+    Sets are met in the order of their sizes. Each is compared with the earlier ones of other components whose size and bitmap
+    leave a link possible, the likeliest first.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    sizes = sizes[order]
+    label = np.unique(np.asarray(comps)[order], return_inverse=True)[1]
+    width = 4 * width_of(sizes[-1]) if len(sizes) else 0
+    maps = np.stack([np.frombuffer(bitmap(sets[k], width), np.uint64) for k in order]) if len(sizes) else None
+    hidden = sizes - np.bitwise_count(maps).sum(1).astype(np.int64) if len(sizes) else None
+    found = []
+    for i in range(len(sizes)):
+        begin = np.searchsorted(sizes, -(-percent * sizes[i] // 100))
+        near = np.arange(begin, i)
+        near = near[label[near] != label[i]]
+        most = np.concatenate([np.bitwise_count(maps[near[k:k + 1024]] & maps[i]).sum(1, dtype=np.int64)
+                               for k in range(0, len(near), 1024)] or [near]) + np.minimum(hidden[near], hidden[i])
+        near, most = (x[most >= need(sizes[near], sizes[i], percent)] for x in (near, most))
+        near = near[np.argsort(-most, kind="stable")]
+        while len(near):
+            j, near = near[0], near[1:]
+            x, y = sets[order[i]], sets[order[j]]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                found.append((order[i], order[j]))
+                label[label == label[j]] = label[i]
+                near = near[label[near] != label[i]]
+    return found
+
+
+def _crowded_links(members, base, percent):
+    """Links (a, b) that hold together what all links inside each part of `_walk_blocks` would, decided on the whole sets."""
+    keys = ["hub", "left", "right", "part"]
+    sets = _sets(base, bloom(members, "a")).withColumnRenamed("_id", "a")
+    # Rows of one id and several texts are all members; each text links its own.
+    rows = (members.join(sets, "a").select(*keys, "a", "comp", "tokens")
+            .repartition(*keys).sortWithinPartitions(*keys, "a"))
+
+    def finish(group):
+        ids, comps, sets = group
+        return [(ids[i], ids[j]) for i, j in spanning_links([np.frombuffer(s, np.uint64) for s in sets], comps, percent)]
+
+    def run(batches):
+        key, group = None, None
+        for batch in batches:
+            found = []
+            for *own, i, comp, tokens in zip(*(batch.column(c).to_pylist() for c in (*keys, "a", "comp", "tokens"))):
+                if own != key:
+                    if group:
+                        found += finish(group)
+                    key, group = own, ([], [], [])
+                for to, value in zip(group, (i, comp, tokens)):
+                    to.append(value)
+            yield links(found)
+        if group:
+            yield links(finish(group))
+
+    def links(found):
+        return pa.RecordBatch.from_pydict({"a": pa.array([min(f) for f in found], pa.int64()),
+                                           "b": pa.array([max(f) for f in found], pa.int64())})
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -387,35 +482,15 @@ def _groups(found, percent, hot):
 
 
 def _open_groups(groups, comps):
-    """(hub, id, n, comp, members) of the groups that hold several components."""
+    """(hub, id, n, comp, members, total) of the groups that hold several components; `total` is the sum of n."""
     rows = (groups.join(comps, "id", "left")
             .select("hub", "id", "n", F.coalesce("component", "id").alias("comp")))
     several = (rows.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"),
-                                       F.count("*").alias("members"))
-               .filter("c0 <> c1").select("hub", "members"))
+                                       F.count("*").alias("members"), F.sum("n").alias("total"))
+               .filter("c0 <> c1").select("hub", "members", "total"))
     return rows.join(several, "hub")
 
 
-def _pivot_pairs(rows, percent, turn, large):
-    """Members of large groups with a fixed pseudo-random member, the pivot, of each size band their partners can be in.
-
-    Sizes of linked sets differ by less than one band, so a member meets three pivots at most, however large the group.
-    Members of a group's largest component are only chosen, never paired themselves.
-    """
-    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9)
-    rows = rows.filter(F.col("members") > large).withColumn("band", band)
-    chosen = rows.groupBy("hub", "band").agg(
-        F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("rank"), F.col("id"), F.col("n"), F.col("comp"))).alias("p"))
-    chosen = chosen.select("hub", "band", F.col("p.id").alias("p"), F.col("p.n").alias("p_n"), F.col("p.comp").alias("p_comp"))
-    largest = (rows.groupBy("hub", "comp").agg(F.count("*").alias("size"))
-               .groupBy("hub").agg(F.max(F.struct("size", "comp")).alias("most")).select("hub", "most.comp"))
-    rows = rows.join(largest, ["hub", "comp"], "left_anti")
-    rows = rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    return (rows.join(chosen, ["hub", "band"]).filter(F.col("comp") != F.col("p_comp"))
-            .filter(_similar_sizes("n", "p_n", percent))
-            .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct())
-
-
 def _with_hubs(rows, most=32):
     """`rows` with the sorted hubs of a member's groups; null for a member of more than `most`.
 
@@ -428,8 +503,12 @@ def _with_hubs(rows, most=32):
 
 
 def _dealt(rows, piece):
-    """Groups dealt into pieces (hub, left, right), a member once for each pair of pieces, on its `side`."""
-    pieces = F.ceil(F.col("members") / piece).cast("int")
+    """Groups dealt into pieces (hub, left, right), a member once for each pair of pieces, on its `side`.
+
+    A piece holds about `piece` members and `PIECE_TOKENS` tokens, as one task may hold the sets of two pieces.
+    """
+    pieces = F.ceil(F.greatest(F.col("members") / piece, F.col("total") / PIECE_TOKENS)).cast("int")
+    pieces = F.least(pieces, F.col("members")).cast("int")
     own = F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     return (rows.withColumn("pieces", pieces).withColumn("own", own).withColumn("other", other)
@@ -439,11 +518,10 @@ def _dealt(rows, piece):
 
 @in_small_batches
 def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2048,
-                    turns=3, large=64):
+                    large=8):
     """(key, copy, n_shingles, class_id, component_id) per row of `docs`.
 
-    `turns`: how often the large groups that are still open get new pivots; what they leave apart is left to the
-    walk, so they change the work and not the result.
+    `large`: groups up to this size send all pairs that the walk leaves; it changes the work and not the result.
     """
     body = F.col(f"`{text}`")
     base = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.xxhash64(body).alias("_copy"),
@@ -458,25 +536,18 @@ def near_duplicates(docs, text="text", key="doc_id", percent=80, hot=64, piece=2
     stars = materialise(verify(hubs, base, percent), "stars")
     groups = materialise(_groups(found, percent, hot), "groups")
     rows = materialise(_open_groups(groups, components(stars)), "open-groups")
-    # Only the large groups are looked at again; a component of a small one that has grown since costs a try, no link.
-    small, wide = rows.filter(F.col("members") <= large), rows.filter(F.col("members") > large)
-    members = wide.select("hub", "id", "n")
-    for turn in range(turns):
-        tries = _pivot_pairs(wide, percent, turn, large)
-        tries = materialise(_not_ruled_out(tries, maps, percent), "pivot-pairs")
-        if tries.isEmpty():
-            continue
-        stars = materialise(stars.unionByName(verify(tries, base, percent)), "stars")
-        wide = materialise(_open_groups(members, components(stars)), "wide-groups")
-    rows = small.unionByName(wide)
 
     rows = _dealt(_with_hubs(rows), piece)
     walk = (rows.join(maps.select(F.col("_id").alias("id"), "map"), "id")
             .repartition("hub", "left", "right").sortWithinPartitions("hub", "left", "right", "id"))
-    pairs = materialise(_walk_blocks(walk, percent).select(F.least("a", "b").alias("a"),
-                                                           F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = materialise(verify(pairs, base, percent), "links")
-    comps = components(stars.unionByName(links)).withColumnRenamed("id", "class_id")
+    walked = materialise(_walk_blocks(walk, percent, large), "walked")
+    pairs = materialise(walked.filter("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                        .distinct(), "pairs")
+    links = stars.unionByName(materialise(verify(pairs, base, percent), "links"))
+    members = walked.filter("b IS NULL").drop("b")
+    if not members.isEmpty():
+        links = links.unionByName(materialise(_crowded_links(members, base, percent), "crowded-links"))
+    comps = components(links).withColumnRenamed("id", "class_id")
 
     rows = (described.join(classes, ["d1", "d2"], "left")
             .select("_id", "_copy", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("_id"))
