@@ -95,3 +95,27 @@ def test_salted_join_equals_plain(spark, rows):
                     "id", "v") == plain
     with pytest.raises(ValueError):
         joins.lookup_join(big, dim, "k", "right")
+
+
+def test_long_rows_pass_a_hashed_dimension_unsorted(spark, rows, monkeypatch):
+    big = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", "x" * 50) for i in range(300)], "id long, k string, body string")
+    dim = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3)], "k string, v int")
+    plan = lambda df: df._jdf.queryExecution().toString()
+    for how in ("left", "inner"):
+        monkeypatch.setattr(joins, "HASH_BYTES", 2 ** 26)
+        hashed = joins.lookup_join(big, dim, "k", how, spread=["id"], max_rows=0)
+        monkeypatch.setattr(joins, "HASH_BYTES", 0)
+        merged = joins.lookup_join(big, dim, "k", how, spread=["id"], max_rows=0)
+        assert "ShuffledHashJoin" in plan(hashed) and "SortMergeJoin" not in plan(hashed)
+        assert "SortMergeJoin" in plan(merged)
+        wanted = big.join(dim, "k", how).select("id", "k", "v")
+        for found in (hashed, merged):
+            assert rows(found.select("id", "k", "v"), "id", "v") == rows(wanted, "id", "v")
+
+
+def test_a_dimension_in_one_file_is_repeated_by_many_tasks(spark):
+    big = spark.range(10).selectExpr("id", "'a' AS k")
+    dim = spark.range(0, 5000, 1, 1).selectExpr("concat('k', id) AS k", "id AS v")
+    joined = joins.lookup_join(big, dim, "k", spread=["id"], max_rows=0)
+    dealt = [line for line in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "RepartitionByExpression" in line]
+    assert joined.count() == 10 and dealt and str(joins.SALTS) in dealt[0]
