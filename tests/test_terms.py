@@ -152,3 +152,29 @@ def test_likely_in_keeps_all_and_drops_most(spark, n):
     big = spark.range(20_000).select("id", F.col("id").cast("string").alias("term"))
     kept = {r["id"] for r in joins.likely_in(big, dim, ["term"]).collect()}
     assert kept >= set(range(n)) and len(kept) - n < 0.1 * 20_000
+
+
+@pytest.mark.parametrize("n", [1, 2, 3])
+@pytest.mark.parametrize("windows, held", [(3, 1), (7, 40), (terms.WINDOWS, terms.HELD)])
+def test_ngram_counts_of_any_run_length(spark, monkeypatch, n, windows, held):
+    """What a task counts at once ends anywhere: in a row, at its end, in a gram that goes over two runs."""
+    monkeypatch.setattr(terms, "WINDOWS", windows)
+    monkeypatch.setattr(terms, "HELD", held)
+    rng = random.Random(n)
+    lists = [None, [], ["a"], ["a", "b"], [], *[[rng.choice("abcé") for _ in range(rng.randrange(9))] for _ in range(60)], None, ["b"]]
+    expected = Counter(" ".join(x[i:i + n]) for x in lists if x for i in range(len(x) - n + 1))
+    found = terms.ngram_counts(docs(spark, lists).coalesce(1), n)
+    assert {r["term"]: r["occurrences"] for r in found.collect()} == expected
+    assert found.count() == len(expected)
+
+
+def test_ngram_counts_hold_no_task_wide_table(spark, monkeypatch):
+    """Before n-grams are dealt by term, no aggregate of the engine holds a task's whole share, and frequent ones are few rows."""
+    monkeypatch.setattr(terms, "HELD", 1000)
+    many = spark.range(2000, numPartitions=2).select(F.array(F.lit("tax"), F.lit("cut"), F.col("id").cast("string")).alias("tokens"))
+    found = terms.ngram_counts(many, 2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = plan[plan.index("Exchange"):]
+    assert plan.count("Exchange") == 1 and "Aggregate" not in dealt and "MapInArrow" in dealt
+    counts = {r["term"]: r["occurrences"] for r in found.collect()}
+    assert counts["tax cut"] == 2000 and counts["cut 7"] == 1 and len(counts) == 2001
