@@ -2,6 +2,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from textscore.catalog import cleaning
 from textscore.operators import joins
 from textscore.plans import clean
 
@@ -67,6 +68,27 @@ def test_score_join_becomes_inner(spark):
     assert "LeftOuter" not in plan
 
 
+@pytest.mark.parametrize("missing", [False, True])
+def test_characters_may_take_the_place_of_the_speech(spark, rows, missing):
+    plain = clean.join_scores(speeches(spark), scores(spark), match_missing=missing)
+    counted = clean.join_scores(speeches(spark), scores(spark), match_missing=missing, chars="n")
+    assert counted.columns == ["n" if c == "speech" else c for c in plain.columns]
+    assert rows(counted, "speech_id", "dime") == rows(
+        plain.withColumn("speech", F.length("speech")), "speech_id", "dime") != []
+
+
+def test_characters_are_counted_before_a_speech_is_repeated(spark, rows, monkeypatch):
+    tables = {"documents": spark.createDataFrame([(1, LONG, "en", "src1"), (2, None, "en", "src1"), (3, "s", "de", "src2")],
+                                                 "doc_id long, text string, lang string, source string"),
+              "supplier": spark.createDataFrame([(k, 1 + k % 2, 1.0 * k) for k in range(-2, 4)],
+                                                "s_suppkey long, s_nationkey int, s_acctbal double")}
+    monkeypatch.setattr(cleaning, "table", lambda spark, sf, name: tables[name])
+    found = cleaning.score_left_join_fanout(spark, "")
+    assert rows(found, "dime") == [(1, "src1", "en", 0.0, 60), (1, "src1", "en", 2.0, 60)]
+    above, _, below = found._jdf.queryExecution().optimizedPlan().toString().partition("Join Inner")
+    assert below and "length(" not in above and "speech#" not in above
+
+
 def test_present_drops_nan(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c"), (2.0, None)], "x double, t string")
     assert clean.present(df, "x", "t").collect() == [(1.0, "a")]

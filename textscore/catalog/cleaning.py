@@ -61,8 +61,8 @@ def _scores(spark, sf, key=None):
 
 
 def score_left_join_fanout(spark, sf):
-    joined = clean.join_scores(_speeches(spark, sf, F.col("source")), _scores(spark, sf))
-    return joined.select("speech_id", "unique_id", "state", "dime", F.length("speech").alias("chars"))
+    joined = clean.join_scores(_speeches(spark, sf, F.col("source")), _scores(spark, sf), chars="chars")
+    return joined.select("speech_id", "unique_id", "state", "dime", "chars")
 
 
 def score_join_latest(spark, sf):
