@@ -41,6 +41,38 @@ def test_lemmas_of_arrays(spark, rows, monkeypatch, small):
         (1, ["do", "x", "job", "job"]), (2, []), (3, None), (4, ["x"]), (4, ["x"])]
 
 
+@pytest.mark.parametrize("small", [True, False])
+@pytest.mark.parametrize("lowercase", [True, False])
+def test_lemmas_in_place_and_joined(spark, rows, monkeypatch, small, lowercase):
+    """Forms are looked up in lower case; missing forms and lemmas, NULL arrays and an empty table change nothing."""
+    if not small:
+        monkeypatch.setattr(tokens, "has_at_most", lambda *a, **k: False)
+    df = spark.createDataFrame([(k, value) for k in range(50) for value in (["Doing", "Élèves", "X", "Doing"], [], None, ["y"])],
+                               "id int, tokens array<string>").repartition(3)
+    lemmas = spark.createDataFrame([("doing", "Do"), ("élèves", "Élève"), ("x", None), (None, "z"), ("unused", "w")],
+                                   "form string, lemma string")
+    cut = ["do", "élève", "x", "do"] if lowercase else ["Do", "Élève", "X", "Do"]
+    found = tokens.lemmatise_arrays(df, lemmas, "tokens", lowercase)
+    assert found.columns == df.columns
+    assert sorted(rows(found), key=str) == sorted(((k, v) for k in range(50) for v in (cut, [], None, ["y"])), key=str)
+    same = tokens.lemmatise_arrays(df, lemmas.limit(0), "tokens", lowercase)
+    assert sorted(rows(same.where("id = 3")), key=str) == sorted(
+        rows(df.where("id = 3").select("id", F.transform("tokens", F.lower) if lowercase else "tokens")), key=str)
+
+
+def test_lemmas_move_no_token(spark, tmp_path, monkeypatch):
+    """Arrays are rewritten where they are: nothing but the lemma table is shuffled or written."""
+    written = []
+    monkeypatch.setattr(tokens, "materialise", lambda df, name, real=tokens.materialise: written.append(df.columns) or real(df, name))
+    spark.range(40).select("id", F.array(F.lit("jobs"), F.lit("tax")).alias("tokens")).write.parquet(str(tmp_path / "docs"))
+    lemmas = spark.createDataFrame([("jobs", "job")], "form string, lemma string")
+    found = tokens.lemmatise_arrays(spark.read.parquet(str(tmp_path / "docs")), lemmas)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange" not in plan and "Join" not in plan
+    assert written == [["form", "lemma"]]
+    assert found.where(F.col("tokens") == F.array(F.lit("job"), F.lit("tax"))).count() == 40
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_stopwords_from_a_table(spark, rows, monkeypatch, small):
     """The same as a list's, broadcast or joined; NULL, empty and equal rows stay as they are."""
