@@ -89,6 +89,35 @@ def test_characters_are_counted_before_a_speech_is_repeated(spark, rows, monkeyp
     assert below and "length(" not in above and "speech#" not in above
 
 
+@pytest.mark.parametrize("size", [2, 1 << 14])
+@pytest.mark.parametrize("bound", [joins.BROADCAST_ROWS, 0])
+def test_packed_rows_of_a_key_come_out_whole(spark, rows, monkeypatch, size, bound):
+    """Every row, equal ones too, whatever the number of arrays; the rows of a key are in several small ones."""
+    monkeypatch.setattr(joins, "PACKED_ROWS", size)
+    dim = spark.createDataFrame([("a", k, k % 5 * 1.0, "x" if k % 2 else None) for k in range(40)] + [("b", 1, 0.5, "y")] * 3
+                                + [(None, 1, 0.5, "z")], "k string, n int, v double, t string")
+    big = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "c"), (5, "a")], "id long, k string")
+    arrays = joins.packed(dim, "k", ["v", "t"])
+    if size == 2:
+        assert arrays.where("k = 'a'").agg(F.max(F.size("_rows"))).first()[0] < 10
+    joined = joins.unpacked(joins.lookup_join(big, arrays, "k", "inner", spread=["id"], max_rows=bound))
+    assert joined.columns == ["k", "id", "v", "t"]
+    order = ["id", "v", "t"]
+    assert rows(joined, *order) == rows(big.join(dim, "k").select("k", "id", "v", "t"), *order)
+    assert joined.count() == 83
+
+
+def test_repeats_of_a_speech_are_not_looked_up_one_by_one(spark, monkeypatch):
+    sides, real = [], clean.lookup_join
+    monkeypatch.setattr(clean, "lookup_join", lambda big, dim, *a, **k: sides.append(dim) or real(big, dim, *a, **k))
+    many = spark.range(500).select(F.lit("A").alias("unique_id"), F.col("id").cast("int").alias("cycle"),
+                                   (F.col("id") * 0.5).alias("dwdime"))
+    texts = spark.createDataFrame([(1, "A", LONG), (2, "B", LONG)], "speech_id long, unique_id string, speech string")
+    found = clean.join_scores(texts, many, keep_cycle=True)
+    assert found.count() == 500 and found.agg(F.sum("cycle")).first()[0] == 124750
+    assert sides[0].count() == 1
+
+
 def test_present_drops_nan(spark):
     df = spark.createDataFrame([(1.0, "a"), (float("nan"), "b"), (None, "c"), (2.0, None)], "x double, t string")
     assert clean.present(df, "x", "t").collect() == [(1.0, "a")]
