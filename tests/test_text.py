@@ -73,6 +73,20 @@ def test_lemmas_move_no_token(spark, tmp_path, monkeypatch):
     assert found.where(F.col("tokens") == F.array(F.lit("job"), F.lit("tax"))).count() == 40
 
 
+def test_a_long_lemma_table_moves_listed_tokens_alone(spark, monkeypatch):
+    sides, real = [], tokens.lookup_join
+    monkeypatch.setattr(tokens, "has_at_most", lambda *a, **k: False)
+    monkeypatch.setattr(tokens, "lookup_join", lambda big, dim, *a, **k: sides.append(big) or real(big, dim, *a, **k))
+    word = lambda c: F.concat(F.lit("w"), F.translate(c.cast("string"), "0123456789", "abcdefghij"), F.lit("s"))
+    df = spark.range(500).select("id", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: word(F.col("id") * 10 + k)).alias("tokens"))
+    lemmas = spark.range(0, 5000, 50).select(word(F.col("id")).alias("form"), F.lit("found").alias("lemma"))
+    found = tokens.lemmatise_arrays(df, lemmas)
+    count = F.aggregate("tokens", F.lit(0), lambda n, t: n + (t == "found").cast("int"))
+    assert found.agg(F.sum(count), F.sum(F.size("tokens"))).first() == (100, 5000)
+    assert found.where((F.get("tokens", F.lit(0)) == "found") != (F.col("id") % 5 == 0)).count() == 0
+    assert 100 <= sides[0].count() < 2000
+
+
 @pytest.mark.parametrize("small", [True, False])
 def test_stopwords_from_a_table(spark, rows, monkeypatch, small):
     """The same as a list's, broadcast or joined; NULL, empty and equal rows stay as they are."""
