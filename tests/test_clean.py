@@ -107,6 +107,16 @@ def test_packed_rows_of_a_key_come_out_whole(spark, rows, monkeypatch, size, bou
     assert joined.count() == 83
 
 
+def test_many_equal_rows_are_not_packed(spark, rows, monkeypatch):
+    """They would be one array; the join then takes the rows as they are, and the result is whole."""
+    monkeypatch.setattr(joins, "PACKED_ROWS", 2)
+    side = spark.createDataFrame([("A", 2014, 0.5)] * 50 + [("B", 2014, 1.5)], "unique_id string, cycle int, dwdime double")
+    assert joins.packed(side, "unique_id", ["dwdime"]) is None
+    texts = spark.createDataFrame([(1, "A", LONG), (2, "B", LONG)], "speech_id long, unique_id string, speech string")
+    found = clean.join_scores(texts, side, chars="n")
+    assert rows(found, "speech_id") == [(1, 60, "A", 0.5)] * 50 + [(2, 60, "B", 1.5)]
+
+
 def test_repeats_of_a_speech_are_not_looked_up_one_by_one(spark, monkeypatch):
     sides, real = [], clean.lookup_join
     monkeypatch.setattr(clean, "lookup_join", lambda big, dim, *a, **k: sides.append(dim) or real(big, dim, *a, **k))
